@@ -57,10 +57,19 @@ def with_share(df: DataFrame, n: str, denom: str) -> DataFrame:
     )
 
 
+def log_factorial(x: Column) -> Column:
+    """ln(x!) of a whole number: exact logs of small factorials, Stirling's series beyond."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)])
+    v = F.greatest(x, F.lit(1.0))
+    series = (
+        v * F.log(v) - v + 0.5 * F.log(2 * math.pi * v) + 1 / (12 * v) - 1 / (360 * F.pow(v, 3)) + 1 / (1260 * F.pow(v, 5))
+    )
+    return F.when(x <= 20, F.get(small, x.cast("int"))).otherwise(series)
+
+
 def fisher_p(na: Column, da: Column, nb: Column, db: Column) -> Column:
     """Two-sided Fisher exact p of ``[[na, da-na], [nb, db-nb]]``.
 
-    Table weights follow from each other by ratio, so no factorials are needed; they are summed in logs.
     Only tables within 12 standard deviations of the mean are listed: all others together weigh less
     than a double can show.
     """
@@ -72,29 +81,26 @@ def fisher_p(na: Column, da: Column, nb: Column, db: Column) -> Column:
     hi = F.least(row, col, F.ceil(mean + reach).cast("double"))
     seen = na.cast("double")
 
-    xs = F.transform(F.sequence(lo.cast("bigint"), hi.cast("bigint")), lambda v: v.cast("double"))
-    ups = F.transform(
-        xs, lambda x: F.when(x < hi, F.log((col - x) * (row - x)) - F.log((x + 1) * (total - col - row + x + 1)))
-    )
-    # Running totals by one fold; the fold keeps (total so far, list of totals).
-    start = F.struct(F.lit(0.0).alias("t"), F.array(F.lit(0.0)).alias("all"))
-    folded = F.aggregate(
-        F.filter(ups, lambda u: u.isNotNull()),
-        start,
-        lambda acc, u: F.struct((acc["t"] + u).alias("t"), F.concat(acc["all"], F.array(acc["t"] + u)).alias("all")),
-        lambda acc: acc["all"],
-    )
+    def log_weight(x: Column) -> Column:
+        return -(
+            log_factorial(x)
+            + log_factorial(col - x)
+            + log_factorial(row - x)
+            + log_factorial(total - col - row + x)
+        )
+
+    logs = F.transform(F.sequence(lo.cast("bigint"), hi.cast("bigint")), lambda v: log_weight(v.cast("double")))
 
-    def finish(logs: Column) -> Column:
-        at = F.get(logs, (seen - lo).cast("int"))
-        top = F.array_max(logs)
-        weigh = F.aggregate(logs, F.lit(0.0), lambda s, w: s + F.exp(w - top))
+    def finish(weights: Column) -> Column:
+        at = F.get(weights, (seen - lo).cast("int"))
+        top = F.array_max(weights)
+        all_of = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.exp(w - top))
         tail = F.aggregate(
-            F.filter(logs, lambda w: w <= at + math.log1p(1e-9)), F.lit(0.0), lambda s, w: s + F.exp(w - top)
+            weights, F.lit(0.0), lambda s, w: s + F.when(w <= at + 1e-9, F.exp(w - top)).otherwise(0.0)
         )
-        return F.least(F.lit(1.0), tail / weigh)
+        return F.least(F.lit(1.0), tail / all_of)
 
-    p = F.get(F.transform(F.array(folded), finish), 0)
+    p = F.get(F.transform(F.array(logs), finish), 0)
     return F.when((seen < lo) | (seen > hi), F.lit(0.0)).otherwise(p)
 
 
