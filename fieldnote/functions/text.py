@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from fieldnote import vocab
 
+def let(value: Column, body) -> Column:
+    """Work a value out once and hand it to ``body``, which may use it many times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # Every character that counts as white space when a line or a text is trimmed, newline apart.
 _SPACE = "\\t\\x0B\\f\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -136,27 +141,39 @@ def _scrub_phones(text: Column) -> Column:
     return F.when(F.size(hits) == 0, text).otherwise(rebuilt)
 
 
-def scrub_steps(text: Column) -> list[tuple[str, Column]]:
-    """The text after each rule, in order; the last entry is the scrubbed text."""
-    out, t = [], text
-    for kind, placeholder, pattern in vocab.SCRUB_RULES:
-        t = F.regexp_replace(t, pattern, placeholder.replace("[", "\\[").replace("]", "\\]"))
-        out.append((kind, t))
-    out.append(("PHONE", _scrub_phones(t)))
-    return out
+def _apply(text: Column, pattern: str, placeholder: str) -> Column:
+    return F.regexp_replace(text, pattern, placeholder)
 
 
 def scrub(text: Column) -> Column:
-    return scrub_steps(text)[-1][1]
+    """Personal data replaced by typed placeholders, rule by rule."""
+    t = text
+    for _, placeholder, pattern in vocab.SCRUB_RULES:
+        t = _apply(t, pattern, placeholder)
+    return let(t, _scrub_phones)
 
 
 def scrub_kinds(text: Column) -> Column:
     """The kinds a scrub replaces, in rule order."""
-    kinds, before = [], text
-    for kind, after in scrub_steps(text):
-        kinds.append(F.when(before != after, kind))
-        before = after
-    return F.array_compact(F.array(*kinds))
+    none = F.array().cast("array<string>")
+    state = F.struct(text.alias("t"), none.alias("kinds"))
+    rules = [*[(k, lambda t, p=p, r=r: _apply(t, p, r)) for k, r, p in vocab.SCRUB_RULES], ("PHONE", _scrub_phones)]
+    for kind, rule in rules:
+        state = let(state, _noting(kind, rule))
+    return state["kinds"]
+
+
+def _noting(kind: str, rule):
+    def step(s: Column) -> Column:
+        return let(
+            F.struct(s["t"].alias("old"), rule(s["t"]).alias("t"), s["kinds"].alias("kinds")),
+            lambda x: F.struct(
+                x["t"].alias("t"),
+                F.when(x["old"] != x["t"], F.concat(x["kinds"], F.array(F.lit(kind)))).otherwise(x["kinds"]).alias("kinds"),
+            ),
+        )
+
+    return step
 
 
 def leaks(text: Column) -> Column:

@@ -83,11 +83,6 @@ def _parts_for(window: Column, t: float) -> Column:
     return F.ceil((1 - t) / (1 + t) * 2 * widest + 1e-6).cast("int")
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once for a lambda body, which would otherwise work it out per element."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def signatures(words: Column, t: float) -> Column:
     """``array<bigint>``: word sets with Jaccard above ``t`` share at least one entry."""
     n = F.size(words)
@@ -104,7 +99,7 @@ def signatures(words: Column, t: float) -> Column:
                 return F.array_join(F.filter(words, lambda w: part_of(w, parts) == i), " ")
 
             content = F.array(*[content_of(i) for i in range(most)])
-            return _let(
+            return tx.let(
                 content,
                 lambda held: F.transform(
                     F.filter(triples, lambda c: c["p2"] < parts),
@@ -114,7 +109,7 @@ def signatures(words: Column, t: float) -> Column:
                 ),
             )
 
-        return _let(_parts_for(window, t) + 2, hashes)
+        return tx.let(_parts_for(window, t) + 2, hashes)
 
     def long(window: Column) -> Column:
         # ``spare`` parts may be too thin to use: a set with more thin parts than that uses them too.
@@ -143,9 +138,9 @@ def signatures(words: Column, t: float) -> Column:
                     lambda r: F.xxhash64(window, r),
                 )
 
-            return _let(runs, chosen)
+            return tx.let(runs, chosen)
 
-        return _let(needed + spare, hashes)
+        return tx.let(needed + spare, hashes)
 
     def both_windows(scheme) -> Column:
         return F.array_union(scheme(band), scheme(band - 1))
