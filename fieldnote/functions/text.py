@@ -141,41 +141,55 @@ def _scrub_phones(text: Column) -> Column:
     return F.when(F.size(hits) == 0, text).otherwise(rebuilt)
 
 
-def _apply(text: Column, pattern: str, placeholder: str) -> Column:
-    return F.regexp_replace(text, pattern, placeholder)
+# A rule is only tried on texts that hold what every match of it must hold.
+_HINT = {
+    "URL": "(?i)https?://|www\\.",
+    "EMAIL": "@",
+    "HANDLE": "@|u/",
+    "PAN": "(?U)\\d{4}",
+    "AADHAAR": "(?U)\\d{4}",
+    "CARD": "(?U)\\d",
+    "PHONE": "(?U)\\d",
+}
 
 
-def scrub(text: Column) -> Column:
-    """Personal data replaced by typed placeholders, rule by rule."""
-    t = text
-    for _, placeholder, pattern in vocab.SCRUB_RULES:
-        t = _apply(t, pattern, placeholder)
-    return let(t, _scrub_phones)
+def _rules():
+    def replace(pattern: str, placeholder: str):
+        return lambda t: F.regexp_replace(t, pattern, placeholder)
 
+    return [*[(kind, replace(p, r)) for kind, r, p in vocab.SCRUB_RULES], ("PHONE", _scrub_phones)]
 
-def scrub_kinds(text: Column) -> Column:
-    """The kinds a scrub replaces, in rule order."""
+
+def scrubbed(text: Column) -> Column:
+    """``struct(text, kinds)``: the text with personal data replaced, and the kinds found, in rule order."""
     none = F.array().cast("array<string>")
-    state = F.struct(text.alias("t"), none.alias("kinds"))
-    rules = [*[(k, lambda t, p=p, r=r: _apply(t, p, r)) for k, r, p in vocab.SCRUB_RULES], ("PHONE", _scrub_phones)]
-    for kind, rule in rules:
-        state = let(state, _noting(kind, rule))
-    return state["kinds"]
+    state = F.struct(text.alias("text"), none.alias("kinds"))
+    for kind, rule in _rules():
+        state = let(state, _step(kind, rule))
+    return state
 
 
-def _noting(kind: str, rule):
+def _step(kind: str, rule):
     def step(s: Column) -> Column:
-        return let(
-            F.struct(s["t"].alias("old"), rule(s["t"]).alias("t"), s["kinds"].alias("kinds")),
-            lambda x: F.struct(
-                x["t"].alias("t"),
-                F.when(x["old"] != x["t"], F.concat(x["kinds"], F.array(F.lit(kind)))).otherwise(x["kinds"]).alias("kinds"),
-            ),
-        )
+        def note(new: Column) -> Column:
+            kinds = F.when(new != s["text"], F.concat(s["kinds"], F.array(F.lit(kind)))).otherwise(s["kinds"])
+            return F.struct(new.alias("text"), kinds.alias("kinds"))
+
+        return F.when(s["text"].rlike(_HINT[kind]), let(rule(s["text"]), note)).otherwise(s)
 
     return step
 
 
+def scrub(text: Column) -> Column:
+    """Personal data replaced by typed placeholders, rule by rule."""
+    return scrubbed(text)["text"]
+
+
+def scrub_kinds(text: Column) -> Column:
+    """The kinds a scrub replaces, in rule order."""
+    return scrubbed(text)["kinds"]
+
+
 def leaks(text: Column) -> Column:
     """Kinds of personal data still present."""
     low, high = vocab.PHONE_DIGITS

@@ -16,7 +16,8 @@ def scrub_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace personal data by typed placeholders; ``<column>_kinds`` lists what was found."""
     out = df
     for c in columns:
-        out = out.withColumns({f"{c}_kinds": tx.scrub_kinds(F.col(c)), c: tx.scrub(F.col(c))})
+        out = out.withColumn("__s", tx.scrubbed(F.col(c)))
+        out = out.withColumns({f"{c}_kinds": F.col("__s.kinds"), c: F.col("__s.text")}).drop("__s")
     return out
 
 

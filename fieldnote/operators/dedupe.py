@@ -50,9 +50,10 @@ def exact_duplicates(records: DataFrame, text: str = "text_clean") -> DataFrame:
         "source",
         "created_at",
         F.sha1(F.array_join(words, " ")).alias("key"),
-        F.when(long_text, F.lit("")).otherwise(F.col("author_key")).alias("owner"),
-        "author_key",
-    ).filter(F.col("owner").isNotNull() & ((F.col("owner") == "") | (F.col("author_key") != "")))
+        F.when(long_text, F.lit("")).otherwise(F.nullif("author_key", F.lit(""))).alias("owner"),
+    ).filter(F.col("owner").isNotNull())
+    # Kept apart from the texts: they are read once, and the keys are used twice.
+    keyed = checkpointed(keyed)
     first = (
         keyed.groupBy("key", "owner")
         .agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
@@ -168,7 +169,9 @@ def similar_sets(sets: DataFrame, group: list[str], t: float) -> DataFrame:
     ``sets`` holds one row per distinct set of a group: ``*group, set_key, words``.
     """
     able = sets.filter(F.size("words") >= _smallest_partner(t))
-    blocks = able.select(*group, "set_key", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig"))
+    blocks = checkpointed(
+        able.select(*group, "set_key", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig"))
+    )
     right = blocks.select(*group, "sig", F.col("set_key").alias("b"))
     pairs = (
         blocks.withColumnRenamed("set_key", "a")
@@ -285,12 +288,14 @@ def near_duplicates_same_author(
         )
     )
     able = sets.filter(F.size("words") >= _smallest_partner(t)).select(*who, "ord", "words")
-    blocks = able.select(
-        *who, "ord", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig")
-    ).withColumn("blk", F.xxhash64(*who, "sig"))
+    blocks = checkpointed(
+        able.select(*who, "ord", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig")).select(
+            F.xxhash64(*who, "sig").alias("blk"), "ord"
+        )
+    )
     shared = blocks.groupBy("blk").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = checkpointed(
-        keyed_join(blocks.select("blk", "ord"), shared, ["blk"], [F.col("ord.id")]).select("blk", "ord", "n")
+        keyed_join(blocks, shared, ["blk"], [F.col("ord.id")]).select("blk", "ord", "n")
     )
     body = able.select("ord", *who, "words")
 
