@@ -31,7 +31,8 @@ def canonical_values(answers: DataFrame, dim_value: DataFrame) -> tuple[DataFram
     """
     slug = F.substring(F.replace(F.lower(tx.squeeze(F.coalesce("other", F.lit("")))), F.lit(" "), F.lit("_")), 1, 60)
     # The first listing of a spelling wins, as in the question's own order.
-    listed = dim_value.select("question", "value", F.coalesce("position", F.lit(0)).alias("p")) if "position" in dim_value.columns else dim_value.select("question", "value", F.lit(0).alias("p"))
+    place = F.col("position") if "position" in dim_value.columns else F.lit(0)
+    listed = dim_value.select("question", "value", place.alias("p"))
     spelled = (
         listed.select("question", F.col("value").alias("spelling"), "value", "p")
         .unionByName(listed.select("question", F.element_at(F.split("value", ":"), -1).alias("spelling"), "value", "p"))
@@ -39,19 +40,16 @@ def canonical_values(answers: DataFrame, dim_value: DataFrame) -> tuple[DataFram
         .agg(F.min(F.struct("p", "value")).alias("m"))
         .select("question", "spelling", F.col("m.value").alias("listed"))
     )
-    valid = listed.select("question", F.col("value").alias("known")).distinct()
-    rows = (
-        answers.withColumn("slug", slug)
-        .join(F.broadcast(spelled), (answers["question"] == spelled["question"]) & (F.col("slug") == spelled["spelling"]) & (F.col("value") == "other") & (F.col("slug") != ""), "left")
-        .drop(spelled["question"])
+    spelled = spelled.withColumnsRenamed({"question": "sq", "spelling": "ss"})
+    valid = listed.select(F.col("question").alias("vq"), F.col("value").alias("known")).distinct()
+    free_text = (F.col("value") == "other") & (F.col("slug") != "")
+    rows = answers.withColumn("slug", slug).join(
+        F.broadcast(spelled), (F.col("question") == F.col("sq")) & (F.col("slug") == F.col("ss")) & free_text, "left"
     )
     free = F.concat(F.lit("other:"), F.when(F.col("slug") == "", "unspecified").otherwise(F.col("slug")))
     rows = rows.withColumn(
         "code", F.when(F.col("value") == "other", F.coalesce("listed", free)).otherwise(F.col("value"))
-    )
-    rows = rows.join(
-        F.broadcast(valid), (rows["question"] == valid["question"]) & (F.col("code") == F.col("known")), "left"
-    ).drop(valid["question"])
+    ).join(F.broadcast(valid), (F.col("question") == F.col("vq")) & (F.col("code") == F.col("known")), "left")
     ok = F.col("known").isNotNull() | (F.col("code") == "not_stated") | (
         F.col("code").startswith("other:") & (F.length("code") > 6)
     )

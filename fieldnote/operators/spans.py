@@ -269,7 +269,9 @@ def apply_verdicts(
         F.col("reason").alias("new_reason"),
         F.least(F.lit(10), F.greatest(F.lit(0), F.col("reaches_stage"))).alias("new_stage"),
     )
-    judged = stories.join(v, "story_id", "left").join(records.select("record_id", "source"), "record_id")
+    judged = stories.join(v, "story_id", "left")
+    if "source" not in stories.columns:
+        judged = judged.join(records.select("record_id", "source"), "record_id")
     keeps = F.coalesce(F.col("is_story"), F.lit(False))
     rejected = judged.filter("is_story = false")
     told = F.substring(F.concat(F.lit("rejected by confirmation: "), F.coalesce("new_reason", F.lit(""))), 1, 300)
