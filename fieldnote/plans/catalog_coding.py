@@ -90,8 +90,9 @@ _ANSWERS = {
               UNION ALL SELECT thread_id, post, author_key, start_at, clean, start_at + 2, start_at + 2 + 45, false FROM placed WHERE length(clean) > 60 AND post % 3 = 0
               UNION ALL SELECT thread_id, post, author_key, start_at, clean, start_at + 10, start_at + 10 + 45, false FROM placed WHERE length(clean) > 60 AND post % 5 = 1""",
     # Where the first and last words are first found; with distinct words that is where they were cut.
-    "loc": """SELECT *, CASE WHEN miss THEN NULL ELSE start_at + instr(clean, substr(clean, s - start_at + 1, 20)) - 1 END AS cs FROM ans""",
-    "spans": """SELECT *, CASE WHEN miss THEN NULL ELSE greatest(cs + 20, cs + instr(substr(clean, cs - start_at + 1), substr(clean, e - start_at - 9, 10)) - 1 + 10) END AS ce FROM loc""",
+    "loc": """SELECT *, CASE WHEN miss THEN NULL ELSE start_at + instr(clean, first_words) - 1 END AS cs FROM (
+              SELECT *, trim(substr(clean, s - start_at + 1, 20), ' ' || chr(10)) AS first_words, trim(substr(clean, e - start_at - 9, 10), ' ' || chr(10)) AS last_words FROM ans)""",
+    "spans": """SELECT *, CASE WHEN miss THEN NULL ELSE greatest(cs + length(first_words), cs + instr(substr(clean, cs - start_at + 1), last_words) - 1 + length(last_words)) END AS ce FROM loc""",
 }
 
 

@@ -84,7 +84,7 @@ def _flat(spark: S, d: str, fields: list) -> DataFrame:
     )
 
 
-_FLAT_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, md5(c) AS digest, {{0}} FROM (SELECT doc_id, source, lang, n_chars, text, {_NORM} AS c FROM documents)
+_FLAT_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, md5(c) AS digest, <columns> FROM (SELECT doc_id, source, lang, n_chars, text, {_NORM} AS c FROM documents)
                 WHERE c <> '' AND NOT {_HAS_DATA.format('text')}"""
 
 
@@ -94,14 +94,14 @@ def _compared(rows: DataFrame, *cols) -> DataFrame:
     )
 
 
-@query("review_records", _FLAT_SQL.format("CAST(1 + n_chars % 5 AS INT) AS rating, 'android' AS platform_hint"))
+@query("review_records", _FLAT_SQL.replace("<columns>", "CAST(1 + n_chars % 5 AS INT) AS rating, 'android' AS platform_hint"))
 def review_records(spark: S, d: str) -> DataFrame:
     c = F.col
     raw = _flat(spark, d, [c("doc_id").cast("string").alias("reviewId"), c("source").alias("userName"), c("text").alias("content"), (1 + c("n_chars") % 5).alias("score")])
     return _compared(mp.map_records(raw, "play", st.SALT, "r"), "rating", "platform_hint")
 
 
-@query("store_feed_records", _FLAT_SQL.format("CAST(1 + n_chars % 5 AS INT) AS rating, 'IN' AS region_hint"))
+@query("store_feed_records", _FLAT_SQL.replace("<columns>", "CAST(1 + n_chars % 5 AS INT) AS rating, 'IN' AS region_hint"))
 def store_feed_records(spark: S, d: str) -> DataFrame:
     label = lambda x: F.struct(x.cast("string").alias("label"))
     c = F.col
@@ -109,7 +109,7 @@ def store_feed_records(spark: S, d: str) -> DataFrame:
     return _compared(mp.map_records(raw, "appstore", st.SALT, "r"), "rating", "region_hint")
 
 
-@query("answer_records", _FLAT_SQL.format("'https://q.example/What#answer-' || doc_id AS source_url, lang AS thread_context"))
+@query("answer_records", _FLAT_SQL.replace("<columns>", "'https://q.example/What#answer-' || doc_id AS source_url, lang AS thread_context"))
 def answer_records(spark: S, d: str) -> DataFrame:
     """Answers keep the question's address; the part that names their author is cut."""
     c = F.col
