@@ -92,7 +92,8 @@ def citations(text: Column) -> Column:
 
 def _problem(df: DataFrame, name: str, detail: Column) -> DataFrame:
     """One row per entry of an array column of findings."""
-    return df.select("answer_id", F.lit(name).alias("problem"), F.explode(detail).alias("detail"))
+    found = df.select("answer_id", detail.alias("found"))
+    return found.select("answer_id", F.lit(name).alias("problem"), F.explode("found").alias("detail"))
 
 
 # ------------------------------------------------------------------------------- citations
@@ -168,8 +169,8 @@ def check_numbers(answers: DataFrame, rows: DataFrame) -> DataFrame:
     stated = F.concat(
         number_values(F.col("gap")), flat(F.filter("rows", lambda r: r["table"] == "analysis_funnel"))
     )
-    df = df.select(
-        "answer_id", "rows", stated.alias("stated"), F.explode(paragraphs(F.col("text"))).alias("para")
+    df = df.select("answer_id", "rows", "text", stated.alias("stated")).select(
+        "answer_id", "rows", "stated", F.explode(paragraphs(F.col("text"))).alias("para")
     )
     df = df.withColumn("cited", _cited_rows(F.col("para"), F.col("rows")))
     allowed = F.concat(flat(F.when(F.size("cited") > 0, F.col("cited")).otherwise(F.col("rows"))), "stated")

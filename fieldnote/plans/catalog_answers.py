@@ -12,6 +12,7 @@ from fieldnote.operators import retrieval as rt
 from fieldnote.plans import standins as st
 from fieldnote.plans.catalog_counts import crosstab_rows, derived_rows, spine
 from fieldnote.plans.registry import query
+from fieldnote.session import checkpointed
 
 S = SparkSession
 T = st.with_tables
@@ -45,7 +46,7 @@ def _pooled(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
     T("records", """SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, score DESC, doc_id) AS rank FROM (
           SELECT q.query_id, d.pool, d.doc_id, d.priority, coalesce(s.score, 0) AS score FROM qq q JOIN dt d USING (pool) LEFT JOIN (
-            SELECT query_id, doc_id, sum(qf * CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+            SELECT query_id, doc_id, round(sum(qf * CASE WHEN idf < 0 THEN 0.25::DOUBLE * m ELSE idf END * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl))), 9) AS score
             FROM qt JOIN tf USING (pool, term) JOIN df USING (pool, term) JOIN mean USING (pool) GROUP BY query_id, doc_id) s ON s.query_id = q.query_id AND s.doc_id = d.doc_id)) JOIN pools USING (pool)
         WHERE rank <= 6 + CASE WHEN anyp > 0 THEN 2 ELSE 0 END""", _BM),
 )
@@ -125,6 +126,11 @@ def result_tables(spark: S, d: str) -> dict[str, DataFrame]:
     }
 
 
+def stored_facts(spark: S, d: str) -> DataFrame:
+    """The result tables are written before anything is asked of them; their size is that of a codebook."""
+    return checkpointed(rt.fact_tables(result_tables(spark, d)))
+
+
 @query("fulfilled_plans")
 def fulfilled_plans(spark: S, d: str) -> DataFrame:
     rows = rt.fulfil(rt.tag_questions(plans(spark, d)))
@@ -135,14 +141,14 @@ def fulfilled_plans(spark: S, d: str) -> DataFrame:
 def facts_of_plans(spark: S, d: str) -> DataFrame:
     """Fact rows for every plan, without the second population where the question is not about it."""
     tagged = rt.tag_questions(plans(spark, d))
-    facts = rt.facts_for(rt.fulfil(tagged), rt.fact_tables(result_tables(spark, d)))
+    facts = rt.facts_for(rt.fulfil(tagged), stored_facts(spark, d))
     return rt.scoped(facts, tagged).groupBy("table", "query").agg(F.count("*").alias("rows"), F.count_distinct("plan_id").alias("plans"))
 
 
 @query("routed_questions")
 def routed_questions(spark: S, d: str) -> DataFrame:
     tagged = rt.tag_questions(plans(spark, d))
-    facts = rt.fact_tables(result_tables(spark, d))
+    facts = stored_facts(spark, d)
     got = rt.facts_for(rt.fulfil(tagged), facts)
     method = rt.method_rows(tagged.withColumns({"fields": F.array().cast("array<string>"), "questions": F.array().cast("array<string>")}), facts)
     stories = tagged.select("plan_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("story_id"))
