@@ -14,6 +14,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Every match and where it starts, in characters: ``array<struct<h, at>>``."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    pairs = F.arrays_zip(hits.alias("h"), F.slice(gaps, 1, F.size(hits)).alias("g"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<h:string,at:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["g"])
+        return F.struct(
+            (at + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["h"].alias("h"), at.alias("at")))).alias("out")
+        )
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 # Every character that counts as white space when a line or a text is trimmed, newline apart.
 _SPACE = "\\t\\x0B\\f\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 

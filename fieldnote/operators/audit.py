@@ -180,11 +180,9 @@ def check_numbers(answers: DataFrame, rows: DataFrame) -> DataFrame:
 
 def check_percentages(answers: DataFrame) -> DataFrame:
     """Percentages without their count close by."""
-    pattern = "(?<=(\\A(?s:.{0,44})|(?s:.{45})))(\\d+(?:\\.\\d+)?%)(?=((?s:.{0,30})))"
     t = uncited(F.col("text"))
-    before, hit, after = _all(t, pattern, 1), _all(t, pattern, 2), _all(t, pattern, 3)
-    zipped = F.arrays_zip(before.alias("b"), hit.alias("h"), after.alias("a"))
-    bad = F.filter(zipped, lambda x: ~F.concat(x["b"], x["h"], x["a"]).rlike(rb.COUNT_OF))
+    near = lambda x: F.substring(t, F.greatest(x["at"] - 45, F.lit(0)) + 1, F.least(x["at"], F.lit(45)) + F.length(x["h"]) + 30)
+    bad = F.filter(tx.matches(t, "\\d+(?:\\.\\d+)?%"), lambda x: ~near(x).rlike(rb.COUNT_OF))
     return _problem(answers, "percentages", F.transform(bad, lambda x: x["h"]))
 
 
@@ -321,8 +319,8 @@ def check_quotes(answers: DataFrame, rows: DataFrame, stories: DataFrame) -> Dat
 # ------------------------------------------------------------------------------- rules on wording
 def _in_context(text: Column, pattern: str, window: int) -> Column:
     """Each match of a pattern with up to ``window`` characters before it: ``array<struct<h, b>>``."""
-    look = f"(?<=(\\A(?s:.{{0,{window - 1}}})|(?s:.{{{window}}})))({pattern})"
-    return F.arrays_zip(_all(text, look, 2).alias("h"), _all(text, look, 1).alias("b"))
+    before = lambda x: F.substring(text, F.greatest(x["at"] - window, F.lit(0)) + 1, F.least(x["at"], F.lit(window)))
+    return F.transform(tx.matches(text, pattern), lambda x: F.struct(x["h"].alias("h"), before(x).alias("b")))
 
 
 def check_proxy(answers: DataFrame) -> DataFrame:
@@ -492,11 +490,7 @@ def check_statements(statements: DataFrame, facts: DataFrame, free_numbers: Sequ
     said = F.transform(_all(F.col("text"), rb.STATEMENT_NUMBER), lambda n: F.replace(n, F.lit(","), F.lit("")))
     held = F.transform(_all(F.col("cited_text"), "(?<![\\d.])\\d+(?:\\.\\d+)?(?![\\d])"), lambda n: n)
     stray = F.filter(said, lambda n: ~n.isin(list(free_numbers)) & ~F.array_contains(held, n))
-    pct = "(?<=(\\A(?s:.{0,59})|(?s:.{60})))(\\d+(?:\\.\\d+)?%)"
-    alone = F.filter(
-        F.arrays_zip(_all(F.col("text"), pct, 2).alias("h"), _all(F.col("text"), pct, 1).alias("b")),
-        lambda x: ~x["b"].rlike(rb.STATEMENT_DENOMINATOR),
-    )
+    alone = F.filter(_in_context(F.col("text"), "\\d+(?:\\.\\d+)?%", 60), lambda x: ~x["b"].rlike(rb.STATEMENT_DENOMINATOR))
     one = lambda cond, name: F.when(cond, F.array(F.struct(F.lit(name).alias("problem"), F.lit("").alias("detail"))))
     many = lambda arr, name: F.transform(arr, lambda d: F.struct(F.lit(name).alias("problem"), d.alias("detail")))
     none = F.array().cast("array<struct<problem:string,detail:string>>")
