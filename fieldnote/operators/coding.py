@@ -12,6 +12,8 @@ from fieldnote.functions import text as tx
 from fieldnote.operators import marks as mk
 
 CODES = "map<string,array<string>>"
+SPINE_QUESTIONS = ["1.4", "3.2", "5.4", "7.2"]
+"""The questions that other spine columns follow from."""
 
 
 def code_maps(codes: DataFrame) -> DataFrame:

@@ -273,12 +273,12 @@ def label_audit(spark: S, d: str) -> DataFrame:
 @query("answer_audit")
 def answer_audit(spark: S, d: str) -> DataFrame:
     """All checks over all answers, summed by kind of problem."""
-    return au.sweep_summary(au.audit(*answers(spark, d)))
+    return au.sweep_summary(au.audit(*[checkpointed(t) for t in answers(spark, d)]))
 
 
 @query("answer_reports")
 def answer_reports(spark: S, d: str) -> DataFrame:
-    a, rows, stories = answers(spark, d)
+    a, rows, stories = [checkpointed(t) for t in answers(spark, d)]
     return au.report(a, au.audit(a, rows, stories)).withColumn("kinds", F.array_join("kinds", ","))
 
 

@@ -384,7 +384,8 @@ _FLAGS = {
 
 
 def _maps(spark: S, d: str) -> DataFrame:
-    return cd.code_maps(st.codes(spark, d).withColumn("seq", F.lit(None).cast("int")))
+    needed = st.codes(spark, d).filter(F.col("question").isin(cd.SPINE_QUESTIONS))
+    return cd.code_maps(needed.withColumn("seq", F.lit(None).cast("int")))
 
 
 @query(

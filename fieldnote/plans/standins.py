@@ -18,7 +18,7 @@ SALT = "salt"
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{table}.parquet")
-    return spread(df) if table in ("documents", "pages") else df
+    return spread(df) if table in ("documents", "pages", "lineitem") else df
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -207,14 +207,15 @@ def stories(spark: SparkSession, folder: str) -> DataFrame:
 def codes(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("l_linenumber") - 1
     flag, q = F.col("l_returnflag"), F.col("l_quantity")
-    none = F.lit(None).cast("string")
+    # Judgements as numbers in the order of their names: a number is aggregated in a hash map, a string by sorting.
+    none = F.lit(0)
     rows = [
         ("5.6", F.when(flag == "N", "not_stated").otherwise(F.lower(flag)), none),
         ("3.2", F.when(F.col("l_linestatus") == "O", "scroll").otherwise("search"), none),
         ("7.2", F.when(q < 10, "quit").when(q < 20, "not_stated").when(q < 30, "anchor_and_pivot").otherwise("retry"), none),
         ("2.1", F.concat(_pick(vocab.CUE_FAMILIES, n), F.lit(":"), F.lower(flag)), none),
         ("2.4", _pick(LOST, n), none),
-        ("2.2", F.concat(_pick(vocab.CUE_FAMILIES, n), F.lit(":x")), F.when(flag == "R", "certain_wrong").when(flag == "A", "certain_correct")),
+        ("2.2", F.concat(_pick(vocab.CUE_FAMILIES, n), F.lit(":x")), F.when(flag == "R", 2).when(flag == "A", 1).otherwise(0)),
         ("9.4", F.when(F.col("l_tax") < 0.03, "fallback:ask").when(F.col("l_tax") < 0.05, "fallback:scroll").otherwise("not_stated"), none),
         ("6.5", F.when(F.col("l_discount") >= 0.05, "nothing").otherwise("place"), none),
         ("10.2", F.when(F.col("l_discount") < 0.005, "other:album").otherwise("not_stated"), none),
@@ -224,7 +225,9 @@ def codes(spark: SparkSession, folder: str) -> DataFrame:
         read(spark, folder, "lineitem")
         .select(F.col("l_orderkey").cast("string").alias("story_id"), F.explode(melted).alias("x"))
         .groupBy("story_id", F.col("x.question").alias("question"), F.col("x.value").alias("value"))
-        .agg(F.max("x.accuracy").alias("accuracy"))
+        .agg(F.max("x.accuracy").alias("k"))
+        .withColumn("accuracy", F.when(F.col("k") == 2, "certain_wrong").when(F.col("k") == 1, "certain_correct"))
+        .drop("k")
     )
 
 
