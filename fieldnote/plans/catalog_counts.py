@@ -290,9 +290,9 @@ def block_yield(spark: S, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------- ledgers
-_COST = """round(CASE model WHEN 'gpt-5' THEN ((input_tokens - cached_tokens) * 1.25::DOUBLE + cached_tokens * 0.125::DOUBLE + output_tokens * 10.0::DOUBLE) / 1e6
+_COST = """CAST(round(CAST(CASE model WHEN 'gpt-5' THEN ((input_tokens - cached_tokens) * 1.25::DOUBLE + cached_tokens * 0.125::DOUBLE + output_tokens * 10.0::DOUBLE) / 1e6
   WHEN 'gpt-5-mini' THEN ((input_tokens - cached_tokens) * 0.25::DOUBLE + cached_tokens * 0.025::DOUBLE + output_tokens * 2.0::DOUBLE) / 1e6
-  WHEN 'gpt-5-nano' THEN ((input_tokens - cached_tokens) * 0.05::DOUBLE + cached_tokens * 0.005::DOUBLE + output_tokens * 0.4::DOUBLE) / 1e6 ELSE 0::DOUBLE END * CASE WHEN batch THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6)"""
+  WHEN 'gpt-5-nano' THEN ((input_tokens - cached_tokens) * 0.05::DOUBLE + cached_tokens * 0.005::DOUBLE + output_tokens * 0.4::DOUBLE) / 1e6 ELSE 0::DOUBLE END * CASE WHEN batch THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS DECIMAL(18, 9)), 6) AS DOUBLE)"""
 
 
 @query(
