@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldnote import vocab
 from fieldnote.functions import html as hx
 from fieldnote.functions import text as tx
+from fieldnote.session import checkpointed
 
 POSTS = "array<struct<author:string,text:string,at:string>>"
 TREE_DEPTH = 10
@@ -68,25 +69,26 @@ def _none_like(pick: Callable[[Column], Column], node: Column) -> Column:
     return F.filter(F.array(pick(node)), lambda x: F.lit(False))
 
 
-def flatten_edges(edges: DataFrame, root: str = "parent is null") -> DataFrame:
+def flatten_edges(edges: DataFrame) -> DataFrame:
     """A reply tree given as rows (``thread_id, id, parent, rank``), of any depth, in depth-first order.
 
-    The path of ranks from the root sorts depth first. Spark's recursive query follows the edges.
+    Adds ``path``, the ranks from the root, which sorts depth first, and ``depth``. One join per level; the
+    lineage is cut at each, and nothing limits depth or rows.
     """
-    spark = edges.sparkSession
-    name = "fieldnote_reply_edges"
-    edges.createOrReplaceTempView(name)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree(thread_id, id, path, depth) AS (
-          SELECT thread_id, id, lpad(cast(rank AS string), 10, '0'), 1 FROM {name} WHERE {root}
-          UNION ALL
-          SELECT e.thread_id, e.id, concat(t.path, '.', lpad(cast(e.rank AS string), 10, '0')), t.depth + 1
-          FROM tree t JOIN {name} e ON e.thread_id = t.thread_id AND e.parent = t.id
+    step = F.lpad(F.col("rank").cast("string"), 10, "0")
+    edges = edges.select("thread_id", "id", "parent", step.alias("step"))
+    level = checkpointed(edges.filter(F.col("parent").isNull()).select("thread_id", "id", F.col("step").alias("path"), F.lit(1).alias("depth")))
+    out = level
+    children = edges.filter(F.col("parent").isNotNull()).withColumnRenamed("id", "child")
+    while not level.isEmpty():
+        above = level.withColumnRenamed("id", "parent")
+        level = checkpointed(
+            children.join(above, ["thread_id", "parent"]).select(
+                "thread_id", F.col("child").alias("id"), F.concat_ws(".", "path", "step").alias("path"), (F.col("depth") + 1).alias("depth")
+            )
         )
-        SELECT thread_id, id, path, depth FROM tree
-        """
-    )
+        out = out.unionByName(level)
+    return out
 
 
 # ------------------------------------------------------------------------------- per source
