@@ -37,10 +37,10 @@ def coverage(codes: DataFrame, story_sources: DataFrame, dim_question: DataFrame
     """
     stated = F.when(F.col("value") != "not_stated", F.col("story_id"))
     per = (
-        codes.join(story_sources, "story_id")
-        # One row per story and question: answered if any of its values states something.
-        .groupBy("question", "source", "story_id")
+        # One row per story and question before the join: answered if any of its values states something.
+        codes.groupBy("story_id", "question")
         .agg(F.count(stated).alias("said"))
+        .join(story_sources, "story_id")
         .groupingSets([["question", "source"], ["question"]], "question", "source")
         .agg(
             F.grouping("source").alias("pooled"),
