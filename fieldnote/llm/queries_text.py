@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldnote.llm.jaccard_join import near_copies
 from fieldnote.llm.registry import query
+from fieldnote.llm.substring_dedup import without_repeats
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +30,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 )
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+
+
+@query(
+    "op6_substring_dedup",
+    f"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+    win as (select doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+    firsts as (select k, min(doc_id) as f from win group by k),
+    gone as (select distinct doc_id, i + unnest(range(50)) as i from (select doc_id, i from win join firsts using (k) where f < doc_id)),
+    each as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+    kept as (select doc_id, string_agg(x, ' ' order by i) as t, count(*) as n from each anti join gone using (doc_id, i) group by doc_id)
+    select d.doc_id, len(w)::bigint as n_words, len(w)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from d left join kept using (doc_id)
+    """,
+)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "sources")
