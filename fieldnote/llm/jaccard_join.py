@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from fieldnote.llm.components import components
 from fieldnote.llm.store import stored
-from fieldnote.llm.wordhash import Q, Texts, batches, mix, powers, runs, window_hashes, word_hashes, words
+from fieldnote.llm.wordhash import Q, Texts, batches, distinct, mix, powers, runs, window_hashes, word_hashes, words
 
 BYTES_A_PART = 32_000_000
 """Text bytes whose shingles one range task counts."""
@@ -48,7 +48,7 @@ def shingle_sets(t: Texts, k: int) -> list[np.ndarray]:
     out = []
     for a, e in zip(w.rows[:-1], w.rows[1:], strict=True):
         if e - a >= k:
-            out.append(np.unique(grams[a : e - k + 1]))
+            out.append(distinct(grams[a : e - k + 1]))
         elif e > a:
             out.append(mix((h[a:e] * powers(Q, e - a)).sum(dtype=np.uint64, keepdims=True) + np.uint64(e - a)))
         else:

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 """Texts are taken together up to this many bytes, so that scratch arrays stay small; a longer text is taken alone."""
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -32,16 +31,17 @@ def _inverse(odd: np.uint64) -> np.uint64:
     return np.uint64(pow(int(odd), -1, 2**64))
 
 
-@lru_cache(maxsize=4)
-def _powers_upto(base: int, n: int) -> np.ndarray:
-    p = np.full(n, np.uint64(base), dtype=np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base**i`` modulo 2**64 for i below ``n``."""
-    return _powers_upto(int(base), 1 << max(16, int(n).bit_length()))[:n]
+    """``base**i`` modulo 2**64 for i below ``n``; the longest run so far of each base is kept."""
+    key = int(base)
+    if key not in _POWERS or len(_POWERS[key]) < n:
+        p = np.full(max(1 << 16, n + n // 8), base, dtype=np.uint64)
+        p[0] = 1
+        _POWERS[key] = np.multiply.accumulate(p)
+    return _POWERS[key][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,6 +144,12 @@ def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(a))
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct values of ``a``, sorted."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def batches(table_batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Each batch cut into chunks of its text column, with the rows of the chunk."""
     for b in table_batches:
