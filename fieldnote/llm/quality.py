@@ -30,6 +30,8 @@ MIN_CHARS = 200
 MIN_WORDS = 40
 MAX_CHAR_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.55
+MIN_WORDS_TOGETHER = 100
+MAX_TOGETHER = 0.48
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -91,8 +93,8 @@ def js_distance(p: Column, q: Column) -> Column:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, base counts, ``base_failed``, ``char_distance``, ``word_distance``, ``kept``.
 
-    A text is kept if it passes the base rules and neither distance is above its limit; a null distance (too short,
-    or no reference) passes. Null texts have no words and fail the base rules. Rows without a language are compared
+    A text is kept if it passes the base rules, neither distance is above its limit, and in a text of enough words
+    their sum is not above a third limit; a null distance (too short, or no reference) passes. Null texts have no words and fail the base rules. Rows without a language are compared
     with each other over all common words. Empty tables give none.
     """
     d = counted(docs, id_col, text_col, lang_col)
@@ -107,5 +109,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     word_distance = F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("words"), F.col("ref_words")))
     j = j.withColumn("char_distance", char_distance).withColumn("word_distance", word_distance)
     good = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    far_together = (F.col("n_words") >= MIN_WORDS_TOGETHER) & (F.coalesce("char_distance", F.lit(0.0)) + F.coalesce("word_distance", F.lit(0.0)) > MAX_TOGETHER)
+    good = good & ~far_together
     longs = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return j.select(F.col("id").alias(id_col), *longs, "base_failed", good.alias("kept"), "char_distance", "word_distance")

@@ -1,4 +1,4 @@
-"""Queries on ``documents``: near copies, repeated passages."""
+"""Queries on ``documents``: near copies, repeated passages, toxicity."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldnote.llm.jaccard_join import near_copies
 from fieldnote.llm.registry import query
 from fieldnote.llm.substring_dedup import without_repeats
+from fieldnote.llm.toxicity import toxicity
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,3 +48,8 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "sources")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("evidence")

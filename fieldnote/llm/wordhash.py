@@ -100,9 +100,10 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts())
 
 
-def words(t: Texts) -> Words:
+def words(t: Texts, inside_byte: np.ndarray | None = None) -> Words:
+    """Longest runs of bytes within one text for which ``inside_byte`` is true; by default those of no white space."""
     n = len(t.data)
-    inside = ~SPACE[t.data]
+    inside = (~SPACE if inside_byte is None else inside_byte)[t.data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[t.offsets] = True
     before = np.zeros(n, dtype=bool)
