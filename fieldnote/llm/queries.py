@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldnote.llm import queries_rows, queries_search, queries_text, queries_tokens  # noqa: F401  importing a module registers its queries
+from fieldnote.llm import queries_pages, queries_rows, queries_search, queries_text, queries_tokens  # noqa: F401  importing a module registers its queries
 from fieldnote.llm.registry import JOBS, SQL
 
 __all__ = ["JOBS", "SQL"]
