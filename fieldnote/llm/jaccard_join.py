@@ -36,6 +36,7 @@ from fieldnote.llm.components import components
 from fieldnote.llm.store import stored
 from fieldnote.llm.wordhash import Q, Texts, batches, distinct, mix, powers, runs, window_hashes, word_hashes, words
 
+SKETCH_BITS = 1024
 BYTES_A_PART = 32_000_000
 """Text bytes whose shingles one range task counts."""
 
@@ -156,6 +157,12 @@ def _counted(parts: int):
     return run
 
 
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """Per bucket of the hashes whether it holds an odd number, packed; sketches differ in at most as many bits as the sets."""
+    odd = np.bincount((h % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _windowed(percent: int):
     """A set task: sets with fewer unshared shingles than their window, their shared shingles and their pivots."""
 
@@ -170,7 +177,7 @@ def _windowed(percent: int):
             room = window_size(size, percent) - alone
             if room > 0:
                 shared = h[a:e].view(np.int64)
-                rows.append((int(fp[a : a + 1].view(np.int64)[0]), size, int(alone), shared, shared[:room]))
+                rows.append((int(fp[a : a + 1].view(np.int64)[0]), size, int(alone), shared, shared[:room], parity_sketch(h[a:e])))
             if len(rows) == 256:
                 yield _rows(rows)
                 rows = []
@@ -178,25 +185,25 @@ def _windowed(percent: int):
             yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        x, n, alone, shared, pivots = zip(*rows, strict=True)
+        x, n, alone, shared, pivots, sketch = zip(*rows, strict=True)
         many = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), pa.array(shared, many), pa.array(pivots, many)],
-            names=["x", "n", "alone", "shared", "pivots"],
+            [pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(alone, pa.int64()), pa.array(shared, many), pa.array(pivots, many), pa.array(sketch, many)],
+            names=["x", "n", "alone", "shared", "pivots", "sketch"],
         )
 
     return run
 
 
 def window_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(x, n, alone, shared, pivots) of the distinct sets that may have a partner; ``docs`` has a column text."""
+    """(x, n, alone, shared, pivots, sketch) of the distinct sets that may have a partner; ``docs`` has a column text."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BYTES_A_PART))
     sent = docs.select("text").mapInArrow(_sent(k, parts), "part int, blob binary")
     counted = sent.repartition(parts, "part").mapInArrow(_counted(parts), "part int, blob binary")
     return counted.repartition(parts, "part").mapInArrow(
-        _windowed(percent), "x long, n long, alone long, shared array<long>, pivots array<long>"
+        _windowed(percent), "x long, n long, alone long, shared array<long>, pivots array<long>, sketch array<long>"
     )
 
 
@@ -239,11 +246,16 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
         outside = inside.filter("label <> ball")
         alive = outside.select("e").distinct()
         inside = inside.join(alive, "e", "left_semi")
-    a = outside.select("e", "x", "n", "i", "label", "d")
-    b = inside.select("e", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"), F.col("d").alias("c"))
+    sketches = sets.select("x", "alone", "sketch")
+    a = outside.join(sketches, "x").select("e", "x", "n", "i", "label", "d", "alone", "sketch")
+    b = inside.join(sketches, "x").select(
+        "e", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"), F.col("d").alias("c"), F.col("alone").alias("lone"), F.col("sketch").alias("sk")
+    )
     slack = (100 - percent) / 100 + 1e-9
+    apart = " + ".join(f"bit_count(sketch[{w}] ^ sk[{w}])" for w in range(SKETCH_BITS // 64))
+    near = F.expr(f"{100 + percent} * (alone + lone + {apart}) <= {100 - percent} * (n + m)")
     open_pairs = (
-        a.join(b, (a["e"] == b["e"]) & (F.col("label") != F.col("other")) & F.expr(f"coalesce(abs(d - c) <= {slack}, true)") & _may_link(percent))
+        a.join(b, (a["e"] == b["e"]) & (F.col("label") != F.col("other")) & F.expr(f"coalesce(abs(d - c) <= {slack}, true)") & _may_link(percent) & near)
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )

@@ -85,7 +85,7 @@ def _spread_over(residuals: Column) -> Column:
 def mixed(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``size`` (words), ``source_size``, ``target`` of its source, ``copies``, ``taken`` (words).
+    """One row per row of ``docs``: id, ``size`` (words), ``source_size``, ``target`` of its source, ``copies``, ``taken`` (words), ``row_hash`` (of id and text).
 
     A null text has no words; documents without words are taken 0 times their 0 words. A null source is a source of
     its own, last in order. Repeated rows are documents of their own. Copies of a document never exceed the next
@@ -120,4 +120,4 @@ def mixed(
     last = last.withColumn("g", F.transform("g", lambda x: _with_p(x, x["p"]))).select(*fixed, F.explode(_spread_over(F.col("g"))).alias("x"))
     copies = (F.col("base") + F.col("x.p")).cast("long")
     size = F.col("x.size").cast("long")
-    return settled.unionByName(last).select(F.col("x.id").alias(id_col), size.alias("size"), "source_size", "target", copies.alias("copies"), (copies * size).alias("taken"))
+    return settled.unionByName(last).select(F.col("x.id").alias(id_col), size.alias("size"), "source_size", "target", copies.alias("copies"), (copies * size).alias("taken"), F.col("x.h").alias("row_hash"))

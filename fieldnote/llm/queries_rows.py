@@ -39,7 +39,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_mix_sources")
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash")
 
 
 @query("op8_quality_rules")

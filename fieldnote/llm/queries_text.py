@@ -47,7 +47,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "sources")
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "sources", "row_hash")
 
 
 @query("op5_toxicity")

@@ -161,7 +161,7 @@ def repeated_windows(d: DataFrame, table: DataFrame, window: int) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept``, ``sources``.
+    """One row per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept``, ``sources``, ``row_hash`` (of the text).
 
     A word goes if a window of ``window`` words that covers it also starts in a row with a smaller id, judged on
     the input. Null and empty texts have no words. Repeats inside one id stay, also over several rows of that id.
@@ -183,4 +183,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = table.join(per_row.select(*key), key, "left_anti").select(
         *key, "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.lit(None).cast("string").alias("kept"), F.lit(None).cast(f"array<{kind}>").alias("sources")
     )
-    return cut.unionByName(rest).select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("sha").alias("kept_sha256"), "kept", "sources")
+    return cut.unionByName(rest).select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("sha").alias("kept_sha256"), "kept", "sources", F.col("row").alias("row_hash"))

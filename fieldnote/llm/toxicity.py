@@ -12,7 +12,7 @@ calibrated on the examples themselves, each scored without itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -225,7 +225,7 @@ def _example_vectors(index: Index):
     return run
 
 
-def _scores(shared):
+def _scores(shared, carried: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         none = index.vote(np.zeros(0, np.int64), np.zeros(0))
@@ -236,13 +236,14 @@ def _scores(shared):
                 vote[r] = index.vote(found, scores)
                 evidence[r] = [{"id": index.ids[i], "similarity": float(s), "label": int(index.labels[i])} for i, s in zip(found[:3], scores[:3], strict=True)]
             kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.calibrated(vote)), pa.array(evidence, kind)], names=["id", "score", "evidence"])
+            more = [f"c{i}" for i in range(carried)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.calibrated(vote)), pa.array(evidence, kind), *b.columns[2:]], names=["id", "score", "evidence", *more])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: float = 0.7) -> DataFrame:
-    """One row per row of ``docs``: id, ``held_out``, ``score``, ``predicted``, ``evidence`` (the three nearest examples).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: float = 0.7, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, ``held_out``, ``score``, ``predicted``, ``evidence`` (the three nearest examples), columns ``carry``.
 
     Ids are whole numbers. Labels are learned only from ids whose crc32 (of the id as text) modulo 3 is not 1; the
     largest label of an id counts, null ids and labels do not. Texts without a term of the vocabulary, null and
@@ -253,5 +254,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").filter(~held)
     index = fitted_index(d, stored(known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label")), "labelled"))
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    out = d.mapInArrow(_scores(shared), "id long, score double, evidence array<struct<id: long, similarity: double, label: int>>")
-    return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"), "evidence")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    more = "".join(f", c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    out = rows.mapInArrow(_scores(shared, len(carry)), f"id long, score double, evidence array<struct<id: long, similarity: double, label: int>>{more}")
+    own = [F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"), "evidence"]
+    return out.select(*own, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
