@@ -166,7 +166,9 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     counts = np.zeros(size + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         counts[r["length"]] = r["n"]
-    plan = spark.createDataFrame(pd.DataFrame(slots(packed_patterns(counts, size)), columns=["l", "first", "last", "sequence", "offset"], dtype="int64"))
+    names = ["l", "first", "last", "sequence", "offset"]
+    table = pd.DataFrame(slots(packed_patterns(counts, size)), columns=names, dtype="int64")
+    plan = spark.createDataFrame(table, ", ".join(f"{c} long" for c in names))
     before = by_task.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     # the plan has a bounded number of slots: a few per pattern, patterns a bounded number per length
