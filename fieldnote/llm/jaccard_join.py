@@ -37,6 +37,8 @@ from fieldnote.llm.store import stored
 from fieldnote.llm.wordhash import Q, Texts, batches, distinct, mix, powers, runs, window_hashes, word_hashes, words
 
 SKETCH_BITS = 1024
+AT_ONCE = 1_000_000
+"""Text bytes that are shingled together."""
 BYTES_A_PART = 32_000_000
 """Text bytes whose shingles one range task counts."""
 
@@ -69,7 +71,7 @@ def window_size(n: int, percent: int) -> int:
 
 def _sizes(id_col: str, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, t in batches(it, "text"):
+        for b, t in batches(it, "text", AT_ONCE):
             sets = shingle_sets(t, k)
             n = np.array([len(s) for s in sets], np.int64)
             fp = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
@@ -86,7 +88,7 @@ def _sent(k: int, parts: int):
     """Packed rows (part, blob): fingerprints and sizes of the sets, then their shingles of that hash range."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in batches(it, "text"):
+        for _, t in batches(it, "text", AT_ONCE):
             sets = [s for s in shingle_sets(t, k) if len(s)]
             if not sets:
                 continue

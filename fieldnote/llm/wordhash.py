@@ -151,8 +151,8 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
 
 
-def batches(table_batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+def batches(table_batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Each batch cut into chunks of its text column, with the rows of the chunk."""
     for b in table_batches:
-        for t in chunks(b.column(b.schema.get_field_index(column))):
+        for t in chunks(b.column(b.schema.get_field_index(column)), limit):
             yield b.slice(t.first, len(t)), t
