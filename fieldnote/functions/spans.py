@@ -91,6 +91,8 @@ def allowed_regions(posts: Column, char_start: Column, char_end: Column, author:
     return F.concat(own, later_regions(posts, char_start, author))
 
 
-def later_text(text: Column, posts: Column, char_start: Column, author: Column, most: int = vocab.LATER_CHARS) -> Column:
+def later_text(text: Column, posts: Column, char_start: Column, author: Column, most: int | None = None) -> Column:
+    """The posts of ``later_regions`` joined; whole, unless ``most`` characters are asked for."""
     parts = F.transform(later_regions(posts, char_start, author), lambda r: region_text(text, r))
-    return F.substring(F.array_join(parts, "\n---\n"), 1, most)
+    joined = F.array_join(parts, "\n---\n")
+    return joined if most is None else F.substring(joined, 1, most)

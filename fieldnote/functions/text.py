@@ -232,7 +232,7 @@ def gate_reason(text: Column, patterns: Sequence[str]) -> Column:
     rule = None
     for p in patterns:
         hit = text.rlike("(?iu)" + p)
-        rule = F.when(hit, f"lexicon:{p[:40]}") if rule is None else rule.when(hit, f"lexicon:{p[:40]}")
+        rule = F.when(hit, f"lexicon:{p}") if rule is None else rule.when(hit, f"lexicon:{p}")
     any_term = text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
     return (
         F.when(any_term, rule)

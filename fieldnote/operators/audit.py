@@ -213,7 +213,7 @@ def check_floor_claims(answers: DataFrame) -> DataFrame:
     t = uncited(F.col("text"))
     hits = F.arrays_zip(_all(t, rb.FLOOR_CLAIM, 0).alias("h"), _all(t, rb.FLOOR_CLAIM, 1).alias("n"), _all(t, rb.FLOOR_CLAIM, 2).alias("f"))
     bad = F.filter(hits, lambda x: _number(x["n"]) >= _number(x["f"]))
-    return _problem(answers, "floor_claim", F.transform(bad, lambda x: F.substring(x["h"], 1, 80)))
+    return _problem(answers, "floor_claim", F.transform(bad, lambda x: x["h"]))
 
 
 def check_proportions(answers: DataFrame, rows: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def check_quotes(answers: DataFrame, rows: DataFrame, stories: DataFrame) -> Dat
     parts = F.filter(F.split("q", "\\s*(?:…|\\.\\.\\.)\\s*"), lambda p: _word_count(p) >= 3)
     df = df.withColumn("parts", F.when(F.size(parts) > 0, parts).otherwise(F.array("q")))
     found = F.forall("parts", lambda p: F.exists("hay", lambda h: F.contains(h, p)))
-    return df.filter(~found).select("answer_id", F.lit("quotes").alias("problem"), F.substring("quote", 1, 80).alias("detail"))
+    return df.filter(~found).select("answer_id", F.lit("quotes").alias("problem"), F.col("quote").alias("detail"))
 
 
 # ------------------------------------------------------------------------------- rules on wording
@@ -376,7 +376,7 @@ def check_comparison(answers: DataFrame) -> DataFrame:
     differ = F.when(
         ~question & ~F.col("s").rlike(rb.NEGATION) & ~F.col("s").rlike("(?i)\\bwhether\\b"), _all(F.col("s"), rb.KIND_DIFFER)
     ).otherwise(_none())
-    cut = lambda x: F.substring(F.trim(x), 1, 80)
+    cut = F.trim
     return _problem(
         df, "comparison",
         F.concat(F.transform(compare, lambda x: cut(x["h"])), F.transform(ranks, lambda x: cut(x["h"])), F.transform(differ, cut)),
@@ -399,7 +399,7 @@ def check_backing(answers: DataFrame) -> DataFrame:
     near = F.when(F.col("i") == 0, F.slice("all", 1, 4)).otherwise(F.slice("all", F.col("i"), 3))
     backed = F.exists(near, lambda x: x.rlike(rb.SUPPORT) | x.rlike(fraction))
     bad = ~F.endswith(bare, F.lit("?")) & bare.rlike(rb.VAGUE) & ~bare.rlike(rb.REASONING) & ~backed
-    return df.filter(bad).select("answer_id", F.lit("unbacked").alias("problem"), F.substring(bare, 1, 90).alias("detail"))
+    return df.filter(bad).select("answer_id", F.lit("unbacked").alias("problem"), bare.alias("detail"))
 
 
 def check_form(answers: DataFrame) -> DataFrame:

@@ -17,9 +17,13 @@ SPINE_QUESTIONS = ["1.4", "3.2", "5.4", "7.2"]
 
 
 def code_maps(codes: DataFrame) -> DataFrame:
-    """One map of question to values per story. A story has a bounded number of questions."""
+    """One map of question to values per story, values in the order stated. A story has a bounded number of questions.
+
+    The order is ``position`` where the rows carry it, else ``seq``; values without either are ordered by name.
+    """
+    place = F.coalesce(*[F.col(c) for c in ("position", "seq") if c in codes.columns], F.lit(0))
     per = codes.groupBy("story_id", "question").agg(
-        F.transform(F.array_sort(F.collect_set(F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), "value"))), lambda x: x["value"]).alias("values")
+        F.transform(F.array_sort(F.collect_set(F.struct(place.alias("seq"), "value"))), lambda x: x["value"]).alias("values")
     )
     return per.groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("question", "values"))).alias("codes"))
 
@@ -30,8 +34,9 @@ def canonical_values(answers: DataFrame, dim_value: DataFrame) -> tuple[DataFram
     ``answers``: story_id, question, position, value, other (free text of an ``other`` answer). Free text that
     spells a listed value, or its part after the colon, is that value; other free text becomes
     ``other:<slug>``. Invalid values are dropped and counted; ``not_stated`` stands only alone.
+    Each code keeps its ``position`` among the story's answers; ``seq`` is published for question 7.2 alone.
     """
-    slug = F.substring(F.replace(F.lower(tx.squeeze(F.coalesce("other", F.lit("")))), F.lit(" "), F.lit("_")), 1, 60)
+    slug = F.replace(F.lower(tx.squeeze(F.coalesce("other", F.lit("")))), F.lit(" "), F.lit("_"))
     # The first listing of a spelling wins, as in the question's own order.
     place = F.col("position") if "position" in dim_value.columns else F.lit(0)
     listed = dim_value.select("question", "value", place.alias("p"))
@@ -46,12 +51,12 @@ def canonical_values(answers: DataFrame, dim_value: DataFrame) -> tuple[DataFram
     valid = listed.select(F.col("question").alias("vq"), F.col("value").alias("known")).distinct()
     free_text = (F.col("value") == "other") & (F.col("slug") != "")
     rows = answers.withColumn("slug", slug).join(
-        F.broadcast(spelled), (F.col("question") == F.col("sq")) & (F.col("slug") == F.col("ss")) & free_text, "left"
+        spelled, (F.col("question") == F.col("sq")) & (F.col("slug") == F.col("ss")) & free_text, "left"
     )
     free = F.concat(F.lit("other:"), F.when(F.col("slug") == "", "unspecified").otherwise(F.col("slug")))
     rows = rows.withColumn(
         "code", F.when(F.col("value") == "other", F.coalesce("listed", free)).otherwise(F.col("value"))
-    ).join(F.broadcast(valid), (F.col("question") == F.col("vq")) & (F.col("code") == F.col("known")), "left")
+    ).join(valid, (F.col("question") == F.col("vq")) & (F.col("code") == F.col("known")), "left")
     ok = F.col("known").isNotNull() | (F.col("code") == "not_stated") | (
         F.col("code").startswith("other:") & (F.length("code") > 6)
     )
@@ -76,6 +81,7 @@ def canonical_values(answers: DataFrame, dim_value: DataFrame) -> tuple[DataFram
             "question",
             F.coalesce("code", F.lit("not_stated")).alias("value"),
             F.when(F.col("question") == "7.2", F.col("nth")).alias("seq"),
+            F.col("nth").alias("position"),
         )
     )
     return codes, problems
@@ -115,7 +121,7 @@ def code_rows(codes: DataFrame, cues: DataFrame, stories: DataFrame, dim_questio
     flags = dim_question.select("question", "inferred")
     return (
         rows.join(stories.select("story_id", F.col("coding_conf").alias("confidence")), "story_id")
-        .join(F.broadcast(flags), "question", "left")
+        .join(flags, "question", "left")
         .select(
             "story_id", "question", "value", "accuracy", "seq",
             F.coalesce("inferred", F.lit(False)).alias("inferred"), "confidence", F.lit(run_id).alias("run_id"),
@@ -211,7 +217,7 @@ def residual_evidence(codes: DataFrame, spine: DataFrame, stories: DataFrame, di
         F.lit("other_value").alias("kind"), "story_id", "question", "value"
     )
     unsure = spine.filter(F.col("coding_conf") < below).select("story_id", "primary_stage").join(
-        stories.select("story_id", F.substring("text", 1, 500).alias("text")), "story_id"
+        stories.select("story_id", "text"), "story_id"
     ).select(F.lit("low_confidence").alias("kind"), "story_id", "primary_stage", "text")
     apart = disagreements.select(F.lit("reader_disagreement").alias("kind"), "story_id", "coded", "reader")
     return others.unionByName(unsure, allowMissingColumns=True).unionByName(apart, allowMissingColumns=True)

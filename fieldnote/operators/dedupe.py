@@ -229,17 +229,18 @@ def similar_texts(
 def cross_author_echoes(
     records: DataFrame,
     t: float = vocab.NEAR_DUPLICATE,
-    max_chars: int = vocab.ECHO_MAX_CHARS,
+    max_chars: int | None = None,
     text: str = "text_clean",
 ) -> DataFrame:
     """Pairs of different authors with similar texts, counted per source: ``source, echo_pairs``.
 
+    All texts count; ``max_chars`` leaves longer ones out for a caller who asks for that.
+
     Copies are counted from per-author totals of each word set, so a large group of copies costs one
     row per author, not one row per pair.
     """
-    rows = records.filter(
-        F.col("author_key").isNotNull() & (F.col("author_key") != "") & (F.length(text) <= max_chars)
-    ).select("source", "author_key", word_set(F.col(text)).alias("words"))
+    short = F.lit(True) if max_chars is None else F.length(text) <= max_chars
+    rows = records.filter(F.col("author_key").isNotNull() & (F.col("author_key") != "") & short).select("source", "author_key", word_set(F.col(text)).alias("words"))
     rows = rows.filter(F.size("words") > 0).withColumn("set_key", F.md5(F.array_join("words", " ")))
     by_author = rows.groupBy("source", "set_key", "author_key").agg(F.count("*").alias("n"))
     totals = by_author.groupBy("source", "set_key").agg(

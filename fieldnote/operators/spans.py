@@ -274,7 +274,7 @@ def apply_verdicts(
         judged = judged.join(records.select("record_id", "source"), "record_id")
     keeps = F.coalesce(F.col("is_story"), F.lit(False))
     rejected = judged.filter("is_story = false")
-    told = F.substring(F.concat(F.lit("rejected by confirmation: "), F.coalesce("new_reason", F.lit(""))), 1, 300)
+    told = F.concat(F.lit("rejected by confirmation: "), F.coalesce("new_reason", F.lit("")))
     out = mk.add_marks(exclusions, mk.mark(rejected, "segment", "no_story", told, run_id, story=True))
     live = mk.live_stories(stories, out).groupBy("record_id").agg(F.count("*").alias("live"))
     emptied = (

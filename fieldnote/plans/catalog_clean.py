@@ -249,7 +249,7 @@ def similar_texts(spark: S, d: str) -> DataFrame:
                     ON x.source = y.source AND x.record_id < y.record_id AND x.author_key <> y.author_key
                     WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) > 0.85
                     GROUP BY x.source""",
-      {"rows": f"SELECT record_id, source, author_key, list_distinct({WORDS.format('text_clean')}) AS w FROM records WHERE length(text_clean) <= 2000 AND len({WORDS.format('text_clean')}) > 0"}),
+      {"rows": f"SELECT record_id, source, author_key, list_distinct({WORDS.format('text_clean')}) AS w FROM records WHERE len({WORDS.format('text_clean')}) > 0"}),
 )
 def echo_pairs(spark: S, d: str) -> DataFrame:
     return dedupe.cross_author_echoes(st.records(spark, d)).filter("echo_pairs > 0")

@@ -58,14 +58,14 @@ def deleted_posts(spark: S, d: str) -> DataFrame:
 
 @query(
     "distinct_posts",
-    """SELECT thread_id, min(ordinal) AS ordinal, author, text FROM (SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(turn AS INT) AS ordinal, role AS author, substr(text, 1, 2) AS text FROM conversations)
+    """SELECT thread_id, min(ordinal) AS ordinal, author, text FROM (SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(turn AS INT) AS ordinal, role AS author, text FROM conversations)
        GROUP BY thread_id, author, text""",
 )
 def distinct_posts(spark: S, d: str) -> DataFrame:
     c = st.read(spark, d, "conversations")
     rows = c.select(
         F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").cast("int").alias("ordinal"), F.col("role").alias("author"),
-        F.lit(None).cast("string").alias("created_at"), F.substring("text", 1, 2).alias("text"),
+        F.lit(None).cast("string").alias("created_at"), "text",
     )
     return sp.distinct_posts(rows).drop("created_at")
 
@@ -211,7 +211,7 @@ def allowed_regions(spark: S, d: str) -> DataFrame:
 
 @query(
     "later_texts",
-    T("posts", """SELECT story_id, md5(substr(string_agg(p.clean, chr(10) || '---' || chr(10) ORDER BY p.post), 1, 3000)) AS digest FROM authored a JOIN placed p
+    T("posts", """SELECT story_id, md5(string_agg(p.clean, chr(10) || '---' || chr(10) ORDER BY p.post)) AS digest FROM authored a JOIN placed p
                   ON p.thread_id = a.record_id AND p.post > a.post AND p.author_key = a.author_key GROUP BY story_id""", _AUTHORED),
 )
 def later_texts(spark: S, d: str) -> DataFrame:
@@ -378,14 +378,14 @@ _NODE = f"""CASE WHEN primary_stage = '5' AND b54 THEN 'target_ranked_visible'
   WHEN primary_stage IN ('7', '8') AND t72 AND outcome IN ('found', 'found_after_struggle') THEN 'found_after_refinement' ELSE {st.sql_map(vocab.STAGE_NODE, 'primary_stage')} END"""
 _FLAGS = {
     "fl": """SELECT story_id, bool_or(question = '5.4' AND value <> 'not_stated') AS b54, bool_or(question = '7.2' AND value NOT IN ('not_stated', 'quit')) AS t72,
-               bool_or(question = '5.6' AND value <> 'not_stated') AS f56, min(CASE WHEN question = '3.2' THEN value END) AS mode FROM codes GROUP BY story_id""",
-    "sx": "SELECT s.*, coalesce(b54, false) AS b54, coalesce(t72, false) AS t72, coalesce(f56, false) AS f56, mode FROM stories s LEFT JOIN fl USING (story_id)",
+               bool_or(question = '5.6' AND value <> 'not_stated') AS f56 FROM codes GROUP BY story_id""",
+    "stated": """SELECT CAST(l_orderkey AS VARCHAR) AS story_id, min({'l': l_linenumber, 'v': CASE WHEN l_linestatus = 'O' THEN 'scroll' ELSE 'search' END}).v AS mode FROM lineitem GROUP BY 1""",
+    "sx": "SELECT s.*, coalesce(b54, false) AS b54, coalesce(t72, false) AS t72, coalesce(f56, false) AS f56, mode FROM stories s LEFT JOIN fl USING (story_id) LEFT JOIN stated USING (story_id)",
 }
 
 
 def _maps(spark: S, d: str) -> DataFrame:
-    needed = st.codes(spark, d).filter(F.col("question").isin(cd.SPINE_QUESTIONS))
-    return cd.code_maps(needed.withColumn("seq", F.lit(None).cast("int")))
+    return cd.code_maps(st.codes(spark, d, in_order=True).filter(F.col("question").isin(cd.SPINE_QUESTIONS)))
 
 
 @query(
@@ -453,7 +453,7 @@ _PART = {
         {'value': 'other', 'other': CASE WHEN p_size < 10 THEN 'Album ' WHEN p_size < 20 THEN 'or year' WHEN p_size < 30 THEN p_type WHEN p_size < 35 THEN '  ' ELSE 'date_or_year' END},
         {'value': CASE WHEN p_size % 2 = 0 THEN 'not_stated' ELSE 'bogus' END, 'other': ''}, {'value': CASE WHEN p_size > 45 THEN 'album' ELSE 'not_stated' END, 'other': ''}]) AS x FROM part)""",
     "dim_value": f"SELECT '2.4' AS question, unnest({st._sql_list(st.LOST + ['who:or_year', 'not_stated', 'other'])}) AS value",
-    "slugged": "SELECT *, substr(replace(lower(trim(regexp_replace(other, '\\s+', ' ', 'g'))), ' ', '_'), 1, 60) AS slug FROM ans",
+    "slugged": "SELECT *, replace(lower(trim(regexp_replace(other, '\\s+', ' ', 'g'))), ' ', '_') AS slug FROM ans",
     "coded": """SELECT s.*, CASE WHEN s.value <> 'other' THEN s.value ELSE coalesce((SELECT min(v.value) FROM dim_value v WHERE slug <> '' AND (v.value = slug OR split_part(v.value, ':', -1) = slug)),
                 'other:' || CASE WHEN slug = '' THEN 'unspecified' ELSE slug END) END AS code FROM slugged s""",
     "said": "SELECT DISTINCT story_id, code FROM coded WHERE code <> 'not_stated' AND (code LIKE 'other:%' OR code IN (SELECT value FROM dim_value))",
@@ -729,11 +729,11 @@ def field_survival(spark: S, d: str) -> DataFrame:
 @query(
     "truncated_texts",
     """SELECT CAST(doc_id AS VARCHAR) AS record_id, source, length(t) AS length, cut AS cut_marker FROM (SELECT *, t LIKE '%Read more' OR t LIKE '%...more' OR t LIKE '%… (more)' AS cut FROM (
-         SELECT doc_id, source, CASE WHEN n_chars % 7 = 0 THEN text || ' Read more' ELSE substr(text, 1, 500) END AS t FROM documents))
+         SELECT doc_id, source, CASE WHEN n_chars % 7 = 0 THEN text || ' Read more' ELSE text END AS t FROM documents))
        WHERE (cut OR length(t) IN (280, 500, 1000, 2000, 4000, 5000, 10000)) AND n_chars_ok(length(t), source)""".replace("AND n_chars_ok(length(t), source)", ""),
 )
 def truncated_texts(spark: S, d: str) -> DataFrame:
-    cut = F.when(F.length("text_raw") % 7 == 0, F.concat("text_raw", F.lit(" Read more"))).otherwise(F.substring("text_raw", 1, 500))
+    cut = F.when(F.length("text_raw") % 7 == 0, F.concat("text_raw", F.lit(" Read more"))).otherwise(F.col("text_raw"))
     return ck.truncated_texts(st.records(spark, d).withColumn("text_raw", cut))
 
 

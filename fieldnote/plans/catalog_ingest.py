@@ -27,35 +27,37 @@ def _plain(column: str = "text"):
 
 # ------------------------------------------------------------------------------- threads
 def thread_payloads(spark: S, d: str) -> DataFrame:
-    """Each conversation as one nested post: the first turn, answered by the second, answered by the rest."""
+    """Each conversation as one nested post: every turn is the reply to the turn before."""
     turn = F.struct("turn", "role", "text")
     c = st.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    rest = F.transform(F.slice("t", 3, 1000), lambda x: F.struct(x["role"].alias("author"), x["text"].alias("body")))
-    second = F.transform(
-        F.slice("t", 2, 1), lambda x: F.struct(x["role"].alias("author"), x["text"].alias("body"), rest.alias("replies"))
+    # every turn answers the one before, so the tree is as deep as the conversation is long
+    open_ = F.transform(
+        F.slice("t", 2, F.size("t")), lambda x: F.rtrim(F.to_json(F.struct(x["role"].alias("author"), x["text"].alias("body"))), F.lit("}"))
     )
+    chain = F.when(F.size("t") > 1, F.concat(F.lit("["), F.array_join(open_, ',"replies":['), F.repeat(F.lit("}]"), F.size("t") - 1))).otherwise("[]")
     first = F.get("t", 0)
     payload = F.to_json(
         F.struct(
             F.col("conv_id").cast("string").alias("reddit_id"), F.lit("").alias("title"), first["text"].alias("body"), first["role"].alias("author"),
             F.lit("1700000000").alias("created_utc"), F.concat(F.lit("/r/x/"), "conv_id").alias("permalink"), F.lit("x").alias("subreddit"),
-            F.size("t").alias("score"), second.alias("comments"),
+            F.size("t").alias("score"),
         )
     )
+    payload = F.concat(F.rtrim(payload, F.lit("}")), F.lit(',"comments":'), chain, F.lit("}"))
     return c.select(payload.alias("payload"), F.lit("term").alias("collect_query"), F.col("conv_id").alias("arrival"))
 
 
 @query(
     "thread_records",
-    f"""SELECT native_id, n AS engagement, md5(string_agg(c, chr(10) || chr(10) ORDER BY turn)) AS digest, count(*) AS posts FROM (
+    f"""SELECT native_id, n AS engagement, CASE WHEN NOT risky THEN md5(string_agg(c, chr(10) || chr(10) ORDER BY turn)) END AS digest, count(*) AS posts FROM (
           SELECT 't3_' || conv_id AS native_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, bool_or({_HAS_DATA.format('text')}) OVER (PARTITION BY conv_id) AS risky, {_NORM} AS c FROM conversations)
-        WHERE c <> '' AND NOT risky GROUP BY native_id, n""",
+        WHERE c <> '' GROUP BY native_id, n, risky""",
 )
 def thread_records(spark: S, d: str) -> DataFrame:
-    """Nested threads to records, depth first. Threads with personal data are compared elsewhere."""
-    risky = st.read(spark, d, "conversations").filter(~_plain()).select(F.concat(F.lit("t3_"), F.col("conv_id").cast("string")).alias("native_id")).distinct()
-    rows = mp.map_records(thread_payloads(spark, d), "reddit", st.SALT, "r").join(risky, "native_id", "left_anti")
-    return rows.select("native_id", "engagement", F.md5("text_clean").alias("digest"), F.coalesce(F.size("posts"), F.lit(1)).alias("posts"))
+    """Nested threads to records, depth first. All threads; a digest only where SQL, which has no scrub, has the same text."""
+    risky = st.read(spark, d, "conversations").filter(~_plain()).select(F.concat(F.lit("t3_"), F.col("conv_id").cast("string")).alias("native_id"), F.lit(True).alias("risky")).distinct()
+    rows = mp.map_records(thread_payloads(spark, d), "reddit", st.SALT, "r").join(risky, "native_id", "left")
+    return rows.select("native_id", "engagement", F.when(F.col("risky").isNull(), F.md5("text_clean")).alias("digest"), F.coalesce(F.size("posts"), F.lit(1)).alias("posts"))
 
 
 @query(
@@ -84,18 +86,19 @@ def _flat(spark: S, d: str, fields: list) -> DataFrame:
     )
 
 
-_FLAT_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, md5(c) AS digest, <columns> FROM (SELECT doc_id, source, lang, n_chars, text, {_NORM} AS c FROM documents)
-                WHERE c <> '' AND NOT {_HAS_DATA.format('text')}"""
+_FLAT_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, CASE WHEN NOT {_HAS_DATA.format('text')} THEN md5(c) END AS digest, <columns>
+                FROM (SELECT doc_id, source, lang, n_chars, text, {_NORM} AS c FROM documents) WHERE c <> ''"""
 
 
-def _compared(spark: S, d: str, rows: DataFrame, *cols) -> DataFrame:
-    """Mapped rows beside SQL, which has no scrub: texts that may hold personal data are compared in the tests."""
-    risky = st.read(spark, d, "documents").filter(~_plain()).select(F.col("doc_id").cast("string").alias("native_id"))
+def _compared(spark: S, d: str, rows: DataFrame, *cols, plain=None) -> DataFrame:
+    """All mapped rows; a digest of the text where SQL, which has no scrub, has the same text. The tests compare the rest."""
+    same = _plain() if plain is None else plain
+    risky = st.read(spark, d, "documents").filter(~same).select(F.col("doc_id").cast("string").alias("native_id"), F.lit(True).alias("risky"))
     return (
         rows.filter(F.col("record_id").isNotNull())
         .withColumn("native_id", F.regexp_replace("native_id", "^in-", ""))
-        .join(risky, "native_id", "left_anti")
-        .select("native_id", F.md5("text_clean").alias("digest"), *cols)
+        .join(risky, "native_id", "left")
+        .select("native_id", F.when(F.col("risky").isNull(), F.md5("text_clean")).alias("digest"), *cols)
     )
 
 
@@ -124,8 +127,8 @@ def answer_records(spark: S, d: str) -> DataFrame:
 
 @query(
     "short_post_records",
-    f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, md5(c) AS digest, CASE WHEN n_chars % 3 = 0 THEN 'reply' END AS thread_context, 'https://x.com/i/status/' || doc_id AS source_url
-        FROM (SELECT doc_id, n_chars, text, {_NORM} AS c FROM documents) WHERE c <> '' AND NOT {_HAS_DATA.format('text')} AND text NOT LIKE '%&%' AND n_chars % 11 <> 0""",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, CASE WHEN NOT {_HAS_DATA.format('text')} AND text NOT LIKE '%&%' THEN md5(c) END AS digest, CASE WHEN n_chars % 3 = 0 THEN 'reply' END AS thread_context, 'https://x.com/i/status/' || doc_id AS source_url
+        FROM (SELECT doc_id, n_chars, text, {_NORM} AS c FROM documents) WHERE c <> '' AND n_chars % 11 <> 0""",
 )
 def short_post_records(spark: S, d: str) -> DataFrame:
     """The longer of two texts counts; reposts are fetched but hold no text."""
@@ -135,9 +138,8 @@ def short_post_records(spark: S, d: str) -> DataFrame:
         [c("doc_id").cast("string").alias("id"), F.substring("text", 1, 100).alias("fullText"), c("text"), (c("n_chars") % 3 == 0).alias("isReply"), (c("n_chars") % 11 == 0).alias("isRetweet")],
     )
     rows = mp.map_records(raw, "x", st.SALT, "r")
-    # A text holding an entity is decoded, so such originals are left to the tests.
-    coded = st.read(spark, d, "documents").filter(c("text").contains("&")).select(c("doc_id").cast("string").alias("native_id"))
-    return _compared(spark, d, rows.join(coded, "native_id", "left_anti"), "thread_context", "source_url")
+    # A text holding an entity is decoded, which SQL does not.
+    return _compared(spark, d, rows, "thread_context", "source_url", plain=_plain() & ~c("text").contains("&"))
 
 
 @query("comment_thread_records")

@@ -358,7 +358,7 @@ _MODES = " OR ".join(
 @query(
     "failure_modes",
     T("stories codes", f"""SELECT primary_stage, mode, n, r FROM (SELECT *, row_number() OVER (PARTITION BY primary_stage ORDER BY n DESC, mode) AS r FROM (
-          SELECT primary_stage, question || ' ' || value AS mode, count(*) AS n FROM codes JOIN live USING (story_id) WHERE population = 'core' AND value <> 'not_stated' AND ({_MODES}) GROUP BY ALL)) WHERE r <= 12""", LIVE),
+          SELECT primary_stage, question || ' ' || value AS mode, count(*) AS n FROM codes JOIN live USING (story_id) WHERE population = 'core' AND value <> 'not_stated' AND ({_MODES}) GROUP BY ALL))""", LIVE),
 )
 def failure_modes(spark: S, d: str) -> DataFrame:
     return op.failure_modes(spine(spark, d), st.codes(spark, d))

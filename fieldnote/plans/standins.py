@@ -204,7 +204,8 @@ def stories(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def codes(spark: SparkSession, folder: str) -> DataFrame:
+def codes(spark: SparkSession, folder: str, in_order: bool = False) -> DataFrame:
+    """Order lines as codes; ``in_order`` adds the ``position`` at which a story states a value first."""
     n = F.col("l_linenumber") - 1
     flag, q = F.col("l_returnflag"), F.col("l_quantity")
     # Judgements as numbers in the order of their names: a number is aggregated in a hash map, a string by sorting.
@@ -223,9 +224,9 @@ def codes(spark: SparkSession, folder: str) -> DataFrame:
     melted = F.array(*[F.struct(F.lit(a).alias("question"), b.alias("value"), c.alias("accuracy")) for a, b, c in rows])
     return (
         read(spark, folder, "lineitem")
-        .select(F.col("l_orderkey").cast("string").alias("story_id"), F.explode(melted).alias("x"))
+        .select(F.col("l_orderkey").cast("string").alias("story_id"), F.col("l_linenumber").alias("line"), F.explode(melted).alias("x"))
         .groupBy("story_id", F.col("x.question").alias("question"), F.col("x.value").alias("value"))
-        .agg(F.max("x.accuracy").alias("k"))
+        .agg(F.max("x.accuracy").alias("k"), *([F.min("line").alias("position")] if in_order else []))
         .withColumn("accuracy", F.when(F.col("k") == 2, "certain_wrong").when(F.col("k") == 1, "certain_correct"))
         .drop("k")
     )

@@ -182,9 +182,6 @@ MAJORITY = (
     r"of the (?:people|cases|posts))|mostly|mainly|usually|typically)\b"
 )
 CITED_SENTENCE = r"[^.!?\n]+(?:[.!?]+|$)(?:\s*\[\[[a-z_]+\|[^\]]+\]\])*"
-SHARE_FIELDS = [
-    ("stories", "of"), ("core_stories", "of"), ("n_coded", "stories_asked"), ("stories", "of_said"),
-]
 VAGUE = (
     r"(?i)\b(?:most|mostly|majority|many|often|usually|commonly|common|typically|"
     r"rarely|rare|seldom|frequently|frequent|few|dominant|dominates|largest|biggest"

@@ -22,6 +22,7 @@ def local_session(app: str = "fieldnote", cpus: int | None = None, memory: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,16 +32,15 @@ def local_session(app: str = "fieldnote", cpus: int | None = None, memory: str =
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through reliable storage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A machine-local folder is
-    used only by a local-mode session that names none.
+    The folder is the shared one that the session names in ``spark.checkpoint.dir``. Where it names none, as a
+    test session may, a new folder is made; a cluster session without the setting is refused.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

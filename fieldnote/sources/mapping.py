@@ -8,9 +8,11 @@ offsets, ids) is the same for all sources. A thread is one record and stays in i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ from fieldnote.functions import text as tx
 from fieldnote.session import checkpointed
 
 POSTS = "array<struct<author:string,text:string,at:string>>"
-TREE_DEPTH = 10
 
 
 def _col(c: str | Column) -> Column:
@@ -43,48 +44,49 @@ def _filled(*options: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------- reply trees
-def tree_schema(fields: str, children: str, depth: int = TREE_DEPTH) -> str:
-    """The type of a nested reply list down to ``depth`` levels."""
-    node = f"struct<{fields}>"
-    for _ in range(depth - 1):
-        node = f"struct<{fields},{children}:array<{node}>>"
-    return f"array<{node}>"
-
-
-def flatten_tree(nodes: Column, pick: Callable[[Column], Column], children: str, depth: int = TREE_DEPTH) -> Column:
-    """A reply tree as one list, each reply right after what it answers, depth first."""
-    if depth == 1:
-        return F.transform(nodes, lambda n: pick(n))
-    return F.flatten(
-        F.transform(
-            nodes,
-            lambda n: F.concat(
-                F.array(pick(n)), F.coalesce(flatten_tree(n[children], pick, children, depth - 1), _none_like(pick, n))
-            ),
-        )
-    )
+def tree_posts(tree: Column) -> Column:
+    """A nested reply list, as JSON, as one list of posts: each reply right after what it answers, of any depth."""
 
+    def flat(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: _depth_first(json.loads(t)) if t else [])
 
-def _none_like(pick: Callable[[Column], Column], node: Column) -> Column:
-    return F.filter(F.array(pick(node)), lambda x: F.lit(False))
+    return F.pandas_udf(flat, POSTS)(tree)
+
+
+def _depth_first(nodes: list | None) -> list[dict]:
+    out, open_ = [], list(reversed(nodes or []))
+    while open_:
+        n = open_.pop()
+        if isinstance(n, dict):
+            values = ((k, n.get(f)) for k, f in (("author", "author"), ("text", "body"), ("at", "created_utc")))
+            out.append({k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in values})
+            replies = n.get("replies")
+            open_ += reversed(replies if isinstance(replies, list) else [])
+    return out
 
 
 def flatten_edges(edges: DataFrame) -> DataFrame:
     """A reply tree given as rows (``thread_id, id, parent, rank``), of any depth, in depth-first order.
 
-    Adds ``path``, the ranks from the root, which sorts depth first, and ``depth``. One join per level; the
-    lineage is cut at each, and nothing limits depth or rows.
+    Adds ``path``, the ranks from the root, which sorts depth first, ``depth``, and ``orphan``: a reply whose
+    parent row is not there is a root of its own and says so. One join per level; the lineage is cut at each,
+    and nothing limits depth or rows.
     """
     step = F.lpad(F.col("rank").cast("string"), 10, "0")
-    edges = edges.select("thread_id", "id", "parent", step.alias("step"))
-    level = checkpointed(edges.filter(F.col("parent").isNull()).select("thread_id", "id", F.col("step").alias("path"), F.lit(1).alias("depth")))
+    given = edges.select("thread_id", "id", "parent", step.alias("step"))
+    there = given.select("thread_id", F.col("id").alias("above")).distinct()
+    held = given.join(there.withColumnRenamed("thread_id", "t"), (F.col("thread_id") == F.col("t")) & (F.col("parent") == F.col("above")), "left")
+    edges = checkpointed(held.select("thread_id", "id", F.col("above").alias("parent"), "step", (F.col("parent").isNotNull() & F.col("above").isNull()).alias("orphan")))
+    # orphans stand after the roots that were roots already
+    top = F.when(F.col("orphan"), F.concat(F.lit("~"), "step", F.lit("."), F.col("id").cast("string"))).otherwise(F.col("step"))
+    level = checkpointed(edges.filter(F.col("parent").isNull()).select("thread_id", "id", top.alias("path"), F.lit(1).alias("depth"), "orphan"))
     out = level
-    children = edges.filter(F.col("parent").isNotNull()).withColumnRenamed("id", "child")
+    children = edges.filter(F.col("parent").isNotNull()).drop("orphan").withColumnRenamed("id", "child")
     while not level.isEmpty():
         above = level.withColumnRenamed("id", "parent")
         level = checkpointed(
             children.join(above, ["thread_id", "parent"]).select(
-                "thread_id", F.col("child").alias("id"), F.concat_ws(".", "path", "step").alias("path"), (F.col("depth") + 1).alias("depth")
+                "thread_id", F.col("child").alias("id"), F.concat_ws(".", "path", "step").alias("path"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("orphan")
             )
         )
         out = out.unionByName(level)
@@ -102,15 +104,13 @@ class Mapping:
     keep: Callable[[], Column] = lambda: F.lit(True)
 
 
-_COMMENT = "author:string,body:string,created_utc:string"
 _P = F.col
 
 
 def _reddit() -> dict[str, Column]:
     title, body = tx.strip(F.coalesce("p.title", F.lit(""))), tx.strip(F.coalesce("p.body", F.lit("")))
     opening = F.when(tx.is_deleted(body), title).otherwise(tx.strip(F.concat(title, F.lit("\n\n"), body)))
-    pick = lambda n: post(n["author"], n["body"], n["created_utc"])
-    replies = _or_empty(flatten_tree(F.col("p.comments"), pick, "replies"))
+    replies = _or_empty(tree_posts(F.col("p.comments")))
     people = F.filter(replies, lambda c: ~tx.is_bot(c["author"]))
     url = _filled(F.col("p.reddit_url"), F.col("p.permalink"), F.lit(""))
     return {
@@ -287,7 +287,7 @@ _LABEL = "struct<label:string>"
 MAPPINGS: dict[str, Mapping] = {
     "reddit": Mapping(
         "reddit_id string, title string, body string, author string, created_utc string, reddit_url string, "
-        "permalink string, subreddit string, score bigint, noResults boolean, comments " + tree_schema(_COMMENT, "replies"),
+        "permalink string, subreddit string, score bigint, noResults boolean, comments string",
         _reddit,
         keep=lambda: ~F.coalesce("p.noResults", F.lit(False)),
     ),

@@ -74,19 +74,12 @@ CROSSTAB_FIELDS = [
 CROSSTAB_EXTRA = [("primary_stage", "source"), ("q:3.2", "outcome"), ("q:9.4", "outcome")]
 BLOCKS = ["A", "B", "C", "D", "R", "S"]
 CORE_BLOCKS = ["A", "B", "C", "D", "R"]
-RESULT_TABLES = [
-    "analysis_funnel", "analysis_sources", "analysis_coverage", "analysis_reliability",
-    "analysis_crosstab", "analysis_derived", "analysis_opportunity",
-    "analysis_weight_sensitivity", "analysis_synthesis", "analysis_method_flags",
-]
 
 # ---------------------------------------------------------------- thresholds (fixed values)
 MIN_CHARS = 20
 NEAR_DUPLICATE = 0.85
 CROSS_AUTHOR_MIN_WORDS = 25
-ECHO_MAX_CHARS = 2000
 CHUNK_CHARS = 10_000
-LATER_CHARS = 3_000
 SNIPPET_CHARS = 700
 MIN_SPAN = 15
 REGISTER_ABOVE = 0.85

@@ -53,3 +53,24 @@ def test_kappa_edges(spark):
 def test_bands_break_where_they_should(spark):
     df = spark.createDataFrame([(4, 100), (5, 100), (10, 100), (15, 100), (25, 100)], "n int, d int")
     assert [r[0] for r in df.select(op.frequency_band(F.col("n"), F.col("d"))).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_first_mode_and_urgency_are_the_first_stated(spark):
+    from fieldnote.operators import coding as cd
+
+    answers = [("s", "3.2", 0, "scroll", ""), ("s", "3.2", 1, "album", ""), ("s", "1.4", 0, "none", ""), ("s", "1.4", 1, "urgency:soon", ""), ("s", "1.4", 2, "urgency:later", "")]
+    listed = [("3.2", "scroll"), ("3.2", "album"), ("1.4", "none"), ("1.4", "urgency:soon"), ("1.4", "urgency:later")]
+    rows = spark.createDataFrame(answers, "story_id string, question string, position int, value string, other string")
+    codes, _ = cd.canonical_values(rows, spark.createDataFrame(listed, "question string, value string"))
+    coded = spark.createDataFrame([("s", "3", "found", 1, 1, 1)], "story_id string, primary_stage string, outcome string, stakes int, effort int, emotional_intensity int")
+    r = cd.derive_spine(coded, cd.code_maps(codes)).first()
+    assert (r["mode_used"], r["urgency"]) == ("scroll", "urgency:soon")
+
+
+def test_long_free_text_answers_stay_apart(spark):
+    from fieldnote.operators import coding as cd
+
+    texts = ["x" * 70 + "a", "x" * 70 + "b"]
+    rows = spark.createDataFrame([("s", "2.4", i, "other", t) for i, t in enumerate(texts)], "story_id string, question string, position int, value string, other string")
+    codes, _ = cd.canonical_values(rows, spark.createDataFrame([("2.4", "other")], "question string, value string"))
+    assert {r["value"] for r in codes.collect()} == {f"other:{t}" for t in texts}

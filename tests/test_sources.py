@@ -99,3 +99,22 @@ def test_streamed_ingest_is_idempotent(spark):
     assert first == [("r0", "text 0"), ("r1", "text 1"), ("r2", "text 2")]
     feed(1)
     assert run() == first
+
+
+def test_deep_and_long_threads_keep_every_reply(spark):
+    deep = []
+    for k in range(40, 0, -1):
+        deep = [{"author": f"a{k}", "body": f"reply {k}", "replies": deep}]
+    wide = [{"author": "b", "body": f"turn {k}"} for k in range(2000)]
+    base = {"title": "T", "body": "top", "author": "Al", "created_utc": 1, "permalink": "/r/z/1", "subreddit": "z", "score": 3}
+    items = [{**base, "reddit_id": "deep", "comments": deep}, {**base, "reddit_id": "wide", "comments": wide}, {**base, "reddit_id": "none"}]
+    rows = {r["native_id"]: r for r in mp.map_records(raw(spark, items), "reddit", "salt", "run").collect()}
+    assert rows["t3_deep"]["text_clean"].split("\n\n")[1:] == ["top", *[f"reply {k}" for k in range(1, 41)]]
+    assert len(rows["t3_wide"]["posts"]) == 2001 and rows["t3_none"]["text_clean"] == "T\n\ntop"
+
+
+def test_replies_whose_parent_is_not_there_are_roots(spark):
+    rows = [("t", "a", None, 1), ("t", "b", "gone", 1), ("t", "c", "b", 1), ("u", "d", "gone", 4)]
+    edges = spark.createDataFrame(rows, "thread_id string, id string, parent string, rank int")
+    got = [(r["id"], r["depth"], r["orphan"]) for r in mp.flatten_edges(edges).orderBy("thread_id", "path").collect()]
+    assert got == [("a", 1, False), ("b", 1, True), ("c", 2, False), ("d", 1, True)]
