@@ -7,7 +7,7 @@ joins a story's rows with each other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -128,47 +128,36 @@ def crosstab(
         cells.append(F.struct(F.lit(f).alias("dim"), _shown(f).alias("val"), segs.alias("segs")))
     from_spine = people.select("story_id", "population", "author_key", F.explode(F.array(*cells)).alias("c"))
 
-    asked = codes.select("story_id", "question", "value").distinct().join(people, "story_id")
+    # Questions: one row per story and question; a NULL value beside the stated ones counts who was asked.
+    asked = codes.groupBy("story_id", "question").agg(F.collect_set(F.when(F.col("value") != "not_stated", F.col("value"))).alias("stated")).join(people, "story_id")
     per_question = F.flatten(F.array(seg(default_b)))
     for q in sorted({a for a, _ in extra if a.startswith("q:")}):
         more = F.flatten(F.array(*[seg(b) for b in base + splits_of(q)]))
         per_question = F.when(F.col("question") == q[2:], more).otherwise(per_question)
+    values = F.concat("stated", F.array(F.lit(None).cast("string")))
     from_codes = asked.select(
         "story_id",
         "population",
         "author_key",
-        F.struct(F.concat(F.lit("q:"), "question").alias("dim"), F.col("value").alias("val"), per_question.alias("segs")).alias("c"),
+        F.explode(F.transform(values, lambda v: F.struct(F.concat(F.lit("q:"), "question").alias("dim"), v.alias("val"), per_question.alias("segs")))).alias("c"),
     )
     long = (
         from_spine.unionByName(from_codes)
         .filter(F.col("population").isin(vocab.POPULATIONS))
         .select(
-            "story_id",
             "author_key",
             F.concat("population", F.lit("."), "c.dim").alias("dim_a"),
             F.col("c.val").alias("val_a"),
             F.explode("c.segs").alias("s"),
         )
-        .select("story_id", "author_key", "dim_a", "val_a", F.col("s.b").alias("dim_b"), F.col("s.v").alias("val_b"))
-    )
-    is_question = F.col("dim_a").contains(".q:")
-    cell = long.filter(~is_question | (F.col("val_a") != "not_stated")).groupBy("dim_a", "val_a", "dim_b", "val_b").agg(
-        F.count("*").alias("n"), F.count_distinct("author_key").alias("n_authors")
-    )
-    denom = long.groupBy("dim_a", "dim_b", "val_b").agg(
-        F.count_distinct(F.when(is_question, F.col("story_id"))).alias("asked"),
-        F.count_if(~is_question).alias("all"),
-    )
-    return cell.join(denom, ["dim_a", "dim_b", "val_b"]).select(
-        "dim_a",
-        "val_a",
-        "dim_b",
-        "val_b",
-        "n",
-        F.when(F.col("dim_a").contains(".q:"), F.col("asked")).otherwise(F.col("all")).alias("denom"),
-        "n_authors",
-        F.lit(run_id).alias("run_id"),
+        .select("author_key", "dim_a", "val_a", F.col("s.b").alias("dim_b"), F.col("s.v").alias("val_b"))
     )
+    # Two plain aggregations: rows per person, then people; denominators come from the finished cells.
+    by_person = long.groupBy("dim_a", "val_a", "dim_b", "val_b", "author_key").agg(F.count("*").alias("k"))
+    cell = by_person.groupBy("dim_a", "val_a", "dim_b", "val_b").agg(F.sum("k").alias("n"), F.count("author_key").alias("n_authors"))
+    counted = ~F.col("dim_a").contains(".q:") | F.col("val_a").isNull()
+    denom = F.sum(F.when(counted, F.col("n"))).over(W.partitionBy("dim_a", "dim_b", "val_b"))
+    return cell.withColumn("denom", denom).filter(F.col("val_a").isNotNull()).select("dim_a", "val_a", "dim_b", "val_b", "n", "denom", "n_authors", F.lit(run_id).alias("run_id"))
 
 
 def _shown(field: str) -> Column:
@@ -176,97 +165,100 @@ def _shown(field: str) -> Column:
 
 
 # ------------------------------------------------------------------------------- derived measures
-def _rate(rows: DataFrame, key: Column, hit: Column, metric: str) -> DataFrame:
-    """Stories with a hit over stories asked. ``rows``: one row per story with its values."""
-    return rows.groupBy("population", key.alias("key")).agg(
-        F.count_if(hit).alias("n"),
-        F.count("*").alias("denom"),
-        F.count_distinct(F.when(hit, F.col("author_key"))).alias("n_authors"),
-    ).select(F.lit(metric).alias("metric"), "key", "population", "n", "denom", "n_authors")
-
-
-def _per_story(codes: DataFrame, spine: DataFrame, question: str, value: Column | None = None) -> DataFrame:
-    """Stories asked one question, with the set of their values."""
-    v = F.col("value") if value is None else value
-    return (
-        codes.filter(F.col("question") == question)
-        .groupBy("story_id")
-        .agg(F.collect_set(v).alias("values"))
-        .join(spine.select("story_id", "population", "author_key"), "story_id")
-    )
+ANSWERED = {"2.1": "v21", "2.4": "v24", "2.2": "v22", "9.4": "v94", "6.5": "v65", "10.2": "v102"}
 
 
-def _family_rates(asked: DataFrame, families: Column, metric: str) -> DataFrame:
-    """Per cue family: stories whose values fall in the family, over all stories asked."""
-    hits = (
-        asked.select("population", "author_key", F.explode(F.array_distinct(families)).alias("key"))
-        .filter(F.col("key").isin(vocab.CUE_FAMILIES))
-        .groupBy("population", "key")
-        .agg(F.count("*").alias("n"), F.count_distinct("author_key").alias("n_authors"))
-    )
-    grid = asked.groupBy("population").agg(F.count("*").alias("denom")).select(
-        "population", "denom", F.explode(F.array(*[F.lit(f) for f in vocab.CUE_FAMILIES])).alias("key")
+def story_answers(codes: DataFrame, spine: DataFrame) -> DataFrame:
+    """One row per story: the values of each question that the measures need (NULL: not asked), and whether it pivots.
+
+    Of question 2.2 only what was certain and wrong is kept.
+    """
+    q, v = F.col("question"), F.col("value")
+    pivots = (
+        ((q == "6.7") & ~v.isin("not_stated", "ignore_it"))
+        | ((q == "7.2") & (v == "anchor_and_pivot"))
+        | ((q == "9.1") & (v == "path:anchor_and_pivot"))
     )
-    return grid.join(hits, ["population", "key"], "left").select(
-        F.lit(metric).alias("metric"), "key", "population", F.coalesce("n", F.lit(0)).alias("n"), "denom",
-        F.coalesce("n_authors", F.lit(0)).alias("n_authors"),
+    held = {k: F.when(q == k, F.when(F.col("accuracy") == "certain_wrong", v) if k == "2.2" else v) for k in ANSWERED}
+    per = codes.filter(q.isin("6.7", "7.2", "9.1", *ANSWERED)).groupBy("story_id").agg(
+        F.max(pivots).alias("pivot"),
+        *[F.when(F.max(F.coalesce(q == k, F.lit(False))), F.collect_set(held[k])).alias(name) for k, name in ANSWERED.items()],
     )
+    return spine.select("story_id", "population", "author_key", "workaround").join(per, "story_id", "left")
 
 
-def cue_matrix(codes: DataFrame, spine: DataFrame) -> DataFrame:
-    """What stories remember, say they forgot, and were certain and wrong about, per cue family."""
-    remembered = _per_story(codes, spine, "2.1")
-    forgotten = _per_story(codes, spine, "2.4")
+def _rates(stories: DataFrame, measures: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
+    """``metric, key, population, n, denom, n_authors`` of (metric, key, asked, hit): per person first, then per population."""
+    sums, counts = [], []
+    for i, (_, _, asked, hit) in enumerate(measures):
+        sums += [F.count_if(asked & hit).alias(f"n{i}"), F.count_if(asked).alias(f"d{i}")]
+        counts += [F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"d{i}").alias(f"d{i}"), F.count_if((F.col(f"n{i}") > 0) & F.col("author_key").isNotNull()).alias(f"a{i}")]
+    totals = stories.groupBy("population", "author_key").agg(*sums).groupBy("population").agg(*counts)
+    rows = [
+        F.struct(F.lit(m).alias("metric"), F.lit(k).alias("key"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("denom"), F.col(f"a{i}").alias("n_authors"))
+        for i, (m, k, _, _) in enumerate(measures)
+    ]
+    return totals.select("population", F.explode(F.array(*rows)).alias("r")).select("r.metric", "r.key", "population", "r.n", "r.denom", "r.n_authors").filter("denom > 0")
+
+
+def _cue_measures() -> list[tuple[str, str, Column, Column]]:
     lost = F.create_map(*[F.lit(x) for kv in vocab.FORGOTTEN_FAMILY.items() for x in kv])
     head = lambda v: F.split_part(v, F.lit(":"), F.lit(1))
-    wrong_value = F.when(F.col("accuracy") == "certain_wrong", F.col("value"))
-    certain = _per_story(codes, spine, "2.2", wrong_value)
-    return (
-        _family_rates(remembered, F.transform("values", head), "cue_remembered")
-        .unionByName(_family_rates(forgotten, F.transform("values", lambda v: F.try_element_at(lost, v)), "cue_forgotten"))
-        .unionByName(_family_rates(certain, F.transform("values", head), "cue_wrong"))
-        .unionByName(_rate(certain, F.lit("_all"), F.size("values") > 0, "certain_wrong"))
+    families = {
+        "cue_remembered": ("v21", head),
+        "cue_forgotten": ("v24", lambda v: F.try_element_at(lost, v)),
+        "cue_wrong": ("v22", head),
+    }
+
+    def one(metric: str, name: str, family: Callable[[Column], Column], key: str) -> tuple[str, str, Column, Column]:
+        hit = F.exists(name, lambda v: F.coalesce(family(v) == key, F.lit(False)))
+        return metric, key, F.col(name).isNotNull(), F.coalesce(hit, F.lit(False))
+
+    out = [one(metric, name, family, key) for metric, (name, family) in families.items() for key in vocab.CUE_FAMILIES]
+    return [*out, ("certain_wrong", "_all", F.col("v22").isNotNull(), F.size("v22") > 0)]
+
+
+def _behaviour_measures() -> list[tuple[str, str, Column, Column]]:
+    said = lambda name, none: F.coalesce(F.exists(name, lambda x: ~x.isin(*none)), F.lit(False))
+    everyone = F.lit(True)
+    return [
+        ("results_as_cues", "_all", F.col("v65").isNotNull(), said("v65", ["not_stated", "nothing"])),
+        ("anchor_and_pivot", "_all", everyone, F.coalesce("pivot", F.lit(False))),
+        ("workaround", "_all", everyone, F.coalesce("workaround", F.lit(False))),
+        ("preventive_habit", "_all", F.col("v102").isNotNull(), said("v102", ["not_stated"])),
+    ]
+
+
+def _fallbacks(codes: DataFrame, spine: DataFrame) -> DataFrame:
+    """Each kind of fallback that any story names, in every population that was asked."""
+    rows = codes.filter("question = '9.4'").groupBy("story_id").agg(F.collect_set("value").alias("values")).join(spine.select("story_id", "population", "author_key"), "story_id", "left")
+    kinds = F.transform(F.filter("values", lambda v: v.startswith("fallback:")), lambda v: F.regexp_replace(v, "^fallback:", ""))
+    # a NULL kind beside the named ones counts who was asked
+    each = rows.select("population", "author_key", F.explode(F.concat(kinds, F.array(F.lit(None).cast("string")))).alias("key"))
+    person = each.groupBy("population", "key", "author_key").agg(F.count("*").alias("k"))
+    cells = person.groupBy("population", "key").agg(F.sum("k").alias("n"), F.count("author_key").alias("n_authors"))
+    # a few rows from here on: kinds by populations
+    named = F.array_distinct(F.flatten(F.collect_list(F.array(F.col("key"))).over(W.partitionBy(F.lit(1)))))
+    by_population = cells.withColumn("kinds", named).groupBy("population").agg(
+        F.first("kinds").alias("kinds"),
+        F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("denom"),
+        F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.struct("n", "n_authors").alias("x"))))).alias("found"),
+    )
+    grid = by_population.filter(F.col("population").isNotNull()).select("population", "denom", "found", F.explode(F.array_compact("kinds")).alias("key"))
+    x = F.try_element_at("found", F.col("key"))
+    return grid.select(
+        F.lit("fallback").alias("metric"), "key", "population", F.coalesce(x["n"], F.lit(0)).alias("n"), "denom", F.coalesce(x["n_authors"], F.lit(0)).alias("n_authors")
     )
 
 
+def cue_matrix(codes: DataFrame, spine: DataFrame) -> DataFrame:
+    """What stories remember, say they forgot, and were certain and wrong about, per cue family."""
+    return _rates(story_answers(codes, spine), _cue_measures())
+
+
 def behaviour_rates(codes: DataFrame, spine: DataFrame) -> DataFrame:
     """Results used as cues, pivots from near hits, workarounds, fallbacks and new habits."""
-    q, v = F.col("question"), F.col("value")
-    pivots = (
-        ((q == "6.7") & ~v.isin("not_stated", "ignore_it"))
-        | ((q == "7.2") & (v == "anchor_and_pivot"))
-        | ((q == "9.1") & (v == "path:anchor_and_pivot"))
-    )
-    pivot_stories = codes.filter(pivots).select("story_id").distinct().withColumn("pivot", F.lit(True))
-    everyone = spine.select("story_id", "population", "author_key", "workaround").join(pivot_stories, "story_id", "left")
-    fallback = _per_story(codes, spine, "9.4")
-    kinds = codes.filter((q == "9.4") & v.startswith("fallback:")).select(
-        F.regexp_replace("value", "^fallback:", "").alias("key")
-    ).distinct()
-    said = fallback.select("population", "author_key", F.explode("values").alias("value")).filter(
-        F.col("value").startswith("fallback:")
-    ).groupBy("population", F.regexp_replace("value", "^fallback:", "").alias("key")).agg(
-        F.count("*").alias("n"), F.count_distinct("author_key").alias("n_authors")
-    )
-    asked = fallback.groupBy("population").agg(F.count("*").alias("denom"))
-    # Every kind of fallback is a row in every population that was asked.
-    populations = asked.groupBy().agg(F.collect_list(F.struct("population", "denom")).alias("p"))
-    grid = kinds.withColumn("p", F.lit(1)).join(
-        populations.select(F.lit(1).alias("p"), F.col("p").alias("pops")), "p"
-    ).select("key", F.explode("pops").alias("x")).select("key", "x.population", "x.denom")
-    fallbacks = grid.join(said, ["population", "key"], "left").select(
-        F.lit("fallback").alias("metric"), "key", "population", F.coalesce("n", F.lit(0)).alias("n"), "denom",
-        F.coalesce("n_authors", F.lit(0)).alias("n_authors"),
-    )
-    cued = F.exists("values", lambda x: ~x.isin("not_stated", "nothing"))
-    habit = F.exists("values", lambda x: x != "not_stated")
-    return (
-        _rate(_per_story(codes, spine, "6.5"), F.lit("_all"), cued, "results_as_cues")
-        .unionByName(_rate(everyone, F.lit("_all"), F.coalesce("pivot", F.lit(False)), "anchor_and_pivot"))
-        .unionByName(_rate(everyone, F.lit("_all"), F.coalesce("workaround", F.lit(False)), "workaround"))
-        .unionByName(fallbacks)
-        .unionByName(_rate(_per_story(codes, spine, "10.2"), F.lit("_all"), habit, "preventive_habit"))
-    )
+    return _rates(story_answers(codes, spine), _behaviour_measures()).unionByName(_fallbacks(codes, spine))
 
 
 def source_divergence(spine: DataFrame, field: str = "primary_stage", at_least: int = vocab.MIN_DIVERGENCE_N) -> DataFrame:
@@ -308,7 +300,7 @@ def derived(
     codes: DataFrame, spine: DataFrame, reliability: DataFrame | None = None, run_id: str = ""
 ) -> DataFrame:
     """All derived measures in one table. A row nobody was asked about is left out."""
-    rates = cue_matrix(codes, spine).unionByName(behaviour_rates(codes, spine))
+    rates = _rates(story_answers(codes, spine), [*_cue_measures(), *_behaviour_measures()]).unionByName(_fallbacks(codes, spine))
     rates = rates.filter("denom > 0").withColumn("value", F.col("n") / F.col("denom"))
     if reliability is None:
         rates = rates.withColumn("note", F.lit(None).cast("string"))
