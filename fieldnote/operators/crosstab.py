@@ -263,25 +263,30 @@ def behaviour_rates(codes: DataFrame, spine: DataFrame) -> DataFrame:
 
 def source_divergence(spine: DataFrame, field: str = "primary_stage", at_least: int = vocab.MIN_DIVERGENCE_N) -> DataFrame:
     """Jensen-Shannon divergence (base 2) of each source's distribution from the pooled one."""
-    cells = spine.groupBy("population", "source", F.col(field).alias("v")).agg(F.count("*").alias("n"))
-    pooled = cells.groupBy("population", "v").agg(F.sum("n").alias("pn"))
-    pool_size = pooled.groupBy("population").agg(F.sum("pn").alias("denom"))
-    sources = spine.groupBy("population", "source").agg(
-        F.count("*").alias("sn"), F.count_distinct("author_key").alias("n_authors")
+    # each story counts for its value and, in a row of its own, for its source
+    both = F.array(F.struct(F.lit(False).alias("whole"), F.col(field).alias("v")), F.struct(F.lit(True).alias("whole"), F.lit(None).cast(spine.schema[field].dataType).alias("v")))
+    each = spine.select("population", "source", "author_key", F.explode(both).alias("x")).select("population", "source", "author_key", "x.*")
+    person = each.groupBy("population", "source", "whole", "v", "author_key").agg(F.count("*").alias("k"))
+    cells = person.groupBy("population", "source", "whole", "v").agg(F.sum("k").alias("n"), F.count("author_key").alias("people"))
+    one_value = F.when(~F.col("whole"), F.col("n"))
+    source = W.partitionBy("population", "source")
+    cells = cells.withColumns(
+        {
+            "pn": F.sum(one_value).over(W.partitionBy("population", "whole", "v")),
+            "denom": F.sum(one_value).over(W.partitionBy("population")),
+            "sn": F.max(F.when(F.col("whole"), F.col("n"))).over(source),
+            "n_authors": F.max(F.when(F.col("whole"), F.col("people"))).over(source),
+        }
     )
-    # Every (source, value) of the population; a value the source lacks counts as zero.
-    grid = (
-        sources.join(pool_size, "population")
-        .join(pooled, "population")
-        .join(cells, ["population", "source", "v"], "left")
-    )
-    p = F.coalesce("n", F.lit(0)) / F.col("sn")
+    p = F.col("n") / F.col("sn")
     q = F.col("pn") / F.col("denom")
     m = (p + q) / 2
-    term = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+    term = p * F.log2(p / m) + q * F.log2(q / m)
+    # a value that the source lacks adds its pooled share, and those shares are what its own values leave of one
     return (
-        grid.groupBy("population", "source", "sn", "denom", "n_authors")
-        .agg((F.sum(term) / 2).alias("d"))
+        cells.filter(~F.col("whole"))
+        .groupBy("population", "source", "sn", "denom", "n_authors")
+        .agg(((F.sum(term) + 1 - F.sum(q)) / 2).alias("d"))
         .filter(F.col("sn") >= at_least)
         .select(
             F.lit("js_divergence").alias("metric"),

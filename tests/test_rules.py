@@ -74,3 +74,16 @@ def test_long_free_text_answers_stay_apart(spark):
     rows = spark.createDataFrame([("s", "2.4", i, "other", t) for i, t in enumerate(texts)], "story_id string, question string, position int, value string, other string")
     codes, _ = cd.canonical_values(rows, spark.createDataFrame([("2.4", "other")], "question string, value string"))
     assert {r["value"] for r in codes.collect()} == {f"other:{t}" for t in texts}
+
+
+def test_measures_read_their_tables_once_or_twice(spark):
+    import re
+
+    from fieldnote.plans import registry
+
+    from .conftest import SF
+
+    for name, most in (("derived_measures", 2), ("cue_matrix", 1), ("crosstab", 1), ("reliability", 1)):
+        plan = registry.load()[name].job(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"/lineitem\.parquet", plan)) <= most, name
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
