@@ -13,23 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-"""Most keys that are ever salted: a key outside the largest 1,000 holds under 1/1000 of the rows."""
-
 HOT_ROWS = 200_000
-"""A key with fewer rows than this fits one task and is never salted."""
+"""A key with fewer rows than this fits one task and is never salted; so at most one key in 200,000 rows is."""
 
 SALTS = 64
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
-    """The at most ``HOT_KEYS`` largest keys of a per-key count table: a bounded, broadcastable set."""
+    """The keys of a per-key count table that one task should not hold: every one of them is salted."""
     return (
         counts.filter(F.col(n) >= HOT_ROWS)
         .select(*keys, n)
         .distinct()
-        .orderBy(F.desc(n), *keys)
-        .limit(HOT_KEYS)
         .select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
     )
 

@@ -160,7 +160,7 @@ def routed_questions(spark: S, d: str) -> DataFrame:
     "rival_facts",
     T("stories", """SELECT plan_id, stage, stories FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY p) AS r FROM (
         SELECT CAST(c_custkey AS VARCHAR) AS plan_id, CAST(2 + c_nationkey % 6 AS VARCHAR) AS mine FROM customer),
-        (SELECT primary_stage AS stage, count(*) AS stories, row_number() OVER (ORDER BY count(*) DESC, 'core.primary_stage=' || primary_stage) AS p FROM live WHERE population = 'core' GROUP BY primary_stage) WHERE stage <> mine AND p <= 12) WHERE r <= 5""",
+        (SELECT primary_stage AS stage, count(*) AS stories, row_number() OVER (ORDER BY count(*) DESC, 'core.primary_stage=' || primary_stage) AS p FROM live WHERE population = 'core' GROUP BY primary_stage) WHERE stage <> mine) WHERE r <= 5""",
       {"live": "SELECT * FROM stories WHERE day_no <> 31"}),
 )
 def rival_facts(spark: S, d: str) -> DataFrame:

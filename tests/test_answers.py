@@ -101,3 +101,21 @@ def test_default_queries_fill_what_a_plan_forgot(spark):
     q = "plan_id string, evidence_needed array<string>, populations array<string>, queries array<struct<query:string,population:string,dim:string,question:string,most:int>>"
     plans = spark.createDataFrame([("a", ["stage", "memory", "prevalence"], ["core"], [("funnel", "core", "", "", 0)])], q)
     assert sorted(r["query"] for r in rt.fulfil(plans).collect()) == ["funnel", "memory", "stage_prevalence"]
+
+
+def test_plans_read_stories_with_evidence_first(spark):
+    stories = [(f"s{i}", "core" if i < 8 else "adjacent", str(i % 2), "people", f"photo of a cake number {i} " + "at home " * i) for i in range(12)]
+    stories = spark.createDataFrame(stories, "story_id string, population string, primary_stage string, photo_class string, text string")
+    codes = spark.createDataFrame([(f"s{i}", "5.6", "r") for i in range(6)] + [("s7", "5.6", "not_stated")], "story_id string, question string, value string")
+    evidence = spark.createDataFrame([("s4", "cake number 4", True), ("s5", "cake number 5", False), ("s1", "zz", True), ("s1", "number 1", True)], "story_id string, span string, verified boolean")
+    plans = spark.createDataFrame(
+        [("p", "cake at home", ["core"], [], [], "5.6"), ("q", "cake", ["core", "adjacent"], ["1"], ["people"], None)],
+        "query_id string, text string, populations array<string>, stages array<string>, photo_classes array<string>, subject_question string",
+    )
+    rows = rt.plan_stories(plans, stories, codes, evidence, k=2, extra_with_priority=1).orderBy("query_id", "rank").collect()
+    got = {k: [(r["story_id"], r["span"]) for r in rows if r["query_id"] == k] for k in ("p", "q")}
+    assert {x for x, _ in got["p"][:2]} == {"s1", "s4"} and got["p"][2][0] in {"s0", "s2", "s3", "s5"} and got["p"][2][1] is None
+    assert got["q"][0] == ("s1", "number 1") and len(got["q"]) == 3 and all(int(x[1:]) % 2 == 1 for x, _ in got["q"])
+    assert all(r["shown"].startswith("photo of a cake") for r in rows)
+    text = spark.createDataFrame([("b a b c a b",)], "t string").select(rt._counted(F.array_sort(F.split("t", " "))).alias("x")).first()["x"]
+    assert [(x["term"], x["tf"]) for x in text] == [("a", 2), ("b", 3), ("c", 1)]
