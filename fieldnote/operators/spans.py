@@ -377,6 +377,7 @@ def retry_list(merged: DataFrame) -> DataFrame:
 
 
 def retry_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What reading the listed records once more changed: their counts before and after (NULL: not read again)."""
     cols = ["n_kept", "missing_parts", "unlocated"]
     a = before.select("record_id", *[F.col(c).alias(f"{c}_before") for c in cols])
     b = after.select("record_id", *[F.col(c).alias(f"{c}_after") for c in cols])

@@ -173,6 +173,18 @@ def retry_list(spark: S, d: str) -> DataFrame:
     return sp.retry_list(merged(spark, d).withColumn("missing_parts", F.lit(0)))
 
 
+@query(
+    "retry_change",
+    T("posts", """SELECT record_id, n_kept AS n_kept_before, 0 AS missing_parts_before, unlocated AS unlocated_before, CASE WHEN unlocated % 2 = 1 THEN n_kept + 1 END AS n_kept_after,
+         CASE WHEN unlocated % 2 = 1 THEN 0 END AS missing_parts_after, CASE WHEN unlocated % 2 = 1 THEN unlocated - 1 END AS unlocated_after FROM merged WHERE unlocated > 0""", _MERGE),
+)
+def retry_change(spark: S, d: str) -> DataFrame:
+    """The listed records read once more by rule: where an odd number was not located, one more is found."""
+    before = sp.retry_list(merged(spark, d).withColumn("missing_parts", F.lit(0)))
+    after = before.filter("unlocated % 2 = 1").select("record_id", (F.col("n_kept") + 1).alias("n_kept"), "missing_parts", (F.col("unlocated") - 1).alias("unlocated"))
+    return sp.retry_change(before, after)
+
+
 _STORY = {**_MERGE, "sto": "SELECT record_id || ':' || (row_number() OVER (PARTITION BY record_id ORDER BY cs) - 1) AS story_id, record_id, cs, ce FROM kept_spans"}
 
 
@@ -748,21 +760,30 @@ def exclusion_identity(spark: S, d: str) -> DataFrame:
     return ck.exclusion_identity(r, mk.add_marks(st.no_marks(spark), short_marks(r, "x")))
 
 
-@query("funnel_unbalanced", "SELECT CAST(NULL AS VARCHAR) AS source, 0 AS collected, 0 AS kept, 0 AS excluded WHERE false")
+@query(
+    "funnel_unbalanced",
+    """SELECT source, count(*) AS collected, count(*) FILTER (n_chars >= 900) AS kept, count(*) FILTER (n_chars < 900 AND n_chars % 13 <> 0) AS excluded FROM documents
+       GROUP BY source HAVING count(*) FILTER (n_chars < 900 AND n_chars % 13 = 0) > 0""",
+)
 def funnel_unbalanced(spark: S, d: str) -> DataFrame:
-    """Sources whose funnel does not balance: none."""
-    from fieldnote.operators.funnel import record_funnel
-    from fieldnote.plans.catalog_clean import cleaning_marks
-
-    return ck.unbalanced_sources(record_funnel(st.records(spark, d), cleaning_marks(spark, d), "r"))
+    """A funnel that loses some short texts on the way: the sources it does not balance for."""
+    short, lost = F.col("n_chars") < 900, F.col("n_chars") % 13 == 0
+    step = F.array_compact(F.array(F.lit("collected"), F.when(~short, "kept"), F.when(short & ~lost, "excluded:too_short")))
+    funnel = st.read(spark, d, "documents").select("source", F.explode(step).alias("step")).groupBy("source", "step").agg(F.count("*").alias("n"))
+    return ck.unbalanced_sources(funnel)
 
 
-@query("impossible_counts", "SELECT CAST(NULL AS VARCHAR) AS dim_a, CAST(NULL AS VARCHAR) AS val_a, 0 AS n, 0 AS denom WHERE false")
+@query(
+    "impossible_counts",
+    """SELECT 'user' AS dim_a, CAST(user_id AS VARCHAR) AS val_a, count(*) AS n, count(*) FILTER (event_type <> 'error') + user_id % 3 AS denom FROM events GROUP BY user_id
+       HAVING count(*) > count(*) FILTER (event_type <> 'error') + user_id % 3 OR user_id % 7 = 0""",
+)
 def impossible_counts(spark: S, d: str) -> DataFrame:
-    """Cross-tab rows whose count exceeds what was asked: none."""
-    from fieldnote.plans.catalog_counts import crosstab_rows
-
-    return ck.impossible_counts(crosstab_rows(spark, d)).select("dim_a", "val_a", "n", "denom")
+    """Counts of events whose denominator leaves some out, and rows without a run: what no result may hold."""
+    run = F.when(F.col("user_id") % 7 != 0, "r")
+    rows = st.read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("d"))
+    rows = rows.select(F.lit("user").alias("dim_a"), F.col("user_id").cast("string").alias("val_a"), "n", (F.col("d") + F.col("user_id") % 3).alias("denom"), run.alias("run_id"))
+    return ck.impossible_counts(rows).drop("run_id")
 
 
 @query(

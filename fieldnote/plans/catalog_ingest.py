@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnote.functions import text as tx
+from fieldnote.operators import marks as mk
 from fieldnote.plans import standins as st
 from fieldnote.plans.catalog_coding import _NORM
 from fieldnote.plans.registry import query
@@ -13,6 +16,8 @@ from fieldnote.sources import ingest as ig
 from fieldnote.sources import mapping as mp
 from fieldnote.sources import model_output as mo
 from fieldnote.sources import sinks as sk
+from fieldnote.session import shared_folder
+from fieldnote.streaming.ingest import RAW, ingest_stream, top_up
 
 S = SparkSession
 T = st.with_tables
@@ -246,6 +251,55 @@ def replaced_rows(spark: S, d: str) -> DataFrame:
     return sk.replaced(o, again, again.withColumn("o_orderstatus", F.lit("new")), "o_orderkey")
 
 
+@query("rebuilt_table", """SELECT o_orderkey, o_orderstatus, 'run-2' AS run_id FROM orders WHERE o_orderstatus <> 'P'""")
+def rebuilt_table(spark: S, d: str) -> DataFrame:
+    """A result table written twice: what the second run built is all that is there, stamped with that run."""
+    path = f"{shared_folder(spark)}/rebuilt-{uuid.uuid4().hex}"
+    o = st.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    sk.rebuild(o, path, "run-1")
+    sk.rebuild(o.filter("o_orderstatus <> 'P'"), path, "run-2")
+    return spark.read.parquet(path)
+
+
+@query(
+    "streamed_records",
+    f"""SELECT CAST(k AS VARCHAR) AS native_id, count(*) AS items, any_value(stars) AS rating FROM (SELECT doc_id - doc_id % 2 AS k, {_NORM} AS c FROM documents),
+        LATERAL (SELECT CAST(1 + k % 5 AS INT) AS stars) WHERE c <> '' GROUP BY k""",
+)
+def streamed_records(spark: S, d: str) -> DataFrame:
+    """Documents as a stream of reviews, two of one id, fed twice: each id is stored once, whatever is replayed."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    key = F.col("doc_id") - F.col("doc_id") % 2
+    items = st.read(spark, d, "documents").select(
+        F.to_json(F.struct(key.cast("string").alias("reviewId"), F.col("source").alias("userName"), F.col("text").alias("content"), (1 + key % 5).alias("score"))).alias("payload"),
+        F.col("lang").alias("collect_query"), F.lit("2026-01-01").alias("collected_at"), F.col("doc_id").alias("arrival"), F.lit("com.example.app").alias("app_id"), key.alias("k"),
+    )
+    items.drop("k").write.parquet(f"{folder}/in/a")
+    items.drop("k").withColumn("arrival", F.col("arrival") + 10**12).write.parquet(f"{folder}/in/b")
+    for part in ("a", "b"):
+        stream = spark.readStream.schema(RAW + ", app_id string").parquet(f"{folder}/in/{part}")
+        ingest_stream(stream, "play", f"{folder}/out", f"{folder}/progress-{part}", st.SALT, "r").awaitTermination()
+    stored = spark.read.parquet(f"{folder}/out").select("native_id", "rating")
+    fed = items.join(_with_text(spark, d), F.col("arrival") == F.col("t"), "left_semi").groupBy(F.col("k").cast("string").alias("native_id")).agg(F.count("*").alias("items"))
+    return stored.join(fed, "native_id")
+
+
+def _with_text(spark: S, d: str) -> DataFrame:
+    return st.read(spark, d, "documents").filter(tx.normalise(F.col("text")) != "").select(F.col("doc_id").alias("t"))
+
+
+@query(
+    "topped_up",
+    """SELECT CAST(doc_id AS VARCHAR) AS record_id, true AS queued FROM documents WHERE doc_id % 5 <> 0 AND n_chars % 7 <> 0 AND n_chars % 11 <> 0""",
+)
+def topped_up(spark: S, d: str) -> DataFrame:
+    """Documents that cleaning kept and no pass has read: neither a story nor a mark of the reading pass."""
+    r = st.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "source", "doc_id", "n_chars")
+    stories = r.filter("doc_id % 5 = 0").select("record_id", F.concat("record_id", F.lit(":0")).alias("story_id"))
+    out = mk.mark(r.filter("n_chars % 7 = 0"), "clean", "too_short", "by rule", "r").unionByName(mk.mark(r.filter("n_chars % 11 = 0"), "segment", "no_story", "by rule", "r"))
+    return top_up(r, stories, out).select("record_id", "queued")
+
+
 _RUNS = """SELECT 'orders' AS "table", 'run' || o_orderstatus AS run_id FROM orders UNION SELECT 'events', 'run' || event_type FROM events"""
 
 

@@ -29,20 +29,25 @@ def local_session(app: str = "fieldnote", cpus: int | None = None, memory: str =
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, shared by all machines.
 
-    The folder is the shared one that the session names in ``spark.checkpoint.dir``. Where it names none, as a
-    test session may, a new folder is made; a cluster session without the setting is refused.
+    Where it names none, as a test session may, a new folder is made; a cluster session without the setting is refused.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` through reliable storage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -19,9 +19,10 @@ def _first_arrivals(incoming: DataFrame) -> DataFrame:
 
 
 def new_records(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """The rows to append: first of their id in this batch, and not stored yet. First write wins."""
-    first = _first_arrivals(incoming).join(existing.select("record_id"), "record_id", "left_anti")
-    return incoming.join(first.select("arrival"), "arrival", "left_semi")
+    """The rows to append: first of their id in this batch, and not stored yet. First write wins. Reads ``incoming`` once."""
+    row = F.struct(*incoming.columns)
+    first = incoming.filter(F.col("record_id").isNotNull()).groupBy("record_id").agg(F.min_by(row, "arrival").alias("r"))
+    return first.join(existing.select("record_id"), "record_id", "left_anti").select("r.*")
 
 
 def tally(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -67,12 +68,16 @@ def yields(incoming: DataFrame, existing: DataFrame, queries: DataFrame) -> Data
     )
 
 
-def append_new(incoming: DataFrame, path: str) -> None:
-    """Append the new records of a batch to a stored table, partitioned by source."""
+def append_new(incoming: DataFrame, path: str, source: str | None = None) -> None:
+    """Append the new records of a batch to a stored table, partitioned by source.
+
+    The batch is read once. With ``source``, the one all its rows have, only that partition's ids are read.
+    """
     spark = incoming.sparkSession
     columns = schema("records").fieldNames()
     try:
-        existing = spark.read.schema(schema("records")).parquet(path).select("record_id")
+        existing = spark.read.schema(schema("records")).parquet(path)
+        existing = existing.select("record_id") if source is None else existing.filter(F.col("source") == source).select("record_id")
         existing.schema  # noqa: B018 - resolves the path
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):

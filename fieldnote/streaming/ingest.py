@@ -23,7 +23,7 @@ def ingest_stream(
     """Map and append a stream of payloads (columns of ``RAW``) to the records table at ``path``."""
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new(map_records(batch, source, salt, run_id), path)
+        append_new(map_records(batch, source, salt, run_id), path, source)
 
     writer = items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
