@@ -5,7 +5,7 @@ a bounded sample of labelled rows, each family of near copies counted once; docu
 whole corpus. Every text then has a sparse vector over these terms, ``(1 + ln tf) * idf`` at unit length.
 
 Examples lie in blocks; per term the index keeps postings by block and the largest weight of each block. A query adds
-up the block maxima of its terms, opens blocks in falling order of that bound, and stops when the ``k``-th best
+up the block maxima of its terms, opens blocks in falling order of that bound, in growing waves, and stops when the ``k``-th best
 similarity is at least the next bound, so the neighbours are exact. Their votes, weighted by similarity, are
 calibrated on the examples themselves, each scored without itself.
 """
@@ -29,7 +29,11 @@ MAX_TERMS = 2_000
 MIN_FAMILIES = 5
 MIN_CHI2 = 30.0
 """About a one in 20 million chance per term, so that none is picked by chance among millions of terms."""
+MIN_SHARE = 0.004
+"""Least share of the label's variance that a term explains (chi-square over rows): weak terms of large samples stay out."""
 BLOCK = 64
+FIRST_WAVE = 8
+"""Blocks opened at once at first; each further wave opens twice as many."""
 NEIGHBOURS = 25
 PRIOR_WEIGHT = 0.5
 LETTER = np.zeros(256, bool)
@@ -90,24 +94,27 @@ class Index:
         """Examples and similarities of the ``k`` most similar (above 0), ties to the earlier example."""
         bounds = weight @ self.most[term]
         order = np.argsort(-bounds, kind="stable")
-        blocks = self.most.shape[1]
+        order = order[bounds[order] > 0]
+        blocks, at, wave = self.most.shape[1], 0, FIRST_WAVE
         found, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            # blocks with an equal bound may still hold an earlier example of the same similarity
-            if bounds[b] <= 0 or bounds[b] < worst - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                s, e = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                if e > s:
-                    own[self.example[s:e] - b * BLOCK] += w * self.weight[s:e]
-            some = np.flatnonzero(own > 0)
-            some = some[some + b * BLOCK != without]
-            found, scores = np.concatenate([found, some + b * BLOCK]), np.concatenate([scores, own[some]])
-            if len(found) > k:
+        # blocks with an equal bound may still hold an earlier example of the same similarity
+        while at < len(order) and bounds[order[at]] >= worst - 1e-12:
+            some = order[at : at + wave]
+            some = some[bounds[some] >= worst - 1e-12]
+            at, wave = at + wave, wave * 2
+            # all postings of the query's terms in the opened blocks
+            cell = term[:, None] * blocks + some[None]
+            s, n = self.starts[cell].ravel(), (self.starts[cell + 1] - self.starts[cell]).ravel()
+            posting = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            slot = np.repeat(np.tile(np.arange(len(some)), len(term)), n) * BLOCK + self.example[posting] % BLOCK
+            own = np.bincount(slot, weights=np.repeat(np.repeat(weight, len(some)), n) * self.weight[posting], minlength=len(some) * BLOCK)
+            hit = np.flatnonzero(own > 0)
+            example = some[hit // BLOCK] * BLOCK + hit % BLOCK
+            ok = example != without
+            found, scores = np.concatenate([found, example[ok]]), np.concatenate([scores, own[hit][ok]])
+            if len(found) >= k:
                 keep = np.lexsort((found, -np.round(scores, 12)))[:k]
                 found, scores = found[keep], scores[keep]
-            if len(found) == k:
                 worst = scores.min()
         keep = np.lexsort((found, -np.round(scores, 12)))
         return found[keep], scores[keep]
@@ -184,7 +191,7 @@ def fitted_index(docs: DataFrame, labels: DataFrame) -> Index:
     n, k = F.col("n").cast("double"), F.col("toxic").cast("double")
     off = F.lit(float(max(total, 1))) * k - F.lit(float(toxic)) * n
     chi2 = F.lit(float(max(total, 1))) * off * off / F.greatest(n * (total - n) * F.lit(float(toxic)) * F.lit(float(total - toxic)), F.lit(1.0))
-    best = by_term.withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect()
+    best = by_term.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (F.col("chi2") >= MIN_SHARE * float(total))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect()
     terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
     index = Index(terms, np.ones(len(terms)))
     index.prior = sum(per.get(y, 0) for y in per if y) / max(1, sum(per.values()))
