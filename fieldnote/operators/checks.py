@@ -121,7 +121,7 @@ def unlisted_values(codes: DataFrame, dim_value: DataFrame) -> DataFrame:
     """Code values that are neither listed, ``not_stated`` nor ``other:`` with a text."""
     free = F.col("value").startswith("other:") & (F.length("value") > 6)
     open_ = codes.filter((F.col("value") != "not_stated") & ~free)
-    return open_.join(F.broadcast(dim_value.select("question", "value")), ["question", "value"], "left_anti").groupBy(
+    return open_.join(dim_value.select("question", "value"), ["question", "value"], "left_anti").groupBy(
         "question", "value"
     ).agg(F.count("*").alias("rows"))
 

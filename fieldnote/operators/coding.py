@@ -150,7 +150,7 @@ def derive_spine(coded: DataFrame, code_map: DataFrame) -> DataFrame:
 def questions_asked(stories: DataFrame, dim_question: DataFrame) -> DataFrame:
     """Which questions each story is asked, from its bucket and how far it reaches."""
     rows = stories.select("story_id", F.explode(ru.blocks_for(F.col("bucket"), F.col("reaches_stage"))).alias("block"))
-    return rows.join(F.broadcast(dim_question.select("block", "question")), "block").select("story_id", "block", "question")
+    return rows.join(dim_question.select("block", "question"), "block").select("story_id", "block", "question")
 
 
 def demote_videos(stories: DataFrame, spine: DataFrame) -> DataFrame:

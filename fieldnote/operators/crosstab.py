@@ -56,7 +56,7 @@ def coverage(codes: DataFrame, story_sources: DataFrame, dim_question: DataFrame
         .select("question", "stage", "block", F.lit("_all").alias("source"), F.lit(0).cast("bigint").alias("asked"),
                 F.lit(0).cast("bigint").alias("n_coded"))
     )
-    seen = per.join(F.broadcast(dims), "question").select("question", "stage", "block", "source", "asked", "n_coded")
+    seen = per.join(dims, "question").select("question", "stage", "block", "source", "asked", "n_coded")
     silent = F.col("asked") - F.col("n_coded")
     kept = (F.col("asked") > 0) & (
         (F.col("block") == "S") | (silent / F.when(F.col("asked") > 0, F.col("asked")) <= vocab.REGISTER_ABOVE)
@@ -313,7 +313,7 @@ def derived(
         weak = reliability.filter("field = 'q:2.1' and verdict = 'low_reliability'").select(
             F.lit("cue_remembered").alias("metric"), F.lit("rests on 2.1, low_reliability").alias("note")
         )
-        rates = rates.join(F.broadcast(weak), "metric", "left")
+        rates = rates.join(weak, "metric", "left")
     cols = ["metric", "key", "population", "value", "n", "denom", "n_authors", "note"]
     out = rates.select(*cols).unionByName(source_divergence(spine).select(*cols))
     return out.filter(F.col("population").isin(vocab.POPULATIONS)).withColumn("run_id", F.lit(run_id))
@@ -335,7 +335,7 @@ def block_yield(codes: DataFrame, dim_question: DataFrame) -> DataFrame:
     """Share of codes that state something, per block of questions."""
     return (
         codes.filter("question <> '10.3'")
-        .join(F.broadcast(dim_question.select("question", "block")), "question")
+        .join(dim_question.select("question", "block"), "question")
         .groupBy("block")
         .agg(F.count("*").alias("n"), F.count_if(F.col("value") != "not_stated").alias("stated"))
         .withColumn("yield", F.col("stated") / F.col("n"))
@@ -349,7 +349,7 @@ def interview_register(coverage_rows: DataFrame, dim_question: DataFrame) -> Dat
     part = lambda i: F.split_part("question", F.lit("."), F.lit(i)).cast("int")
     return (
         rows.select("question", "n_coded", "n_not_stated")
-        .join(F.broadcast(dim_question.select("question", "stage", "text", "plain")), "question")
+        .join(dim_question.select("question", "stage", "text", "plain"), "question")
         .select(
             "question", "stage", "text", "plain",
             F.concat(F.col("n_coded").cast("string"), F.lit(" of "), asked.cast("string")).alias("answered"),
@@ -373,7 +373,7 @@ def share_of_answered(crosstab_rows: DataFrame, coverage_rows: DataFrame) -> Dat
     return (
         crosstab_rows.filter(F.col("dim_a").contains(".q:") & (F.col("val_b") == "_all"))
         .withColumn("question", F.split_part("dim_a", F.lit(".q:"), F.lit(2)))
-        .join(F.broadcast(said), "question")
+        .join(said, "question")
         .filter((F.col("n") > 0) & (F.col("n") <= F.col("of_said")) & (F.col("of_said") < F.col("denom")))
         .select("dim_a", "val_a", "n", "denom", "of_said", (F.col("n") / F.col("of_said")).alias("share_of_said"))
     )
