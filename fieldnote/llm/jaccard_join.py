@@ -222,22 +222,32 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("x", "y", "n", "m", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
 
 
-def linked_sets(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Links (x, y) between sets of ``window_table`` that connect exactly what all pairs within the threshold connect."""
+def merged_labels(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (x, label) after some more links (x, y): only links between different labels so far are looked at again."""
+    if label is None:
+        return stored(components(links, "x", "y").withColumnRenamed("id", "x"), "labels")
+    of_x, of_y = label.select("x", F.col("label").alias("a")), label.select(F.col("x").alias("y"), F.col("label").alias("b"))
+    between = links.join(of_x, "x", "left").join(of_y, "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b")).filter("a <> b").distinct()
+    more = components(between).select("id", F.col("label").alias("to"))
+    known = label.join(more.withColumnRenamed("id", "label"), "label", "left").select("x", F.coalesce("to", "label").alias("label"))
+    new = more.join(label.select(F.col("x").alias("id")), "id", "left_anti").select(F.col("id").alias("x"), F.col("to").alias("label"))
+    return stored(known.unionByName(new), "labels")
+
+
+def linked_labels(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """(x, label) of the sets of ``window_table`` that have a partner: the components that all pairs within the threshold make."""
     rows = stored(sets.select("x", "n", F.posexplode("pivots").alias("i", "e"), "alone").select("e", "x", "n", (F.col("i") + F.col("alone")).alias("i")), "regions")
     sizes = rows.groupBy("e").agg(F.count("*").alias("texts")).filter("texts > 1")
     rows = stored(rows.join(sizes.select("e"), "e"), "regions")
     close = F.expr(f"100 * common >= {percent} * (n + m - common)")
-    links = None
-    label = rows.select("x").distinct().select("x", F.col("x").alias("label"))
+    label = None
     outside = rows.withColumn("label", F.col("x"))
     inside = outside
     for _ in range(rounds):
         pivots = outside.groupBy("e").agg(F.min(F.struct("x", "n", "i")).alias("p")).select("e", F.col("p.x").alias("y"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
         pairs = inside.join(pivots, "e").filter("x <> y").filter(_may_link(percent)).select("x", "y").distinct()
         found = stored(measured(pairs, sets), "distances")
-        links = found.filter(close).select("x", "y") if links is None else links.union(found.filter(close).select("x", "y"))
-        label = stored(components(links, "x", "y").withColumnRenamed("id", "x"), "labels")
+        label = merged_labels(label, found.filter(close).select("x", "y"))
         # a pivot's distances are settled; texts of its component need no more comparison with each other
         named = rows.join(label, "x", "left").withColumn("label", F.coalesce("label", "x"))
         settled = pivots.select("e", F.col("y").alias("p")).join(label.withColumnRenamed("x", "p"), "p", "left").select("e", "p", F.coalesce("label", "p").alias("ball"))
@@ -261,7 +271,7 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
-    return links.union(measured(open_pairs, sets).filter(close).select("x", "y"))
+    return merged_labels(label, stored(measured(open_pairs, sets).filter(close).select("x", "y"), "links"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
@@ -274,7 +284,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = stored(d.mapInArrow(_sizes("id", k), f"id {d.schema['id'].dataType.simpleString()}, n long, fp long"), "sizes")
     sets = stored(window_table(d, k, percent), "sets")
-    label = components(linked_sets(sets, percent, rounds), "x", "y").select(F.col("id").alias("fp"), "label")
+    label = linked_labels(sets, percent, rounds).withColumnRenamed("x", "fp")
     first = sizes.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first")).join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = stored(first, "first")
     names = first.groupBy("label").agg(F.min("first").alias("component_id"))
