@@ -108,3 +108,29 @@ def test_articles_of_the_test_pages(spark):
         lines = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts]
         assert got[r["page_id"]] == "\n".join(x for x in lines if x)
     assert blocks("") == []
+
+
+def _texts(spark, pages):
+    rows = [(i, f"https://{host}.example/{i}", page) for i, (host, page) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_site_tree_decides_inside_and_outside_articles(spark):
+    inside = [("in", f'<article><p>own words {i}</p><div class="box">Tell a friend</div><p>Written by our desk</p></article>') for i in range(12)]
+    outside = [("out", f'<div class="top">Home</div><h1>Title {i}</h1><div class="text">{f"long {i} " * 30}</div><article><p>see also {i}</p></article>') for i in range(12)]
+    single = [("one", f'<div>{"long " * 9}</div><article>card</article>'), ("two", f"<div>card</div><article>{'long ' * 9}</article>")]
+    got = _texts(spark, inside + outside + single)
+    assert got[:12] == [f"own words {i}" for i in range(12)]
+    assert got[12:24] == ["\n".join([f"Title {i}", " ".join(f"long {i} ".split() * 30), f"see also {i}"]) for i in range(12)]
+    assert got[24:] == [" ".join(["long"] * 9) + "\ncard", " ".join(["long"] * 9)]
+
+
+def test_presentation_counts_beside_content(spark):
+    # the same words everywhere, marked up differently on every page of one host and alike on the other
+    tags = [[("b", "i", "em", "u", "s", "q")[(i >> (j % 4)) * (j + 1) % 6] for j in range(8)] for i in range(12)]
+    page = lambda i, t: f"<div><p>text {i}</p></div><section>{' '.join(f'<{x}>w</{x}>' for x in t)}</section>"
+    assert len({tuple(t) for t in tags}) == 12
+    got = _texts(spark, [("varied", page(i, t)) for i, t in enumerate(tags)] + [("alike", page(i, tags[0])) for i in range(12)])
+    assert got[12:] == [f"text {i}" for i in range(12)]
+    assert got[:12] == [f"text {i}\nw w w w w w w w" for i in range(12)]
