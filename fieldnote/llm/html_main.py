@@ -7,7 +7,8 @@ largest entropy that many pages can have; presentation adds to content, the more
 single block has the content 1 - log(pages that hold it there) / log(pages of the node).
 
 Nodes and blocks of low importance are removed, inside articles below a lower bound. What a class or name means
-(footer, advert, comment ...) and whether an article holds a node are priors: blocks outside the
+(footer, advert, comment ...) and whether an article holds a node are priors: a name gives way to a large share of
+the text times importance, and never removes html, body, main, article or what holds one of them; blocks outside the
 articles stay where they are important, or, where the host has too few pages to tell, where they are as long.
 
 The tree is counted in aggregations that combine before they shuffle, and goes to the pages of its host as one row.
@@ -36,6 +37,8 @@ KEEP_IMPORTANCE = 0.7
 """From here a node outside the articles of a page is main text too."""
 CONTENT_WEIGHT = 0.9
 """Weight of content against presentation, to the power of a node's number of children."""
+NAMED_SHARE = 0.8
+"""Share of the text, times importance, from which a node stays although a name marks it as no content."""
 
 # What tags and names stand for.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
@@ -48,6 +51,8 @@ NO_CONTENT = {"nav", "footer", "aside", "head", "svg", "canvas", "object", "butt
 BY_WEIGHT = {"form"}
 """Tags that are weighed like names: a form may wrap a whole page."""
 CORE = {"article", "main"}
+STATES = {"has", "no", "with", "without", "is", "not"}
+"""First parts of names that say how an element looks, not what it is."""
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
     "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
@@ -112,7 +117,8 @@ def _looks(tag: str, raw: str) -> tuple[str, bool, frozenset[str]]:
         if key in ("class", "id", "role"):
             for name in html_lib.unescape(value).split():
                 parts = [x.lower() for x in _PART.findall(name)]
-                said |= (NAMES | ONLY_OUTSIDE).intersection(parts)
+                if not parts or parts[0] not in STATES:
+                    said |= (NAMES | ONLY_OUTSIDE).intersection(parts)
             if key == "class":
                 kind = "." + ".".join(sorted(value.split()))
         elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
@@ -223,12 +229,44 @@ def _named(p: Page, importance: Mapping[int, float]) -> list[bool]:
     Names are weighed against the share of the text that elements of that path have of their article, or else of the
     page, times their importance (1 where the host has too few pages to tell).
     """
-    gone = [False] * len(p.tag)
-    for v in range(1, len(p.tag)):
-        gone[v] = gone[p.parent[v]] or bool(p.words[v] - (ONLY_OUTSIDE if p.inside[v] else frozenset()))
+    n = len(p.tag)
+    size = [0] * n
+    for _, held in p.blocks:
+        for v, x in held:
+            size[v] += len(x.strip())
+    for v in range(n - 1, 0, -1):
+        size[p.parent[v]] += size[v]
+    core = sum(size[v] for v in range(1, n) if p.tag[v] in CORE and not p.inside[p.parent[v]])
+    alike: dict[tuple[str, int], int] = {}
+    outer: dict[tuple[str, int], int] = {}
+    for v in range(1, n):
+        if p.words[v]:
+            key = (p.path[v], p.scope[v])
+            # an element inside another one of its path is counted already
+            if outer.get(key, -1) < 0 or not _below(p, v, outer[key]):
+                alike[key] = alike.get(key, 0) + size[v]
+                outer[key] = v
+    gone, excused = [False] * n, [frozenset()] * n
+    for v in range(1, n):
+        above = p.parent[v]
+        gone[v], excused[v] = gone[above], excused[above]
+        words = p.words[v] - excused[v] - (ONLY_OUTSIDE if p.inside[v] else frozenset())
+        if gone[v] or not words:
+            continue
+        if not (p.tag[v] in ("html", "body") or p.holds[v]):
+            share = alike[p.path[v], p.scope[v]] / max(1, size[p.scope[v]])
+            weight = share * importance.get(_hash(p.path[v]), 1.0)
+            gone[v] = weight < NAMED_SHARE or core > 0 and not p.inside[v]
+        excused[v] |= words
     return gone
 
 
+def _below(p: Page, v: int, top: int) -> bool:
+    while v > top:
+        v = p.parent[v]
+    return v == top
+
+
 def _kept(page: str, importance: Mapping[int, float], repeated: Set[tuple[int, int]]) -> list[tuple[Block, float | None]]:
     """The blocks that names and tree leave, in order, with the importance of their node (None where unknown)."""
     p, out = parsed(page), []

@@ -134,3 +134,21 @@ def test_presentation_counts_beside_content(spark):
     got = _texts(spark, [("varied", page(i, t)) for i, t in enumerate(tags)] + [("alike", page(i, tags[0])) for i in range(12)])
     assert got[12:] == [f"text {i}" for i in range(12)]
     assert got[:12] == [f"text {i}\nw w w w w w w w" for i in range(12)]
+
+
+def test_names_are_weighed(spark):
+    text = "word " * 40
+    for page in (
+        f'<body class="has-sidebar"><p>{text}',
+        f'<body class="sidebar"><p>{text}',
+        f'<div class="content no-comments"><p>{text}</div>',
+        f'<main id="search-result"><p>{text}</main>',
+        f'<article class="related-topic"><p>{text}</article>',
+        f'<div class="widget"><main><p>{text}</main></div>',
+        f'<form id="login"><p>{text}</form><div class="sidebar">small</div>',
+        f'<div class="search"><div class="search-item">{"word " * 20}</div> <div class="search-item">{"word " * 20}</div></div>',
+        f'<article><div class="post share">{text}</div><div class="share">now</div></article><div class="comments">{"hey " * 99}</div>',
+    ):
+        assert " ".join(" ".join(b.text for b in blocks(page)).split()) == text.strip(), page
+    got = _texts(spark, [("h", f'<div class="menu">{text}</div><p>own {i}') for i in range(9)])
+    assert got == [f"own {i}" for i in range(9)]
