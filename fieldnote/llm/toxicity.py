@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are runs of letters and digits, A-Z lowered. The vocabulary is chosen by the chi-square of term and label over
-a bounded sample of labelled rows, each family of near copies counted once; document frequencies come from the
-whole corpus. Every text then has a sparse vector over these terms, ``(1 + ln tf) * idf`` at unit length.
+a bounded sample of labelled rows, each family of near copies counted once, however many pass; document frequencies
+come from the whole corpus. Every text then has a sparse vector over these terms, ``(1 + ln tf) * idf`` at unit length.
 
 Examples lie in blocks; per term the index keeps postings by block and the largest weight of each block. A query adds
 up the block maxima of its terms, opens blocks in falling order of that bound, in growing waves, and stops when the ``k``-th best
@@ -25,12 +25,9 @@ from fieldnote.llm.wordhash import Texts, batches, runs, window_hashes, word_has
 
 MAX_EXAMPLES = 20_000
 """Labelled rows that are used at most, half of each label where there are as many; spread by a hash of the id."""
-MAX_TERMS = 2_000
 MIN_FAMILIES = 5
 MIN_CHI2 = 30.0
 """About a one in 20 million chance per term, so that none is picked by chance among millions of terms."""
-MIN_SHARE = 0.004
-"""Least share of the label's variance that a term explains (chi-square over rows): weak terms of large samples stay out."""
 BLOCK = 64
 FIRST_WAVE = 8
 """Blocks opened at once at first; each further wave opens twice as many."""
@@ -191,7 +188,7 @@ def fitted_index(docs: DataFrame, labels: DataFrame) -> Index:
     n, k = F.col("n").cast("double"), F.col("toxic").cast("double")
     off = F.lit(float(max(total, 1))) * k - F.lit(float(toxic)) * n
     chi2 = F.lit(float(max(total, 1))) * off * off / F.greatest(n * (total - n) * F.lit(float(toxic)) * F.lit(float(total - toxic)), F.lit(1.0))
-    best = by_term.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (F.col("chi2") >= MIN_SHARE * float(total))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term").collect()
+    best = by_term.withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).select("term").collect()
     terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
     index = Index(terms, np.ones(len(terms)))
     index.prior = sum(per.get(y, 0) for y in per if y) / max(1, sum(per.values()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldnote.llm.html_main import blocks, main_texts
 from fieldnote.llm.mtree import nearest
-from fieldnote.llm.toxicity import BLOCK, Index, toxicity
+from fieldnote.llm.toxicity import BLOCK, Index, fitted_index, toxicity
 from tests.conftest import SF
 
 from .helpers import documents, none, odd
@@ -152,3 +152,16 @@ def test_names_are_weighed(spark):
         assert " ".join(" ".join(b.text for b in blocks(page)).split()) == text.strip(), page
     got = _texts(spark, [("h", f'<div class="menu">{text}</div><p>own {i}') for i in range(9)])
     assert got == [f"own {i}" for i in range(9)]
+
+
+def test_terms_of_large_samples_and_many_terms_are_all_indexed(spark):
+    def index(rows):
+        d = spark.createDataFrame(rows, "id long, text string, label int")
+        return fitted_index(d.select("id", "text"), d.select("id", "label"))
+
+    # 16,000 examples; a word that 45 toxic ones hold, another that the rest of them share
+    rows = [(i, f"x{i} y{i} z{i} " + ("" if i % 2 else "rareslur" if i < 90 else "slur"), 1 - i % 2) for i in range(16_000)]
+    assert len(index(rows).terms) == 2
+    rng = np.random.default_rng(1)
+    many = [(i, " ".join(f"{'t' if i % 2 else 'c'}{j}" for j in rng.permutation(1_100)), i % 2) for i in range(80)]
+    assert len(index(many).terms) == 2_200
