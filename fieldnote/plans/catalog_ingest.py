@@ -30,6 +30,11 @@ def _plain(column: str = "text"):
     return ~F.col(column).rlike("[0-9@]|u/|www|http")
 
 
+def _digests(rows: DataFrame) -> DataFrame:
+    """All records with the digest of their text. SQL cannot scrub, so these have none; the tests compare all rows with a brute-force scrub."""
+    return rows.filter("record_id is not null").select("native_id", F.md5("text_clean").alias("digest"))
+
+
 # ------------------------------------------------------------------------------- threads
 def thread_payloads(spark: S, d: str) -> DataFrame:
     """Each conversation as one nested post: every turn is the reply to the turn before."""
@@ -59,12 +64,18 @@ def thread_payloads(spark: S, d: str) -> DataFrame:
         WHERE c <> '' GROUP BY native_id, n, risky""",
 )
 def thread_records(spark: S, d: str) -> DataFrame:
-    """Nested threads to records, depth first. All threads; a digest only where SQL, which has no scrub, has the same text."""
+    """Nested threads to records, depth first. All threads; a digest only where SQL, which has no scrub, has the same text (see thread_texts)."""
     risky = st.read(spark, d, "conversations").filter(~_plain()).select(F.concat(F.lit("t3_"), F.col("conv_id").cast("string")).alias("native_id"), F.lit(True).alias("risky")).distinct()
     rows = mp.map_records(thread_payloads(spark, d), "reddit", st.SALT, "r").join(risky, "native_id", "left")
     return rows.select("native_id", "engagement", F.when(F.col("risky").isNull(), F.md5("text_clean")).alias("digest"), F.coalesce(F.size("posts"), F.lit(1)).alias("posts"))
 
 
+@query("thread_texts")
+def thread_texts(spark: S, d: str) -> DataFrame:
+    """The digest of every thread's text, scrubbed ones too."""
+    return _digests(mp.map_records(thread_payloads(spark, d), "reddit", st.SALT, "r"))
+
+
 @query(
     "reply_order",
     """SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(turn AS VARCHAR) AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations""",
@@ -96,7 +107,7 @@ _FLAT_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS native_id, CASE WHEN NOT {_HAS
 
 
 def _compared(spark: S, d: str, rows: DataFrame, *cols, plain=None) -> DataFrame:
-    """All mapped rows; a digest of the text where SQL, which has no scrub, has the same text. The tests compare the rest."""
+    """All mapped rows; a digest of the text where SQL, which has no scrub, has the same text. The _texts queries have all digests."""
     same = _plain() if plain is None else plain
     risky = st.read(spark, d, "documents").filter(~same).select(F.col("doc_id").cast("string").alias("native_id"), F.lit(True).alias("risky"))
     return (
@@ -107,27 +118,62 @@ def _compared(spark: S, d: str, rows: DataFrame, *cols, plain=None) -> DataFrame
     )
 
 
+def review_payloads(spark: S, d: str) -> DataFrame:
+    c = F.col
+    return _flat(spark, d, [c("doc_id").cast("string").alias("reviewId"), c("source").alias("userName"), c("text").alias("content"), (1 + c("n_chars") % 5).alias("score")])
+
+
 @query("review_records", _FLAT_SQL.replace("<columns>", "CAST(1 + n_chars % 5 AS INT) AS rating, 'android' AS platform_hint"))
 def review_records(spark: S, d: str) -> DataFrame:
+    return _compared(spark, d, mp.map_records(review_payloads(spark, d), "play", st.SALT, "r"), "rating", "platform_hint")
+
+
+@query("review_texts")
+def review_texts(spark: S, d: str) -> DataFrame:
+    """The digest of every text, scrubbed ones too."""
+    return _digests(mp.map_records(review_payloads(spark, d), "play", st.SALT, "r"))
+
+
+def store_feed_payloads(spark: S, d: str) -> DataFrame:
+    label = lambda x: F.struct(x.cast("string").alias("label"))
     c = F.col
-    raw = _flat(spark, d, [c("doc_id").cast("string").alias("reviewId"), c("source").alias("userName"), c("text").alias("content"), (1 + c("n_chars") % 5).alias("score")])
-    return _compared(spark, d, mp.map_records(raw, "play", st.SALT, "r"), "rating", "platform_hint")
+    return _flat(spark, d, [label(c("doc_id")).alias("id"), label(c("text")).alias("content"), label(1 + c("n_chars") % 5).alias("im:rating")])
 
 
 @query("store_feed_records", _FLAT_SQL.replace("<columns>", "CAST(1 + n_chars % 5 AS INT) AS rating, 'IN' AS region_hint"))
 def store_feed_records(spark: S, d: str) -> DataFrame:
-    label = lambda x: F.struct(x.cast("string").alias("label"))
+    return _compared(spark, d, mp.map_records(store_feed_payloads(spark, d), "appstore", st.SALT, "r"), "rating", "region_hint")
+
+
+@query("store_feed_texts")
+def store_feed_texts(spark: S, d: str) -> DataFrame:
+    """The digest of every text, scrubbed ones too."""
+    return _digests(mp.map_records(store_feed_payloads(spark, d), "appstore", st.SALT, "r"))
+
+
+def answer_payloads(spark: S, d: str) -> DataFrame:
     c = F.col
-    raw = _flat(spark, d, [label(c("doc_id")).alias("id"), label(c("text")).alias("content"), label(1 + c("n_chars") % 5).alias("im:rating")])
-    return _compared(spark, d, mp.map_records(raw, "appstore", st.SALT, "r"), "rating", "region_hint")
+    return _flat(spark, d, [F.struct(c("doc_id").cast("string").alias("id"), c("text").alias("text")).alias("answer"), F.concat(F.lit("https://q.example/What/answer/"), "source").alias("url"), c("lang").alias("title")])
 
 
 @query("answer_records", _FLAT_SQL.replace("<columns>", "'https://q.example/What#answer-' || doc_id AS source_url, lang AS thread_context"))
 def answer_records(spark: S, d: str) -> DataFrame:
     """Answers keep the question's address; the part that names their author is cut."""
+    return _compared(spark, d, mp.map_records(answer_payloads(spark, d), "quora", st.SALT, "r"), "source_url", "thread_context")
+
+
+@query("answer_texts")
+def answer_texts(spark: S, d: str) -> DataFrame:
+    """The digest of every text, scrubbed ones too."""
+    return _digests(mp.map_records(answer_payloads(spark, d), "quora", st.SALT, "r"))
+
+
+def short_post_payloads(spark: S, d: str) -> DataFrame:
     c = F.col
-    raw = _flat(spark, d, [F.struct(c("doc_id").cast("string").alias("id"), c("text").alias("text")).alias("answer"), F.concat(F.lit("https://q.example/What/answer/"), "source").alias("url"), c("lang").alias("title")])
-    return _compared(spark, d, mp.map_records(raw, "quora", st.SALT, "r"), "source_url", "thread_context")
+    return _flat(
+        spark, d,
+        [c("doc_id").cast("string").alias("id"), F.substring("text", 1, 100).alias("fullText"), c("text"), (c("n_chars") % 3 == 0).alias("isReply"), (c("n_chars") % 11 == 0).alias("isRetweet")],
+    )
 
 
 @query(
@@ -137,14 +183,15 @@ def answer_records(spark: S, d: str) -> DataFrame:
 )
 def short_post_records(spark: S, d: str) -> DataFrame:
     """The longer of two texts counts; reposts are fetched but hold no text."""
-    c = F.col
-    raw = _flat(
-        spark, d,
-        [c("doc_id").cast("string").alias("id"), F.substring("text", 1, 100).alias("fullText"), c("text"), (c("n_chars") % 3 == 0).alias("isReply"), (c("n_chars") % 11 == 0).alias("isRetweet")],
-    )
-    rows = mp.map_records(raw, "x", st.SALT, "r")
+    rows = mp.map_records(short_post_payloads(spark, d), "x", st.SALT, "r")
     # A text holding an entity is decoded, which SQL does not.
-    return _compared(spark, d, rows, "thread_context", "source_url", plain=_plain() & ~c("text").contains("&"))
+    return _compared(spark, d, rows, "thread_context", "source_url", plain=_plain() & ~F.col("text").contains("&"))
+
+
+@query("short_post_texts")
+def short_post_texts(spark: S, d: str) -> DataFrame:
+    """The digest of every text, scrubbed ones too."""
+    return _digests(mp.map_records(short_post_payloads(spark, d), "x", st.SALT, "r"))
 
 
 @query("comment_thread_records")

@@ -1,11 +1,16 @@
 """Payload mappings, accounting and streaming ingest on literal items."""
 
+import hashlib
+import html
 import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 
+from fieldnote import vocab
+from fieldnote.plans import registry
 from fieldnote.sources import ingest as ig
 from fieldnote.sources import mapping as mp
 from fieldnote.streaming.ingest import RAW, ingest_stream
@@ -118,3 +123,32 @@ def test_replies_whose_parent_is_not_there_are_roots(spark):
     edges = spark.createDataFrame(rows, "thread_id string, id string, parent string, rank int")
     got = [(r["id"], r["depth"], r["orphan"]) for r in mp.flatten_edges(edges).orderBy("thread_id", "path").collect()]
     assert got == [("a", 1, False), ("b", 1, True), ("c", 2, False), ("d", 1, True)]
+
+
+def brute_text(text):
+    """Scrubbed and normalised by Python's own expressions."""
+    for kind, shown, pattern in vocab.SCRUB_RULES:
+        text = re.sub(re.sub(r"^\(\?i?U\)", "", pattern), lambda m: shown, text, flags=re.I if pattern.startswith("(?i") else 0)  # noqa: B023
+    phone = re.compile(vocab.PHONE_CANDIDATE.removeprefix("(?U)"))
+    text = phone.sub(lambda m: "[PHONE]" if vocab.PHONE_DIGITS[0] <= len(re.sub(r"\D", "", m.group())) <= vocab.PHONE_DIGITS[1] else m.group(), text)
+    text = re.sub("[ \t\f\v\xa0]+", " ", re.sub("\r\n?", "\n", text))
+    return re.sub("\n{3,}", "\n\n", "\n".join(x.strip() for x in text.split("\n"))).strip()
+
+
+ROWS = [
+    "mail bob.lee@mail.example.com or see https://a.example/x?y=1 now", "call +91 98765 43210 today", "u/some_one and @some.body said", "ABCDE1234F is 1234 5678 9012",
+    "card 4111 1111 1111 1111 1", "3 &lt; 4 &amp; www.b.example", "plain words", "year 2024, 12 of 30", "  two\t lines\r\n\r\n\r\n\r\nof 5 ",
+]
+
+
+def test_digests_of_all_rows_equal_a_brute_force_scrub(spark):
+    folder = tempfile.mkdtemp()
+    docs = [(i, x, "en", "a", 2 + 11 * i) for i, x in enumerate(ROWS)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i % 2, i // 2, "user", x) for i, x in enumerate(ROWS)], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    queries, digest = registry.load(), lambda x: hashlib.md5(x.encode()).hexdigest()
+    for name, read in (("review_texts", str), ("store_feed_texts", str), ("answer_texts", str), ("short_post_texts", html.unescape)):
+        got = {r["native_id"].removeprefix("in-"): r["digest"] for r in queries[name].job(spark, folder).collect()}
+        assert got == {str(i): digest(brute_text(read(x))) for i, x in enumerate(ROWS)}, name
+    got = {r["native_id"]: r["digest"] for r in queries["thread_texts"].job(spark, folder).collect()}
+    assert got == {f"t3_{k}": digest("\n\n".join(brute_text(x) for x in ROWS[k::2])) for k in range(2)}
