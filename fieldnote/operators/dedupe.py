@@ -7,8 +7,11 @@ authors are counted, never marked.
 Similarity candidates come from *part signatures*. Two word sets with Jaccard above ``t`` differ in fewer
 than ``(1-t)/(1+t) * (|x|+|y|)`` words. Words are spread by hash over more parts than that, so at least
 one part (or, for short texts, three parts) holds the same words in both sets, and its hash is an equal
-join key. The signatures are computed row by row: no word-frequency table is shuffled, and common words
-do not make large blocks.
+join key. The signatures are computed row by row: no word-frequency table is shuffled.
+
+A signature may still be a few common words, and its block grow with the corpus. A block of more than ``SPLIT`` texts is
+therefore split by further signatures, of parts that another hash deals out: two similar sets agree in one of those
+too. Splitting goes on until blocks are small or hardly shrink, which is when their texts are similar indeed.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from fieldnote.session import checkpointed
 SMALL_SET = 24
 """Below this many words, signatures cover three parts at once; from it on, one part of ~5 words."""
 
+SPLIT = 64
+"""A block of more texts than this is split by further signatures, and compared in squares of about this many."""
+
 HEADS = 64
 """Earliest unresolved texts of a block that later ones are compared with in one round."""
 
@@ -84,15 +90,15 @@ def _parts_for(window: Column, t: float) -> Column:
     return F.ceil((1 - t) / (1 + t) * 2 * widest + 1e-6).cast("int")
 
 
-def signatures(words: Column, t: float) -> Column:
-    """``array<bigint>``: word sets with Jaccard above ``t`` share at least one entry."""
+def signatures(words: Column, t: float, seed: int = 0) -> Column:
+    """``array<bigint>``: word sets with Jaccard above ``t`` share at least one entry, whatever the ``seed``."""
     n = F.size(words)
     band = F.floor(F.log(n.cast("double")) / math.log(1 / t) + 1e-9)
     most = math.ceil((1 - t) / (1 + t) * 2 * SMALL_SET / t / t) + 3
     triples = F.array(*[F.struct(*[F.lit(x).alias(f"p{x_}") for x_, x in enumerate(c)]) for c in combinations(range(most), 3)])
 
     def part_of(w: Column, parts: Column) -> Column:
-        return F.pmod(F.xxhash64(w), parts)
+        return F.pmod(F.xxhash64(w, F.lit(seed)), parts)
 
     def short(window: Column) -> Column:
         def hashes(parts: Column) -> Column:
@@ -162,32 +168,62 @@ def _smallest_partner(t: float) -> int:
     return n
 
 
+# ------------------------------------------------------------------------------- blocks
+def signature_blocks(sets: DataFrame, group: list[str], key: str, t: float) -> DataFrame:
+    """``blk, key, n``: similar sets of one group share a block; ``n`` is the number of sets in it.
+
+    ``sets`` holds ``*group``, a ``key`` that names a set of a group, and ``words``. Blocks of one set are left out.
+    A block is final when it has at most ``SPLIT`` sets, or more than half of those of the block it was split from.
+    """
+    body = checkpointed(sets.filter(F.size("words") >= _smallest_partner(t)).select(F.xxhash64(*group).alias("grp"), key, "words"))
+    open_ = body.select(
+        key, "grp", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig"), F.lit(1 << 62).alias("above")
+    ).select(F.xxhash64("grp", "sig").alias("blk"), key, "above")
+    final, seed = None, 0
+    while True:
+        shared = open_.groupBy("blk").agg(F.count("*").alias("n")).filter("n > 1")
+        rows = checkpointed(keyed_join(open_, shared, ["blk"], [key]).select("blk", key, "n", "above"))
+        split = (F.col("n") > SPLIT) & (2 * F.col("n") <= F.col("above"))
+        done = rows.filter(~split).select("blk", key, "n")
+        final = done if final is None else final.unionByName(done)
+        rows = rows.filter(split)
+        if rows.isEmpty():
+            return final
+        seed += 1
+        again = body.join(rows.select(key).distinct(), key, "left_semi").select(key, F.array_distinct(signatures(F.col("words"), t, seed)).alias("sigs"))
+        open_ = rows.join(again, key).select("blk", key, F.col("n").alias("above"), F.explode("sigs").alias("sig")).select(
+            F.xxhash64("blk", "sig").alias("blk"), key, "above"
+        )
+
+
+def block_pairs(blocks: DataFrame, key: str) -> DataFrame:
+    """Different ``a < b`` that share a block, once. A large block is compared square by square, in many tasks."""
+    sides = F.ceil(F.col("n") / SPLIT).cast("int")
+    own, other = F.pmod(F.xxhash64(key), sides), F.explode(F.sequence(F.lit(0), sides - 1))
+    left = blocks.select("blk", F.col(key).alias("a"), own.alias("x"), other.alias("y"))
+    right = blocks.select("blk", F.col(key).alias("b"), own.alias("y"), other.alias("x"))
+    return left.join(right, ["blk", "x", "y"]).filter("a < b").select("a", "b").distinct()
+
+
 # ------------------------------------------------------------------------------- similar pairs
 def similar_sets(sets: DataFrame, group: list[str], t: float) -> DataFrame:
     """All pairs ``(*group, a, b, similarity)`` of different word sets with Jaccard above ``t``.
 
     ``sets`` holds one row per distinct set of a group: ``*group, set_key, words``.
     """
-    able = sets.filter(F.size("words") >= _smallest_partner(t))
-    blocks = checkpointed(
-        able.select(*group, "set_key", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig"))
-    )
-    right = blocks.select(*group, "sig", F.col("set_key").alias("b"))
-    pairs = (
-        blocks.withColumnRenamed("set_key", "a")
-        .join(right, [*group, "sig"])
-        .filter(F.col("a") < F.col("b"))
-        .select(*group, "a", "b")
-        .distinct()
-    )
-    wa = able.select(*group, F.col("set_key").alias("a"), F.col("words").alias("wa"))
-    wb = able.select(*group, F.col("set_key").alias("b"), F.col("words").alias("wb"))
+    named = sets.dropna(subset=group).withColumn("id", F.struct(*group, "set_key"))
+    pairs = block_pairs(signature_blocks(named, group, "id", t), "id")
+    wa = named.select(F.col("id").alias("a"), F.col("words").alias("wa"))
+    wb = named.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    alike = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+    for same in alike:
+        pairs = pairs.filter(same)
     return (
-        pairs.join(wa, [*group, "a"])
-        .join(wb, [*group, "b"])
+        pairs.join(wa, "a")
+        .join(wb, "b")
         .withColumn("similarity", jaccard(F.col("wa"), F.col("wb")))
         .filter(F.col("similarity") > t)
-        .select(*group, "a", "b", "similarity")
+        .select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.set_key").alias("a"), F.col("b.set_key").alias("b"), "similarity")
     )
 
 
@@ -270,15 +306,20 @@ def near_duplicates_same_author(
 ) -> DataFrame:
     """(record_id, winner, source): texts that lose to an earlier kept text of the same author.
 
-    Going through one author's texts in order, a text is kept unless an earlier *kept* text is similar.
-    Equal word sets are settled first by their earliest member. The rest is settled in rounds: each
-    block shows its ``HEADS`` earliest open texts, a text with no similar earlier text among complete
-    blocks is kept, and texts similar to a kept one lose. A block of any size is only ever compared with
-    its heads, so a large group of near copies is settled by its first member.
+    Going through one author's texts in order, a text is kept unless an earlier *kept* text is similar; the earliest
+    such text is its winner. Equal word sets are settled first by their earliest member. The rest is settled in rounds:
+
+    * each block shows its ``HEADS`` earliest open texts, and texts that still ask are compared with them;
+    * a text among the heads of all its blocks knows all its earlier partners and asks no more;
+    * such a text is kept when none of its partners is open or kept; texts similar to a kept one lose;
+    * a text that lost asks on only where an open text stands before its winner, so the winner is final.
+
+    The links found are carried along, so no block is looked at again at the end. A block of any size is only
+    ever compared with its heads: a large group of near copies is settled by its first member.
     """
     who = ["source", "author_key"]
     rows = (
-        records.filter(F.col("author_key").isNotNull() & (F.col("author_key") != ""))
+        records.filter(F.col("author_key").isNotNull() & (F.col("author_key") != "") & F.col("source").isNotNull())
         .select("record_id", *who, "created_at", word_set(F.col(text)).alias("words"))
         .filter(F.size("words") > 0)
         .withColumn("set_key", F.md5(F.array_join("words", " ")))
@@ -288,70 +329,48 @@ def near_duplicates_same_author(
             F.min(_order()).alias("ord"), F.count("*").alias("n"), F.first("words").alias("words")
         )
     )
-    able = sets.filter(F.size("words") >= _smallest_partner(t)).select(*who, "ord", "words")
-    blocks = checkpointed(
-        able.select(*who, "ord", F.explode(F.array_distinct(signatures(F.col("words"), t))).alias("sig")).select(
-            F.xxhash64(*who, "sig").alias("blk"), "ord"
-        )
-    )
-    shared = blocks.groupBy("blk").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = checkpointed(
-        keyed_join(blocks, shared, ["blk"], [F.col("ord.id")]).select("blk", "ord", "n")
-    )
-    body = able.select("ord", *who, "words")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = body.select(F.col("ord").alias("late"), F.struct(*who).alias("wl"), F.col("words").alias("la"))
-        right = body.select(F.col("ord").alias("early"), F.struct(*who).alias("wr"), F.col("words").alias("lb"))
-        return (
-            pairs.distinct()
-            .join(left, "late")
-            .join(right, "early")
-            .filter((F.col("wl") == F.col("wr")) & (jaccard(F.col("la"), F.col("lb")) > t))
-            .select("late", "early")
-        )
-
-    def against(rows_: DataFrame, heads: DataFrame) -> DataFrame:
-        early = heads.select("blk", F.col("ord").alias("early"), "n")
-        late = rows_.select("blk", F.col("ord").alias("late"))
-        return keyed_join(late, early, ["blk"], [F.col("late.id")]).filter("early < late").select("late", "early")
-
-    open_blocks, kept, lost = blocks, None, None
-    while not open_blocks.isEmpty():
-        heads = (
-            open_blocks.withColumn("r", F.row_number().over(W.partitionBy("blk").orderBy("ord")))
-            .filter(F.col("r") <= HEADS)
-            .drop("r")
-        )
-        # A text is complete when it is a head of every block it is in.
-        complete = (
-            open_blocks.groupBy("ord").agg(F.count("*").alias("in_blocks"))
-            .join(heads.groupBy("ord").agg(F.count("*").alias("as_head")), "ord")
-            .filter("in_blocks = as_head")
-            .select("ord")
-        )
-        edges = checkpointed(verified(against(open_blocks, heads)))
-        keep_now = checkpointed(complete.join(edges.select(F.col("late").alias("ord")), "ord", "left_anti"))
-        lose_now = checkpointed(
-            edges.join(keep_now.withColumnRenamed("ord", "early"), "early", "left_semi")
-            .select(F.col("late").alias("ord")).distinct()
-        )
-        kept = keep_now if kept is None else kept.unionByName(keep_now)
-        lost = lose_now if lost is None else lost.unionByName(lose_now)
-        settled = keep_now.unionByName(lose_now)
-        open_blocks = checkpointed(open_blocks.join(settled, "ord", "left_anti"))
-    if lost is None:
-        winners = sets.select(F.col("ord").alias("late"), F.col("ord.id").alias("winner")).limit(0)
-    else:
-        kept_blocks = blocks.join(kept, "ord", "left_semi")
-        winners = (
-            verified(against(blocks.join(lost, "ord", "left_semi"), kept_blocks))
-            .groupBy("late").agg(F.min("early").alias("w")).select("late", F.col("w.id").alias("winner"))
-        )
+    live = checkpointed(signature_blocks(sets, who, "ord", t))
+    asking = live.select("blk", "ord")
+    body = sets.select("ord", F.struct(*who).alias("who"), "words")
+    edges = complete = kept = winners = None
+
+    def both(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if old is None else checkpointed(old.unionByName(new).distinct())
+
+    def ids(df: DataFrame, column: str, name: str = "ord") -> DataFrame:
+        return df.select(F.col(column).alias(name)).distinct()
+
+    while not live.isEmpty():
+        if not asking.isEmpty():
+            ranked = live.withColumn("r", F.row_number().over(W.partitionBy("blk").orderBy("ord")))
+            heads = checkpointed(ranked.filter(F.col("r") <= HEADS).drop("r"))
+            met = keyed_join(asking.select("blk", F.col("ord").alias("late")), heads.select("blk", F.col("ord").alias("early"), "n"), ["blk"], [F.col("late.id")])
+            met = met.filter("early < late").select("late", "early").distinct()
+            left = body.select(F.col("ord").alias("late"), F.col("who").alias("wl"), F.col("words").alias("la"))
+            right = body.select(F.col("ord").alias("early"), F.col("who").alias("wr"), F.col("words").alias("lb"))
+            alike = met.join(left, "late").join(right, "early").filter((F.col("wl") == F.col("wr")) & (jaccard(F.col("la"), F.col("lb")) > t))
+            edges = both(edges, checkpointed(alike.select("late", "early")))
+            as_head = heads.groupBy("ord").agg(F.count("*").alias("as_head"))
+            complete = both(complete, live.groupBy("ord").agg(F.count("*").alias("in_blocks")).join(as_head, "ord").filter("in_blocks = as_head").select("ord"))
+        open_ = ids(live, "ord")
+        waiting = edges.join(ids(live, "ord", "late"), "late", "left_semi")
+        held = waiting.join(ids(live, "ord", "early") if kept is None else ids(live, "ord", "early").union(kept.select(F.col("ord").alias("early"))), "early", "left_semi")
+        keep_now = checkpointed(open_.join(complete, "ord", "left_semi").join(ids(held, "late"), "ord", "left_anti"))
+        kept = both(kept, keep_now)
+        # every link to a kept text counts, also of texts that lost before: the earliest wins
+        found = edges.join(kept.select(F.col("ord").alias("early")), "early", "left_semi").groupBy("late").agg(F.min("early").alias("winner"))
+        winners = checkpointed(found.select(F.col("late").alias("ord"), "winner"))
+        live = checkpointed(live.join(keep_now, "ord", "left_anti").join(winners, "ord", "left_anti"))
+        first_open = live.groupBy("blk").agg(F.min("ord").alias("first"))
+        asked = asking.join(keep_now, "ord", "left_anti").join(winners, "ord", "left").join(first_open, "blk")
+        asked = asked.filter("winner is null or first < winner").select("blk", "ord")
+        asking = checkpointed(asked.join(complete, "ord", "left_anti"))
+    if winners is None:
+        winners = sets.select("ord", F.col("ord").alias("winner")).limit(0)
     settled_sets = (
         sets.select(*who, "set_key", "ord", "n")
-        .join(winners.withColumnRenamed("late", "ord"), "ord", "left")
-        .withColumn("winner", F.coalesce("winner", F.col("ord.id")))
+        .join(winners, "ord", "left")
+        .withColumn("winner", F.coalesce("winner.id", "ord.id"))
         .filter((F.col("winner") != F.col("ord.id")) | (F.col("n") > 1))
         .select(*who, "set_key", "winner", "n")
     )

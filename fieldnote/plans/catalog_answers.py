@@ -53,7 +53,7 @@ def _pooled(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
 def ranked_texts(spark: S, d: str) -> DataFrame:
     """Every benchmark passage searched in the documents of each language."""
     docs, queries = _pooled(spark, d)
-    return rt.bm25_search(docs, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return rt.bm25_search(rt.text_index(docs.select("doc_id", "text")), docs.drop("text"), queries).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -64,7 +64,7 @@ def ranked_texts(spark: S, d: str) -> DataFrame:
 )
 def overlapping_texts(spark: S, d: str) -> DataFrame:
     docs, queries = _pooled(spark, d)
-    return rt.overlap_search(docs.withColumn("priority", F.lit(0)), queries)
+    return rt.overlap_search(rt.text_index(docs.select("doc_id", "text")), docs.drop("text").withColumn("priority", F.lit(0)), queries)
 
 
 def plans(spark: S, d: str) -> DataFrame:

@@ -255,15 +255,59 @@ def echo_pairs(spark: S, d: str) -> DataFrame:
     return dedupe.cross_author_echoes(st.records(spark, d)).filter("echo_pairs > 0")
 
 
-@query("near_duplicates")
+# One author per language, so that authors have enough texts to repeat themselves. Texts are gone through in order:
+# ``kept`` grows by a text when none of the kept ones is similar to it, else the earliest similar one wins.
+_NEAR = {
+    "near_rows": f"""SELECT '_all' AS source, collect_query AS author_key, record_id, coalesce(created_at, '9999') AS created,
+                       list_sort(list_distinct({WORDS.format('text_clean')})) AS w FROM {{0}}""",
+    "near_sets": """SELECT source, author_key, w, first(record_id ORDER BY created, record_id) AS id, first(created ORDER BY created, record_id) AS created
+                    FROM near_rows WHERE len(w) > 0 GROUP BY source, author_key, w""",
+    "near_links": """SELECT x.source, x.author_key, x.id AS late, y.id AS early, y.created AS early_at FROM near_sets x JOIN near_sets y
+                       ON x.source = y.source AND x.author_key = y.author_key AND (y.created, y.id) < (x.created, x.id)
+                      AND len(x.w) > 0.85 * len(y.w) AND len(y.w) > 0.85 * len(x.w)
+                     WHERE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) > 0.85""",
+    "near_asked": """SELECT source, author_key, id, list(early ORDER BY early_at, early) AS earlier,
+                       row_number() OVER (PARTITION BY source, author_key ORDER BY any_value(created), id) AS step
+                     FROM near_sets JOIN near_links USING (source, author_key) WHERE late = id GROUP BY source, author_key, id""",
+    "near_lost": """SELECT source, author_key, 0::bigint AS step, []::varchar[] AS lost, NULL::varchar AS id, NULL::varchar AS winner
+                    FROM (SELECT DISTINCT source, author_key FROM near_asked)
+                    UNION ALL
+                    SELECT l.source, l.author_key, a.step, CASE WHEN len(list_filter(a.earlier, lambda e: NOT list_contains(l.lost, e))) > 0 THEN list_append(l.lost, a.id) ELSE l.lost END,
+                      a.id, list_filter(a.earlier, lambda e: NOT list_contains(l.lost, e))[1]
+                    FROM near_lost l JOIN near_asked a ON l.source = a.source AND l.author_key = a.author_key AND a.step = l.step + 1""",
+    "near_out": """SELECT r.record_id, coalesce(l.winner, s.id) AS winner, r.source FROM near_rows r
+                   JOIN near_sets s ON s.source = r.source AND s.author_key = r.author_key AND s.w = r.w
+                   LEFT JOIN near_lost l ON l.source = s.source AND l.author_key = s.author_key AND l.id = s.id
+                   WHERE r.record_id <> coalesce(l.winner, s.id)""",
+}
+
+
+def near_sql(table: str) -> dict[str, str]:
+    return {**_NEAR, "near_rows": _NEAR["near_rows"].replace("{0}", table)}
+
+
+def by_language(records: DataFrame) -> DataFrame:
+    return records.withColumns({"source": F.lit("_all"), "author_key": F.col("collect_query")})
+
+
+@query("near_duplicates", T("records", "SELECT * FROM near_out", near_sql("records")))
 def near_duplicates(spark: S, d: str) -> DataFrame:
-    return dedupe.near_duplicates_same_author(st.records(spark, d))
+    """All texts of a language as those of one author."""
+    return dedupe.near_duplicates_same_author(by_language(st.records(spark, d)))
 
 
-@query("dedupe_pass")
+@query(
+    "dedupe_pass",
+    T("records", """SELECT record_id, 'clean' AS stage, 'exact_duplicate' AS reason, 'duplicate of ' || winner AS detail FROM exact_all
+                    UNION ALL SELECT record_id, 'clean', 'near_duplicate_same_author', 'same-author near-duplicate of ' || winner FROM near_out""",
+      {"all_records": "SELECT * REPLACE ('_all' AS source, collect_query AS author_key) FROM records",
+       "exact_all": st.SQL["exact"].replace("FROM records)", "FROM all_records)"),
+       "rest_records": "SELECT * FROM all_records WHERE record_id NOT IN (SELECT record_id FROM exact_all)", **near_sql("rest_records")}),
+)
 def dedupe_pass(spark: S, d: str) -> DataFrame:
     """Exact copies, then near copies of one author among the rest, as marks."""
-    return dedupe.dedupe_marks(st.records(spark, d), st.no_marks(spark), "r")
+    marks = dedupe.dedupe_marks(by_language(st.records(spark, d)), st.no_marks(spark), "r")
+    return marks.select("record_id", "stage", "reason", "detail")
 
 
 # ------------------------------------------------------------------------------- the cleaning pass and its funnel

@@ -157,7 +157,7 @@ def with_tables(names: str, body: str, extra: dict[str, str] | None = None) -> s
     for name in names.split():
         add(name)
     seen.update(extra or {})
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in seen.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in seen.items()) + "\n" + body
 
 
 # ------------------------------------------------------------------------------- posts, stories, codes

@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldnote.operators import dedupe as dd
 from fieldnote.operators import skew
@@ -137,3 +138,39 @@ def test_identical_near_copies_of_one_author_settle_in_one_round(spark):
     rows = [(f"n{i:03d}", "s", "bot", f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}", f"{base} unique{i}") for i in range(150)]
     got = {(r[0], r[1]) for r in dd.near_duplicates_same_author(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {(f"n{i:03d}", "n000") for i in range(1, 150)}
+
+
+def zipf_sets(spark, n):
+    """Sets of up to 60 words, drawn so that the word of rank r comes up with a chance in proportion to 1 / r."""
+    u = lambda j: F.pmod(F.xxhash64(F.col("id"), j), F.lit(1 << 20)) / float(1 << 20)
+    words = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda j: F.concat(F.lit("w"), F.floor(F.exp(u(j) * 9)).cast("string")))
+    return spark.range(n).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("set_key"), F.array_sort(F.array_distinct(words)).alias("words"))
+
+
+def test_blocks_of_common_words_do_not_grow(spark):
+    """Blocks of texts that only share common words stay small however many texts there are."""
+    most = []
+    for n in (3_000, 15_000):
+        blocks = dd.signature_blocks(zipf_sets(spark, n), ["source"], "set_key", 0.85)
+        most.append(blocks.agg(F.max("n")).first()[0])
+    assert most[1] <= dd.SPLIT and most[0] <= dd.SPLIT
+
+
+def test_split_blocks_find_the_same_pairs(spark, rows, monkeypatch):
+    monkeypatch.setattr(dd, "SPLIT", 2)
+    test_similar_texts_equal_brute_force(spark, rows)
+    got = {(r[0], r[1]) for r in dd.near_duplicates_same_author(spark.createDataFrame(rows[:120], COLUMNS)).collect()}
+    assert got == expected_near(rows[:120])
+
+
+def test_an_earlier_winner_is_found_after_a_text_has_lost(spark, monkeypatch):
+    """With one head per block a text can lose to a later kept text before an earlier one is shown."""
+    rng = random.Random(9)
+    monkeypatch.setattr(dd, "HEADS", 1)
+    base = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = [w for w in base if rng.random() > 0.06] + [f"x{rng.randrange(12)}" for _ in range(2)]
+        rows.append((f"q{i:02d}", "s", "a", None, " ".join(own)))
+    got = {(r[0], r[1]) for r in dd.near_duplicates_same_author(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == expected_near(rows)
