@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,20 +14,70 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _bits(n: Column) -> Column:
+    return F.length(F.bin(n))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums up to and with each number of a list, by doubling: as many passes as the length has binary digits.
+
+    A fold that appends to its state would copy the whole list at each step.
+    """
+
+    def add(acc: Column, k: Column) -> Column:
+        return let(F.pow(F.lit(2), k).cast("int"), lambda d: F.transform(acc, lambda v, i: v + F.coalesce(F.get(acc, i - d), F.lit(0))))
+
+    return F.aggregate(F.sequence(F.lit(0), _bits(F.size(numbers)) - 1), numbers, add)
+
+
+def chain(items: Column, after: Callable[[Column, Column], Column]) -> Column:
+    """The first item, then always the first later one that comes ``after`` the last taken: greedy, in n log n steps.
+
+    ``after(taken, item)`` must stay true for all later items once it is true. The next item of each is found by
+    halving; jumps over 1, 2, 4, ... items then lead to the m-th taken item without walking there.
+    """
+
+    def of(xs: Column, n: Column) -> Column:
+        def next_of(x: Column, i: Column) -> Column:
+            def halve(acc: Column, _: Column) -> Column:
+                mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+                hit = let(mid, lambda m: F.struct(m.alias("m"), after(x, F.get(xs, m)).alias("yes")))
+                moved = let(hit, lambda h: F.when(h["yes"], F.struct(acc["lo"].alias("lo"), h["m"].alias("hi"))).otherwise(F.struct((h["m"] + 1).alias("lo"), acc["hi"].alias("hi"))))
+                return F.when(acc["lo"] < acc["hi"], moved).otherwise(acc)
+
+            return F.aggregate(F.sequence(F.lit(0), _bits(n)), F.struct((i + 1).alias("lo"), n.alias("hi")), halve, lambda acc: acc["lo"])
+
+        first = F.array(F.concat(F.transform(xs, next_of), F.array(n)))
+
+        def twice(acc: Column, _: Column) -> Column:
+            return let(F.element_at(acc, -1), lambda last: F.concat(acc, F.array(F.transform(last, lambda j: F.get(last, j)))))
+
+        def taken(jumps: Column) -> Column:
+            top = F.size(jumps) - 1
+
+            def leap(acc: Column, k: Column) -> Column:
+                goal = F.get(F.get(jumps, k), acc["at"])
+                return F.when(goal < n, F.struct(goal.alias("at"), (acc["m"] + F.pow(F.lit(2), k).cast("int")).alias("m"))).otherwise(acc)
+
+            most = F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.struct(F.lit(0).alias("at"), F.lit(0).alias("m")), leap, lambda acc: acc["m"])
+
+            def place(m: Column) -> Column:
+                return F.aggregate(F.sequence(F.lit(0), top), F.lit(0), lambda at, k: F.when(F.getbit(m, k) == 1, F.get(F.get(jumps, k), at)).otherwise(at))
+
+            return let(most, lambda last: F.transform(F.sequence(F.lit(0), last), lambda m: F.get(xs, place(m))))
+
+        return let(F.aggregate(F.sequence(F.lit(1), _bits(n)), first, twice), taken)
+
+    return let(items, lambda xs: F.when(F.size(xs) > 0, let(F.size(xs), lambda n: of(xs, n))).otherwise(xs))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Every match and where it starts, in characters: ``array<struct<h, at>>``."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(hits.alias("h"), F.slice(gaps, 1, F.size(hits)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<h:string,at:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["g"])
-        return F.struct(
-            (at + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["h"].alias("h"), at.alias("at")))).alias("out")
-        )
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    placed = let(pairs, lambda ps: F.arrays_zip(ps.alias("p"), running_sums(F.transform(ps, lambda x: F.length(x["g"]) + F.length(x["h"]))).alias("end")))
+    return F.transform(placed, lambda x: F.struct(x["p"]["h"].alias("h"), (x["end"] - F.length(x["p"]["h"])).alias("at")))
 
 
 # Every character that counts as white space when a line or a text is trimmed, newline apart.

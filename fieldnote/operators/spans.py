@@ -34,35 +34,18 @@ def assemble_threads(posts: DataFrame, separator: str = vocab.POST_SEPARATOR) ->
         F.array_sort(F.collect_list(F.when(ok, part))).alias("parts"), F.count_if(~ok).alias("n_deleted")
     )
     gap = len(separator)
-    empty = F.filter(
-        F.transform("parts", lambda p: F.struct(p["author_key"].alias("author_key"), F.lit(0).alias("start"), F.lit(0).alias("end"))),
-        lambda p: F.lit(False),
-    )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("posts"))
-    folded = F.aggregate(
+    ends = tx.running_sums(F.transform("parts", lambda p: F.length(p["clean"]) + gap))
+    placed = F.zip_with(
         "parts",
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["clean"]) + gap).alias("at"),
-            F.concat(
-                acc["posts"],
-                F.array(
-                    F.struct(
-                        p["author_key"].alias("author_key"),
-                        acc["at"].alias("start"),
-                        (acc["at"] + F.length(p["clean"])).alias("end"),
-                    )
-                ),
-            ).alias("posts"),
-        ),
-        lambda acc: acc["posts"],
+        ends,
+        lambda p, e: F.struct(p["author_key"].alias("author_key"), (e - gap - F.length(p["clean"])).alias("start"), (e - gap).alias("end")),
     )
     return rows.select(
         "thread_id",
         F.array_join(F.transform("parts", lambda p: p["raw"]), separator).alias("text_raw"),
         F.array_join(F.transform("parts", lambda p: p["clean"]), separator).alias("text_clean"),
         F.get("parts", 0)["author_key"].alias("author_key"),
-        F.when(F.size("parts") > 1, folded).alias("posts"),
+        F.when(F.size("parts") > 1, placed).alias("posts"),
         F.size("parts").alias("n_posts"),
         "n_deleted",
     )
@@ -97,30 +80,20 @@ def chunk_threads(records: DataFrame, most: int = vocab.CHUNK_CHARS) -> DataFram
     """
     listed = own_posts(F.col("posts"), F.col("author_key"), F.col("text_clean"))
     lengths = F.transform(listed, lambda p: p["end"] - p["start"])
-    state = F.struct(
-        F.lit(0).alias("size"),
-        F.lit(0).alias("part"),
-        F.array().cast("array<int>").alias("parts"),
-    )
-
-    def step(acc: Column, n: Column) -> Column:
-        cut = (F.size(acc["parts"]) > 0) & (acc["size"] + n > most)
-        part = F.when(cut, acc["part"] + 1).otherwise(acc["part"])
-        size = F.when(cut, n).otherwise(acc["size"] + n)
-        return F.struct(size.alias("size"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-    numbered = records.select(
-        "record_id", F.arrays_zip(lengths.alias("n"), F.aggregate(lengths, state, step, lambda a: a["parts"]).alias("part")).alias("z")
-    )
-    return (
-        numbered.select("record_id", F.posexplode("z").alias("i", "z"))
-        .groupBy("record_id", F.col("z.part").alias("part"))
-        .agg(
-            (F.min("i") + 1).alias("first_post"),
-            F.count("*").alias("n_posts"),
-            F.sum("z.n").alias("chars"),
-        )
+    rows = records.select("record_id", lengths.alias("n")).withColumn("to", tx.running_sums(F.col("n")))
+    posts = F.transform("n", lambda n, i: F.struct(i.alias("i"), (F.get("to", i) - n).alias("before"), F.get("to", i).alias("to")))
+    # a part starts with the first post that would bring the part before beyond the limit
+    rows = rows.withColumn("starts", tx.chain(posts, lambda start, p: p["to"] - start["before"] > most))
+    part = F.transform(
+        "starts",
+        lambda p, k: F.struct(
+            k.alias("part"),
+            (p["i"] + 1).alias("first_post"),
+            (F.coalesce(F.get("starts", k + 1)["i"], F.size("n")) - p["i"]).cast("bigint").alias("n_posts"),
+            (F.coalesce(F.get("starts", k + 1)["before"], F.element_at("to", -1)) - p["before"]).cast("bigint").alias("chars"),
+        ),
     )
+    return rows.select("record_id", F.explode(part).alias("p")).select("record_id", "p.*")
 
 
 # ------------------------------------------------------------------------------- quotes
@@ -206,16 +179,8 @@ def merge_spans(spans: DataFrame) -> DataFrame:
             F.collect_list(F.when(is_at, F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end"))))
         ).alias("open"),
     )
-    start = F.struct(F.lit(-1).alias("last"), F.filter("open", lambda s: F.lit(False)).alias("kept"))
-    kept = F.aggregate(
-        "open",
-        start,
-        lambda acc, s: F.when(
-            s["start"] >= acc["last"],
-            F.struct(s["end"].alias("last"), F.concat(acc["kept"], F.array(s)).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+    # spans start in order, so all later ones start after a kept one ends once one does
+    kept = tx.chain(F.col("open"), lambda last, s: s["start"] >= last["end"])
     return rows.withColumn("kept", kept).select(
         "record_id",
         "returned",
@@ -244,8 +209,9 @@ def story_ordinals(stories: DataFrame) -> DataFrame:
 
 
 def outcome_marks(merged: DataFrame, records: DataFrame, run_id: str) -> DataFrame:
-    """Records left without a story: nothing returned, or nothing that could be located."""
-    empty = merged.filter("n_kept = 0").join(records.select("record_id", "source"), "record_id")
+    """The ``records`` that were read and left without a story: nothing returned, or nothing that could be located."""
+    read = records.select("record_id", "source").join(merged.select("record_id", "n_kept", "returned", "unlocated"), "record_id", "left")
+    empty = read.fillna(0, ["n_kept", "returned", "unlocated"]).filter("n_kept = 0")
     reason = F.when(F.col("returned") > 0, "span_unverified").otherwise("no_story")
     detail = F.when(
         F.col("returned") > 0,
@@ -303,32 +269,31 @@ def apply_verdicts(
     return updated, out, counts
 
 
-def match_intervals(first: DataFrame, second: DataFrame) -> DataFrame:
+def match_intervals(first: DataFrame, second: DataFrame, bucket: int = 4096) -> DataFrame:
     """Pair two sets of non-overlapping spans of a record, one to one, in order of position.
 
-    A pair shares at least half of the shorter span. Both lists are overlap-free, so they are bounded by
-    the record's text. Input: ``record_id, char_start, char_end, id``. Output: ``record_id, a, b``.
+    A pair shares at least half of the shorter span; each span of ``first``, in order, takes the first span of ``second``
+    that is still free. Input: ``record_id, char_start, char_end, id``. Output: ``record_id, a, b``.
+
+    Spans meet in buckets of text, one that crosses a border in each of its buckets; a pair counts in the bucket where
+    the later of the two starts. As neither side overlaps itself, there are fewer such pairs than spans. One sweep over
+    a record's pairs settles them: spans are taken in order, so only the last taken one of each side has to be known.
     """
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        s = F.struct("char_start", "char_end", "id")
-        return df.groupBy("record_id").agg(F.array_sort(F.collect_list(s)).alias(name))
-
-    both = listed(first, "x").join(listed(second, "y"), "record_id")
-    none = F.array().cast("array<struct<a:string,b:string>>")
-
-    def shares(p: Column, s: Column) -> Column:
-        common = F.least(p["char_end"], s["char_end"]) - F.greatest(p["char_start"], s["char_start"])
-        shorter = F.least(p["char_end"] - p["char_start"], s["char_end"] - s["char_start"])
-        return (common > 0) & (common >= 0.5 * shorter)
-
-    def step(acc: Column, p: Column) -> Column:
-        used = F.transform(acc, lambda m: m["b"])
-        options = F.filter("y", lambda s: shares(p, s) & ~F.array_contains(used, s["id"].cast("string")))
-        hit = F.get(options, 0)
-        pair = F.struct(p["id"].cast("string").alias("a"), hit["id"].cast("string").alias("b"))
-        return F.when(F.size(options) > 0, F.concat(acc, F.array(pair))).otherwise(acc)
-
-    return both.select("record_id", F.explode(F.aggregate("x", none, step)).alias("m")).select("record_id", "m.a", "m.b")
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        s = F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.col("id").cast("string").alias("id"))
+        last = F.greatest(F.floor((F.col("char_end") - 1) / bucket), F.floor(F.col("char_start") / bucket))
+        return df.filter("char_start is not null and char_end is not null").select(
+            "record_id", s.alias(name), F.explode(F.sequence(F.floor(F.col("char_start") / bucket), last)).alias("bucket")
+        )
+
+    x, y = F.col("x"), F.col("y")
+    common = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+    shorter = F.least(x["end"] - x["start"], y["end"] - y["start"])
+    met = cut(first, "x").join(cut(second, "y"), ["record_id", "bucket"]).filter((common > 0) & (common >= 0.5 * shorter))
+    pairs = met.filter(F.col("bucket") == F.floor(F.greatest(x["start"], y["start"]) / bucket)).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("pairs"))
+    # neither side overlaps itself, so in this order the spans of both sides only move on
+    taken = tx.chain(F.col("pairs"), lambda last, p: (p["x"] > last["x"]) & (p["y"] > last["y"]))
+    return pairs.select("record_id", F.explode(taken).alias("m")).select("record_id", F.col("m.x.id").alias("a"), F.col("m.y.id").alias("b"))
 
 
 def raise_stages(stories: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnote import vocab
@@ -82,30 +82,39 @@ def thread_chunks(spark: S, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------- spans
-# A returned story per post: from its 3rd to its 40th character, as its first and last words; every fourth
-# one is misquoted, every third one is returned twice with a longer end.
+# A returned story per post, from about its 3rd to its 32nd character, named by its first and last words; short posts
+# give what they have. Every third post returns it once more with a longer end, every fifth another one. The first of
+# every fourth post is misquoted, all of every eleventh thread are, and every thirteenth thread returns nothing.
 _ANSWERS = {
     **_THREADS,
-    "ans": """SELECT thread_id AS record_id, post, author_key, start_at, clean, start_at + 2 AS s, start_at + 2 + 30 AS e, post % 4 = 0 AS miss FROM placed WHERE length(clean) > 60
-              UNION ALL SELECT thread_id, post, author_key, start_at, clean, start_at + 2, start_at + 2 + 45, false FROM placed WHERE length(clean) > 60 AND post % 3 = 0
-              UNION ALL SELECT thread_id, post, author_key, start_at, clean, start_at + 10, start_at + 10 + 45, false FROM placed WHERE length(clean) > 60 AND post % 5 = 1""",
+    "base": """SELECT *, length(clean) AS n, least(2, length(clean) // 3) AS a1, least(10, length(clean) // 2) AS a2, CAST(thread_id AS BIGINT) AS t
+               FROM placed WHERE CAST(thread_id AS BIGINT) % 13 <> 0""",
+    "ans": """SELECT thread_id AS record_id, post, author_key, start_at, clean, a1 AS pos, least(30, n - a1) AS size, post % 4 = 0 OR t % 11 = 0 AS miss FROM base
+              UNION ALL SELECT thread_id, post, author_key, start_at, clean, a1, least(45, n - a1), t % 11 = 0 FROM base WHERE post % 3 = 0
+              UNION ALL SELECT thread_id, post, author_key, start_at, clean, a2, least(45, n - a2), t % 11 = 0 FROM base WHERE post % 5 = 1""",
     # Where the first and last words are first found; with distinct words that is where they were cut.
-    "loc": """SELECT *, CASE WHEN miss THEN NULL ELSE start_at + instr(clean, first_words) - 1 END AS cs FROM (
-              SELECT *, trim(substr(clean, s - start_at + 1, 20), ' ' || chr(10)) AS first_words, trim(substr(clean, e - start_at - 9, 10), ' ' || chr(10)) AS last_words FROM ans)""",
-    "spans": """SELECT *, CASE WHEN miss THEN NULL ELSE greatest(cs + length(first_words), cs + instr(substr(clean, cs - start_at + 1), last_words) - 1 + length(last_words)) END AS ce FROM loc""",
+    "loc": """SELECT *, CASE WHEN miss OR first_words = '' OR last_words = '' THEN NULL ELSE start_at + instr(clean, first_words) - 1 END AS cs FROM (
+              SELECT *, trim(substr(clean, pos + 1, least(20, size)), ' ' || chr(10)) AS first_words,
+                trim(substr(clean, pos + size - least(10, size) + 1, least(10, size)), ' ' || chr(10)) AS last_words FROM ans)""",
+    "spans": """SELECT *, CASE WHEN cs IS NULL THEN NULL ELSE greatest(cs + length(first_words), cs + instr(substr(clean, cs - start_at + 1), last_words) - 1 + length(last_words)) END AS ce FROM loc""",
 }
 
 
 def answers(spark: S, d: str) -> DataFrame:
-    p = sp.explode_posts(threads(spark, d)).filter(F.length("text") > 60)
-    part = lambda at, size: F.struct(F.lit(at).alias("at"), F.lit(size).alias("size"))
-    wanted = F.array_compact(
-        F.array(part(2, 30), F.when(F.col("post") % 3 == 0, part(2, 45)), F.when(F.col("post") % 5 == 1, part(10, 45)))
-    )
+    t = F.col("record_id").cast("bigint")
+    p = sp.explode_posts(threads(spark, d)).filter(t % 13 != 0)
+    n, third, fifth = F.length("text"), F.col("post") % 3 == 0, F.col("post") % 5 == 1
+
+    def part(at: Column, most: int) -> Column:
+        return F.struct(at.alias("at"), F.least(F.lit(most), n - at).alias("size"))
+
+    near, far = F.least(F.lit(2), F.floor(n / 3)).cast("int"), F.least(F.lit(10), F.floor(n / 2)).cast("int")
+    wanted = F.array_compact(F.array(part(near, 30), F.when(third, part(near, 45)), F.when(fifth, part(far, 45))))
     rows = p.select("record_id", "post", "text", F.posexplode(wanted).alias("i", "w"))
-    start = F.substring("text", F.col("w.at") + 1, F.lit(20))
-    end = F.substring("text", F.col("w.at") + F.col("w.size") - 9, F.lit(10))
-    miss = (F.col("i") == 0) & (F.col("post") % 4 == 0)
+    at, size = F.col("w.at"), F.col("w.size")
+    start = F.substring("text", at + 1, F.least(F.lit(20), size))
+    end = F.substring("text", at + size - F.least(F.lit(10), size) + 1, F.least(F.lit(10), size))
+    miss = ((F.col("i") == 0) & (F.col("post") % 4 == 0)) | (t % 11 == 0)
     return rows.select(
         "record_id", "post",
         F.when(miss, "no such words anywhere").otherwise(start).alias("start"), end.alias("end"),
@@ -161,7 +170,9 @@ _RECORD_SOURCE = """SELECT record_id, 'conversations' AS source FROM (SELECT thr
 
 @query(
     "outcome_marks",
-    T("posts", "SELECT record_id, CASE WHEN returned > 0 THEN 'span_unverified' ELSE 'no_story' END AS reason, returned || ' returned, ' || unlocated || ' not located' AS detail FROM merged WHERE n_kept = 0", _MERGE),
+    T("posts", """SELECT t.thread_id AS record_id, CASE WHEN coalesce(returned, 0) > 0 THEN 'span_unverified' ELSE 'no_story' END AS reason,
+                    CASE WHEN coalesce(returned, 0) > 0 THEN returned || ' returned, ' || unlocated || ' not located' ELSE 'no retrieval story in the record' END AS detail
+                  FROM threads t LEFT JOIN merged m ON m.record_id = t.thread_id WHERE coalesce(n_kept, 0) = 0""", _MERGE),
 )
 def outcome_marks(spark: S, d: str) -> DataFrame:
     r = threads(spark, d).withColumn("source", F.lit("conversations"))
@@ -326,7 +337,17 @@ def raised_stages(spark: S, d: str) -> DataFrame:
     return sp.raise_stages(s.select("story_id", "reaches_stage"), second)
 
 
-@query("matched_intervals")
+@query(
+    "matched_intervals",
+    T("posts", "SELECT record_id, a, b FROM taken WHERE b IS NOT NULL",
+      {**_STORY,
+       "asked": """SELECT x.record_id, x.story_id AS a, list(y.story_id || 'b' ORDER BY y.cs) AS options, row_number() OVER (PARTITION BY x.record_id ORDER BY any_value(x.cs)) AS k
+                   FROM sto x JOIN sto y ON x.record_id = y.record_id AND least(x.ce, y.ce + 9) - greatest(x.cs, y.cs + 9) > 0
+                    AND least(x.ce, y.ce + 9) - greatest(x.cs, y.cs + 9) >= 0.5 * least(x.ce - x.cs, y.ce - y.cs) GROUP BY x.record_id, x.story_id""",
+       "taken": """SELECT DISTINCT record_id, 0::bigint AS k, NULL::varchar AS a, NULL::varchar AS b, []::varchar[] AS used FROM asked UNION ALL
+                   SELECT t.record_id, q.k, q.a, list_filter(q.options, lambda o: NOT list_contains(t.used, o))[1],
+                     list_concat(t.used, list_filter(q.options, lambda o: NOT list_contains(t.used, o))[1:1]) FROM taken t JOIN asked q ON q.record_id = t.record_id AND q.k = t.k + 1"""}),
+)
 def matched_intervals(spark: S, d: str) -> DataFrame:
     """Stories of the threads against a second segmentation of the same threads."""
     first = sp.kept_stories(merged(spark, d)).withColumnRenamed("story_id", "id")

@@ -82,15 +82,13 @@ def thread_texts(spark: S, d: str) -> DataFrame:
 )
 def reply_order(spark: S, d: str) -> DataFrame:
     """Turns as a chain of replies of any depth, brought back into reading order."""
-    from pyspark.sql import Window as W
-
     c = st.read(spark, d, "conversations")
     edges = c.select(
         F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").cast("string").alias("id"),
         F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent"), F.lit(1).alias("rank"),
     )
     rows = mp.flatten_edges(edges)
-    return rows.select("thread_id", "id", F.row_number().over(W.partitionBy("thread_id").orderBy("path")).alias("nth"))
+    return rows.select("thread_id", "id", (F.col("position") + 1).alias("nth"))
 
 
 # ------------------------------------------------------------------------------- flat items

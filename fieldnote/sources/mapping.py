@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldnote import vocab
@@ -68,29 +69,50 @@ def _depth_first(nodes: list | None) -> list[dict]:
 def flatten_edges(edges: DataFrame) -> DataFrame:
     """A reply tree given as rows (``thread_id, id, parent, rank``), of any depth, in depth-first order.
 
-    Adds ``path``, the ranks from the root, which sorts depth first, ``depth``, and ``orphan``: a reply whose
-    parent row is not there is a root of its own and says so. One join per level; the lineage is cut at each,
-    and nothing limits depth or rows.
+    Gives ``thread_id, id, position, depth, orphan``: the place in the thread from 0, the level from 1, and whether the
+    parent's row is not there: such a reply is a root of its own, after the roots that were roots already. Siblings
+    stand by rank, then id. Of rows with one id the one with the smallest rank counts; replies in a circle have no root and are left out.
+
+    The walk round the tree enters and leaves every post: a list of two steps a post, in which each step knows the
+    next. Steps are numbered by doubling: each round a step jumps as far as its goal has jumped, so a chain of n posts
+    takes about log2(2n) rounds, and what a step carries has a fixed size whatever the depth.
     """
-    step = F.lpad(F.col("rank").cast("string"), 10, "0")
-    given = edges.select("thread_id", "id", "parent", step.alias("step"))
-    there = given.select("thread_id", F.col("id").alias("above")).distinct()
-    held = given.join(there.withColumnRenamed("thread_id", "t"), (F.col("thread_id") == F.col("t")) & (F.col("parent") == F.col("above")), "left")
-    edges = checkpointed(held.select("thread_id", "id", F.col("above").alias("parent"), "step", (F.col("parent").isNotNull() & F.col("above").isNull()).alias("orphan")))
-    # orphans stand after the roots that were roots already
-    top = F.when(F.col("orphan"), F.concat(F.lit("~"), "step", F.lit("."), F.col("id").cast("string"))).otherwise(F.col("step"))
-    level = checkpointed(edges.filter(F.col("parent").isNull()).select("thread_id", "id", top.alias("path"), F.lit(1).alias("depth"), "orphan"))
-    out = level
-    children = edges.filter(F.col("parent").isNotNull()).drop("orphan").withColumnRenamed("id", "child")
-    while not level.isEmpty():
-        above = level.withColumnRenamed("id", "parent")
-        level = checkpointed(
-            children.join(above, ["thread_id", "parent"]).select(
-                "thread_id", F.col("child").alias("id"), F.concat_ws(".", "path", "step").alias("path"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("orphan")
+    given = edges.groupBy("thread_id", "id").agg(F.min(F.struct("rank", "parent")).alias("x")).select("thread_id", "id", "x.parent", "x.rank")
+    there = given.select("thread_id", F.col("id").alias("parent"), F.lit(True).alias("found"))
+    # a post with very many replies is one window: its siblings are sorted and streamed, not collected
+    w = W.partitionBy("thread_id", "above").orderBy("orphan", "rank", "id")
+    held = given.join(there, ["thread_id", "parent"], "left").withColumn("orphan", F.col("parent").isNotNull() & F.col("found").isNull())
+    held = held.withColumn("above", F.when(F.col("found"), F.col("parent")))
+    held = checkpointed(held.withColumns({"sibling": F.lead("id").over(w), "place": F.row_number().over(w)}).select("thread_id", "id", "above", "orphan", "sibling", "place"))
+    first = held.filter("place = 1 and above is not null").select("thread_id", F.col("above").alias("id"), F.col("id").alias("child"))
+    step = lambda kind, of: F.when(of.isNotNull(), F.struct(F.lit(kind).alias("out"), of.alias("id")))
+    posts = held.join(first, ["thread_id", "id"], "left")
+    own = F.struct(F.lit(False).alias("out"), "id"), F.struct(F.lit(True).alias("out"), "id")
+    steps = posts.select(
+        "thread_id",
+        F.explode(
+            F.array(
+                F.struct(own[0].alias("at"), F.coalesce(step(False, F.col("child")), own[1]).alias("next"), F.lit(1).alias("enters"), F.lit(1).alias("rise")),
+                F.struct(own[1].alias("at"), F.coalesce(step(False, F.col("sibling")), step(True, F.col("above"))).alias("next"), F.lit(0).alias("enters"), F.lit(-1).alias("rise")),
+            )
+        ).alias("s"),
+    ).select("thread_id", "s.*")
+    # enters, rise: posts entered and levels climbed from this step up to the one before ``next``
+    steps = checkpointed(steps)
+    longest = steps.groupBy("thread_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(max(0, longest - 1).bit_length()):
+        goal = steps.select("thread_id", F.col("at").alias("next"), F.col("next").alias("then"), F.col("enters").alias("e"), F.col("rise").alias("r"))
+        steps = checkpointed(
+            steps.join(goal, ["thread_id", "next"], "left").select(
+                "thread_id", "at", F.col("then").alias("next"), (F.col("enters") + F.coalesce("e", F.lit(0))).alias("enters"), (F.col("rise") + F.coalesce("r", F.lit(0))).alias("rise")
             )
         )
-        out = out.unionByName(level)
-    return out
+    # all that reach the end have no next; posts still to be entered and levels still to climb give the place
+    reached = steps.filter("next is null and not at.out").select("thread_id", F.col("at.id").alias("id"), "enters", "rise")
+    total = reached.groupBy("thread_id").agg(F.max("enters").alias("total"))
+    return reached.join(total, "thread_id").join(held.select("thread_id", "id", "orphan"), ["thread_id", "id"]).select(
+        "thread_id", "id", (F.col("total") - F.col("enters")).alias("position"), (1 - F.col("rise")).alias("depth"), "orphan"
+    )
 
 
 # ------------------------------------------------------------------------------- per source
@@ -398,13 +420,8 @@ def records_from_posts(rows: DataFrame, source: str, salt: str, run_id: str, met
             "created_at": tx.to_iso(F.coalesce("created_at", first_at)),
         }
     )
-    ends = F.aggregate(
-        "parts",
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(
-            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + gap, F.lit(0)) + F.length(p["clean"]))
-        ),
-    )
+    sums = tx.running_sums(F.transform("parts", lambda p: F.length(p["clean"]) + gap))
+    ends = F.transform(sums, lambda e: e - gap)
     df = df.withColumn("ends", ends)
     placed = F.zip_with(
         "parts",

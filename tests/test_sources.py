@@ -4,6 +4,7 @@ import hashlib
 import html
 import json
 import os
+import random
 import re
 import tempfile
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldnote import vocab
 from fieldnote.plans import registry
 from fieldnote.sources import ingest as ig
+from fieldnote.session import checkpointed
 from fieldnote.sources import mapping as mp
 from fieldnote.streaming.ingest import RAW, ingest_stream
 
@@ -74,7 +76,7 @@ def test_threads_with_markup(spark):
 def test_reply_edges_of_any_depth(spark):
     rows = [("t", "a", None, 1), ("t", "b", "a", 1), ("t", "c", "a", 2), ("t", "d", "b", 1), ("t", "e", None, 2)]
     edges = spark.createDataFrame(rows, "thread_id string, id string, parent string, rank int")
-    assert [r["id"] for r in mp.flatten_edges(edges).orderBy("path").collect()] == ["a", "b", "d", "c", "e"]
+    assert [r["id"] for r in mp.flatten_edges(edges).orderBy("position").collect()] == ["a", "b", "d", "c", "e"]
 
 
 def test_tally_adds_up(spark):
@@ -121,10 +123,44 @@ def test_deep_and_long_threads_keep_every_reply(spark):
 def test_replies_whose_parent_is_not_there_are_roots(spark):
     rows = [("t", "a", None, 1), ("t", "b", "gone", 1), ("t", "c", "b", 1), ("u", "d", "gone", 4)]
     edges = spark.createDataFrame(rows, "thread_id string, id string, parent string, rank int")
-    got = [(r["id"], r["depth"], r["orphan"]) for r in mp.flatten_edges(edges).orderBy("thread_id", "path").collect()]
+    got = [(r["id"], r["depth"], r["orphan"]) for r in mp.flatten_edges(edges).orderBy("thread_id", "position").collect()]
     assert got == [("a", 1, False), ("b", 1, True), ("c", 2, False), ("d", 1, True)]
 
 
+def test_reply_edges_by_doubling(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for t in range(12):
+        ids = [f"{t}-{i}" for i in range(rng.choice([1, 2, 5, 40]))]
+        ranks = {i: rng.randrange(3) for i in ids}
+        parents = {i: (rng.choice(ids[:k]) if k and rng.random() < 0.8 else rng.choice([None, "gone"])) for k, i in enumerate(ids)}
+        rows += [(f"t{t}", i, parents[i], ranks[i]) for i in ids]
+        rows += [(f"t{t}", i, parents[i], ranks[i] + 1) for i in ids[:1]]  # the same post once more
+
+        def walk(i, depth, out):
+            out.append((i, depth))
+            for c in sorted((c for c in ids if parents[c] == i), key=lambda c: (ranks[c], c)):  # noqa: B023
+                walk(c, depth + 1, out)  # noqa: B023
+
+        out = []
+        for i in sorted((i for i in ids if parents[i] not in ids), key=lambda i: (parents[i] is not None, ranks[i], i)):
+            walk(i, 1, out)
+        want[f"t{t}"] = out
+    # a circle has no root
+    rows += [("t0", "x", "y", 1), ("t0", "y", "x", 1)]
+    # a chain of 2,000 turns takes 12 rounds and the same number of joins of fixed-size rows
+    rows += [("chain", str(i), str(i - 1) if i else None, 1) for i in range(2000)]
+    want["chain"] = [(str(i), i + 1) for i in range(2000)]
+    rounds = []
+    monkeypatch.setattr(mp, "checkpointed", lambda df: rounds.append(1) or checkpointed(df))
+    got = {}
+    for r in mp.flatten_edges(spark.createDataFrame(rows, "thread_id string, id string, parent string, rank int")).orderBy("thread_id", "position").collect():
+        got.setdefault(r["thread_id"], []).append((r["id"], r["depth"]))
+        assert len(got[r["thread_id"]]) == r["position"] + 1
+    assert got == want and len(rounds) <= 2 + 12
+    assert mp.flatten_edges(spark.createDataFrame([], "thread_id string, id string, parent string, rank int")).count() == 0
+
+
 def brute_text(text):
     """Scrubbed and normalised by Python's own expressions."""
     for kind, shown, pattern in vocab.SCRUB_RULES:
