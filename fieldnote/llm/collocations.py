@@ -29,13 +29,15 @@ from fieldnote.llm.store import stored
 from fieldnote.llm.wordhash import LOWER, Texts, Words, batches, mix, runs, window_hashes, word_hashes, words
 
 LONGEST = 5
-SLOTS = 1 << 22
-"""Counters per length; three bits of each are broadcast, 1.5 MB in all."""
+SLOTS = 1 << 24
+"""Counters per length; one bit of each is broadcast, 6 MB in all."""
 COUNTED = 3
 PAGE = 1 << 16
 TOGETHER = 1 << 22
 """Hashes that are gathered before they are counted."""
 CHUNK_BYTES = 6_000_000
+HELD = 300_000
+"""Different windows of a partition that a task adds up before it sends them (about 60 MB)."""
 
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -116,53 +118,64 @@ def _reached(least: int):
     return run
 
 
+def _chunk_windows(b: pa.RecordBatch, t: Texts, frequent: list[np.ndarray]) -> Iterator[tuple[tuple[str, bytes, int], int]]:
+    """((lang, phrase, k), n) of the different windows of some texts; k = 0 is the number of words of a language."""
+    coded = b.column(1).dictionary_encode()
+    langs = coded.dictionary.to_pylist()
+    w, piece, hashed = _places(t, _lang_hashes(b.column(1)))
+    lang = coded.indices.to_numpy().astype(np.int64)[w.row_of()]
+    h = word_hashes(t, w, lower=True)
+    n = len(h)
+    low = Texts(t.first, LOWER[t.data], t.offsets)
+    code = word_codes(low, w)
+    size = np.zeros(n, np.int64)
+    for k in range(1, LONGEST + 1):
+        # a window of k words: within a piece, both windows of k - 1 words are there, and its hash is frequent
+        m = max(0, n - k + 1)
+        if k <= COUNTED:
+            slot, whole = _slots(h, piece, hashed, k, len(frequent[0]))
+            whole &= frequent[k - 1][slot]
+        else:
+            whole = piece[k - 1 :] == piece[:m]
+        at = np.flatnonzero(whole & (size[:m] == k - 1) & (size[min(1, k - 1) :][:m] >= k - 1))
+        size[at] = k
+    at = np.flatnonzero(size)
+    name = lang[at] * (LONGEST + 1) + size[at]
+    for j in range(LONGEST):
+        more = np.where(size[at] > j, code[np.minimum(at + j, n - 1)] + 1, 0)
+        key = name * (int(more.max(initial=0)) + 1) + more
+        name = np.unique(key, return_inverse=True)[1] if len(key) else key
+    order = np.argsort(name, kind="stable")
+    first, end = runs(name[order])
+    at = at[order[first]]
+    raw = low.data.tobytes()
+    starts, ends = w.starts.tolist(), w.ends.tolist()
+    for i, k, x, c in zip(at.tolist(), size[at].tolist(), lang[at].tolist(), (end - first).tolist(), strict=True):
+        yield (langs[x], b" ".join([raw[starts[j] : ends[j]] for j in range(i, i + k)]), k), c
+    for x, c in zip(langs, np.bincount(lang, minlength=len(langs)).tolist(), strict=True):
+        yield (x, b"", 0), c
+
+
+def _sent(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
+    langs, phrases, sizes = zip(*held, strict=True)
+    columns = [pa.array(langs, pa.string()), pa.array([p.decode("utf-8") for p in phrases], pa.string()), pa.array(sizes, pa.int32()), pa.array(list(held.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
+
+
 def _windows(shared):
-    """(lang, phrase, k, n): windows of a chunk of texts with their number; k = 0 is the number of words of a language."""
+    """(lang, phrase, k, n): windows of a partition with their number, added up before they are sent."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = [np.unpackbits(bits).view(bool) for bits in shared.value]
+        held: dict[tuple[str, bytes, int], int] = {}
         for b, t in batches(it, "text", CHUNK_BYTES):
-            coded = b.column(1).dictionary_encode()
-            langs = coded.dictionary.to_pylist()
-            w, piece, hashed = _places(t, _lang_hashes(b.column(1)))
-            lang = coded.indices.to_numpy().astype(np.int64)[w.row_of()]
-            h = word_hashes(t, w, lower=True)
-            n = len(h)
-            low = Texts(t.first, LOWER[t.data], t.offsets)
-            code = word_codes(low, w)
-            size = np.zeros(n, np.int64)
-            for k in range(1, LONGEST + 1):
-                # a window of k words: within a piece, both windows of k - 1 words are there, and its hash is frequent
-                m = max(0, n - k + 1)
-                if k <= COUNTED:
-                    slot, whole = _slots(h, piece, hashed, k, len(frequent[0]))
-                    whole &= frequent[k - 1][slot]
-                else:
-                    whole = piece[k - 1 :] == piece[:m]
-                at = np.flatnonzero(whole & (size[:m] == k - 1) & (size[min(1, k - 1) :][:m] >= k - 1))
-                size[at] = k
-            at = np.flatnonzero(size)
-            name = lang[at] * (LONGEST + 1) + size[at]
-            for j in range(LONGEST):
-                more = np.where(size[at] > j, code[np.minimum(at + j, n - 1)] + 1, 0)
-                key = name * (int(more.max(initial=0)) + 1) + more
-                name = np.unique(key, return_inverse=True)[1] if len(key) else key
-            order = np.argsort(name, kind="stable")
-            first, end = runs(name[order])
-            at = at[order[first]]
-            raw = low.data.tobytes()
-            starts, ends, sizes = w.starts.tolist(), w.ends.tolist(), size[at].tolist()
-            phrases = [b" ".join([raw[starts[x] : ends[x]] for x in range(i, i + k)]).decode("utf-8") for i, k in zip(at.tolist(), sizes, strict=True)]
-            totals = np.bincount(lang, minlength=len(langs))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*[langs[x] for x in lang[at].tolist()], *langs], pa.string()),
-                    pa.array([*phrases, *[""] * len(langs)], pa.string()),
-                    pa.array([*sizes, *[0] * len(langs)], pa.int32()),
-                    pa.array(np.concatenate([end - first, totals]), pa.int64()),
-                ],
-                names=["lang", "phrase", "k", "n"],
-            )
+            for key, c in _chunk_windows(b, t, frequent):
+                held[key] = held.get(key, 0) + c
+            if len(held) >= HELD:
+                yield _sent(held)
+                held.clear()
+        if held:
+            yield _sent(held)
 
     return run
 

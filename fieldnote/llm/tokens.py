@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from fieldnote.llm.wordhash import BYTE_VALUES, P, Q, Texts, batches, distinct, mix, powers, runs, words
+from fieldnote.llm.wordhash import BYTE_VALUES, P, Q, Texts, batches, distinct, long_hashes, mix, powers, runs, words
 
 OTHER_SPACE = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPECIAL = "<|"
@@ -122,6 +122,7 @@ class Encoder:
         np.cumsum(BYTE_VALUES[t.data] * powers(P, len(t.data)), out=sums[1:])
         down = powers(np.uint64(pow(int(P), -1, 2**64)), len(t.data) + 1)
         h = mix(((sums[ends] - sums[starts]) * down[starts]) ^ ((ends - starts).astype(np.uint64) * Q))
+        h = long_hashes(h, t.data, starts, ends)
         raw = t.data.tobytes()
         begin, size = self._look_up(h, lambda i: raw[starts[i] : ends[i]].decode("utf-8"))
         rest = np.flatnonzero(whole)

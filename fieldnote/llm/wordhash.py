@@ -2,7 +2,8 @@
 
 A word is a longest run of bytes outside 0x20 and 0x09-0x0D. Those bytes never occur inside a longer UTF-8
 character, so this is the word ``[^\\x20\\x09-\\x0D]+`` of the text. Hashes are polynomials modulo 2**64 over a
-table of random byte values, taken from prefix sums, with a final mix; they are the same on every machine.
+table of random byte values, taken from prefix sums, with a final mix; they are the same on every machine. Such
+polynomials meet on some very regular strings of about a thousand bytes and more, so long stretches are hashed anew.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
+LONG_BYTES = 512
+"""Stretches of more bytes get a hash of another kind."""
 CHUNK_BYTES = 2_000_000
 """Texts are taken together up to this many bytes, so that scratch arrays stay small; a longer text is taken alone."""
 
@@ -85,6 +89,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         at = to
 
 
+def long_hashes(h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``h`` with a hash of the bytes themselves for each long stretch ``data[starts[i]:ends[i]]``."""
+    for i in np.flatnonzero(ends - starts > LONG_BYTES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
 @dataclass
 class Words:
     """Words of some texts: byte ranges, and ``rows[r]:rows[r+1]`` the words of row r."""
@@ -124,7 +135,7 @@ def word_hashes(t: Texts, w: Words, lower: bool = False) -> np.ndarray:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * powers(P, n), out=sums[1:])
     h = (sums[w.ends] - sums[w.starts]) * powers(_inverse(P), n)[w.starts]
-    return mix(h ^ (w.ends - w.starts).astype(np.uint64) * Q)
+    return long_hashes(mix(h ^ (w.ends - w.starts).astype(np.uint64) * Q), LOWER[t.data] if lower and (w.ends - w.starts).max() > LONG_BYTES else t.data, w.starts, w.ends)
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

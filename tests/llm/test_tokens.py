@@ -4,13 +4,19 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fieldnote.llm.jaccard_join import near_copies
 from fieldnote.llm.packing import packed, packed_patterns
 from fieldnote.llm.store import new_path
+from fieldnote.llm.substring_dedup import without_repeats
 from fieldnote.llm.token_files import read_tokens, token_digest, write_tokens
 
+from fieldnote.llm.wordhash import chunks, word_hashes, words
+
 from .helpers import documents, none, odd
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +95,28 @@ def test_patterns_use_every_length():
             for x in pattern:
                 used[x] += times
         assert (used == counts).all()
+
+
+def thue_morse(n, first="ab"):
+    """Two regular words of ``n`` letters, one the mirror of the other, on which polynomial hashes meet."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(first[b] for b in bits), "".join(first[1 - b] for b in bits)
+
+
+def test_regular_words_do_not_meet(spark):
+    pairs = [thue_morse(n) for n in (256, 512, 1024, 2048, 4096, 65536)]
+    for a, b in pairs:
+        t = next(chunks(pa.array([f"{a} {b} {a.upper()}"])))
+        h = word_hashes(t, words(t))
+        assert len(set(h.tolist())) == 3
+        low = word_hashes(t, words(t), lower=True)
+        assert low[0] == low[2] != low[1]
+    rows = [(i, x) for i, x in enumerate(x for p in pairs[2:] for x in p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["length"] for r in packed(df, public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("length")).collect()}
+    assert got == {i: len(tokenizer.encode(x, add_special_tokens=False).ids) + 1 for i, x in rows}
+    kept = without_repeats(spark.createDataFrame([(1, f"{pairs[3][0]} " * 60), (2, f"{pairs[3][1]} " * 60)], "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in kept] == [0, 0]
+    same = near_copies(spark.createDataFrame([(1, pairs[3][0]), (2, pairs[3][1])], "doc_id long, text string"), k=4, percent=85).collect()
+    assert {r["component_id"] for r in same} == {1, 2}
