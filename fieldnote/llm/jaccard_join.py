@@ -12,11 +12,13 @@ has two levels of pivots.
    home region is that of its first pivot, and it is replicated to the regions of the other pivots in this
    window. A pair within the threshold shares a region; texts with enough shingles that nobody else has share
    no pivot with anyone and leave at once.
-2. *Text pivots.* Each region takes one of its texts as pivot and measures its texts against it. Texts within
-   the threshold of the pivot are linked with it, so they are one component and need no comparison with each
-   other, however many they are. A region with texts outside the ball is taken again with a pivot among those
-   (``rounds`` times); then what is still open is compared, if the triangle inequality allows it:
-   ``|d(x, p) - d(y, p)| <= 1 - t``, and the windows' places and sizes leave room for the overlap.
+2. *Text pivots.* Each region takes one of its texts as pivot and measures its texts against it: the one with the
+   fewest shingles that nobody else has, which is the middle of a family of copies, while edited copies have some
+   of their own. Texts within the threshold of the pivot are linked with it, so they are one component and need no
+   comparison with each other, however many they are. A region with texts outside the ball is taken again with a
+   pivot among those, as long as a round settles a tenth of what is open; then what is still open is compared,
+   if the triangle inequality allows it: ``|d(x, p) - d(y, p)| <= 1 - t``, and the windows' places and sizes
+   leave room for the overlap.
 
 Shingles are counted by hash range: a map task sends each range one packed row per block of texts, and a range
 task counts its shingles and sends back to each text's own task those that two or more different sets hold.
@@ -234,17 +236,18 @@ def merged_labels(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(known.unionByName(new), "labels")
 
 
-def linked_labels(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def linked_labels(sets: DataFrame, percent: int) -> DataFrame:
     """(x, label) of the sets of ``window_table`` that have a partner: the components that all pairs within the threshold make."""
-    rows = stored(sets.select("x", "n", F.posexplode("pivots").alias("i", "e"), "alone").select("e", "x", "n", (F.col("i") + F.col("alone")).alias("i")), "regions")
+    rows = stored(sets.select("x", "n", F.posexplode("pivots").alias("i", "e"), "alone").select("e", "x", "n", (F.col("i") + F.col("alone")).alias("i"), "alone"), "regions")
     sizes = rows.groupBy("e").agg(F.count("*").alias("texts")).filter("texts > 1")
     rows = stored(rows.join(sizes.select("e"), "e"), "regions")
     close = F.expr(f"100 * common >= {percent} * (n + m - common)")
     label = None
     outside = rows.withColumn("label", F.col("x"))
-    inside = outside
-    for _ in range(rounds):
-        pivots = outside.groupBy("e").agg(F.min(F.struct("x", "n", "i")).alias("p")).select("e", F.col("p.x").alias("y"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
+    inside, open_, before = outside, rows.count(), None
+    while open_ and (before is None or 10 * open_ <= 9 * before):
+        before = open_
+        pivots = outside.groupBy("e").agg(F.min(F.struct("alone", "x", "n", "i")).alias("p")).select("e", F.col("p.x").alias("y"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
         pairs = inside.join(pivots, "e").filter("x <> y").filter(_may_link(percent)).select("x", "y").distinct()
         found = stored(measured(pairs, sets), "distances")
         label = merged_labels(label, found.filter(close).select("x", "y"))
@@ -254,11 +257,14 @@ def linked_labels(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
         known = found.select("x", F.col("y").alias("p"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))
         named = named.join(settled, "e").filter("x <> p").join(known, ["x", "p"], "left").drop("p")
         inside = stored(named, "inside")
-        rows = inside.select("e", "x", "n", "i")
+        rows = inside.select("e", "x", "n", "i", "alone")
         outside = inside.filter("label <> ball")
+        open_ = outside.count()
         alive = outside.select("e").distinct()
         inside = inside.join(alive, "e", "left_semi")
-    sketches = sets.select("x", "alone", "sketch")
+    sketches = sets.select("x", "sketch")
+    if label is None:
+        return sets.select("x", F.col("x").alias("label")).limit(0)
     a = outside.join(sketches, "x").select("e", "x", "n", "i", "label", "d", "alone", "sketch")
     b = inside.join(sketches, "x").select(
         "e", F.col("x").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"), F.col("d").alias("c"), F.col("alone").alias("lone"), F.col("sketch").alias("sk")
@@ -274,7 +280,7 @@ def linked_labels(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     return merged_labels(label, stored(measured(open_pairs, sets).filter(close).select("x", "y"), "links"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable by links).
 
     Two texts link when ``100 * |A and B| >= percent * |A or B|``. A null, empty or wordless text has no shingle,
@@ -284,7 +290,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sizes = stored(d.mapInArrow(_sizes("id", k), f"id {d.schema['id'].dataType.simpleString()}, n long, fp long"), "sizes")
     sets = stored(window_table(d, k, percent), "sets")
-    label = linked_labels(sets, percent, rounds).withColumnRenamed("x", "fp")
+    label = linked_labels(sets, percent).withColumnRenamed("x", "fp")
     first = sizes.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("first")).join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = stored(first, "first")
     names = first.groupBy("label").agg(F.min("first").alias("component_id"))
