@@ -29,15 +29,14 @@ from fieldnote.llm.store import stored
 from fieldnote.llm.wordhash import LOWER, Texts, Words, batches, mix, runs, window_hashes, word_hashes, words
 
 LONGEST = 5
-SLOTS = 1 << 24
-"""Counters per length; one bit of each is broadcast, 6 MB in all."""
+SLOTS = 1 << 23
+"""Counters per length; one bit of each is broadcast, 3 MB in all."""
 COUNTED = 3
 PAGE = 1 << 16
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 """Hashes that are gathered before they are counted."""
-CHUNK_BYTES = 6_000_000
-HELD = 300_000
-"""Different windows of a partition that a task adds up before it sends them (about 60 MB)."""
+HELD = 200_000
+"""Different windows of a partition that a task adds up before it sends them (about 40 MB)."""
 
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -76,12 +75,13 @@ def _counters(least: int, slots: int):
 
         def count(k: int) -> None:
             if waiting[k]:
-                more = np.bincount(np.concatenate(waiting[k]), minlength=slots)
-                table[k] = np.minimum(more + table[k], least).astype(kind)
+                slot = np.sort(np.concatenate(waiting[k]))
+                at, end = runs(slot)
+                table[k, slot[at]] = np.minimum(table[k, slot[at]] + (end - at), least).astype(kind)
                 waiting[k].clear()
 
         held = 0
-        for b, t in batches(it, "text", CHUNK_BYTES):
+        for b, t in batches(it, "text"):
             w, piece, lang = _places(t, _lang_hashes(b.column(1)))
             h = word_hashes(t, w, lower=True)
             for k in range(COUNTED):
@@ -118,7 +118,7 @@ def _reached(least: int):
     return run
 
 
-def _chunk_windows(b: pa.RecordBatch, t: Texts, frequent: list[np.ndarray]) -> Iterator[tuple[tuple[str, bytes, int], int]]:
+def _chunk_windows(b: pa.RecordBatch, t: Texts, frequent: np.ndarray) -> Iterator[tuple[tuple[str, bytes, int], int]]:
     """((lang, phrase, k), n) of the different windows of some texts; k = 0 is the number of words of a language."""
     coded = b.column(1).dictionary_encode()
     langs = coded.dictionary.to_pylist()
@@ -133,8 +133,8 @@ def _chunk_windows(b: pa.RecordBatch, t: Texts, frequent: list[np.ndarray]) -> I
         # a window of k words: within a piece, both windows of k - 1 words are there, and its hash is frequent
         m = max(0, n - k + 1)
         if k <= COUNTED:
-            slot, whole = _slots(h, piece, hashed, k, len(frequent[0]))
-            whole &= frequent[k - 1][slot]
+            slot, whole = _slots(h, piece, hashed, k, 8 * frequent.shape[1])
+            whole &= (frequent[k - 1][slot >> 3] << (slot & 7).astype(np.uint8)) & 128 > 0
         else:
             whole = piece[k - 1 :] == piece[:m]
         at = np.flatnonzero(whole & (size[:m] == k - 1) & (size[min(1, k - 1) :][:m] >= k - 1))
@@ -166,9 +166,9 @@ def _windows(shared):
     """(lang, phrase, k, n): windows of a partition with their number, added up before they are sent."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = [np.unpackbits(bits).view(bool) for bits in shared.value]
+        frequent = shared.value
         held: dict[tuple[str, bytes, int], int] = {}
-        for b, t in batches(it, "text", CHUNK_BYTES):
+        for b, t in batches(it, "text"):
             for key, c in _chunk_windows(b, t, frequent):
                 held[key] = held.get(key, 0) + c
             if len(held) >= HELD:
