@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fieldnote import rulebook as rb
 from fieldnote import vocab
 from fieldnote.functions import text as tx
+from fieldnote.operators.numbering import numbered
 
 EMPTY = "array<string>"
 
@@ -515,17 +516,14 @@ def check_statements(statements: DataFrame, facts: DataFrame, free_numbers: Sequ
 def facts_pack(facts: DataFrame) -> DataFrame:
     """Result rows as numbered facts: ``id, table, key, text``.
 
-    ``facts``: table, key, label, stories, of, people (result rows; a codebook bounds their number).
+    ``facts``: table, key, label, stories, of, people (result rows). Numbered by table and key, in ranges.
     """
-    from pyspark.sql import Window as W
-
-    order = F.row_number().over(W.orderBy("table", "key"))
     share = F.concat(
         F.col("stories").cast("string"), F.lit(" of "), F.col("of").cast("string"),
         F.when(F.col("of") >= vocab.FLOOR, F.concat(F.lit(" ("), F.bround(100 * F.col("stories") / F.col("of"), 0).cast("int").cast("string"), F.lit("%)"))).otherwise(""),
     )
     text = F.concat(F.col("label"), F.lit(": "), F.coalesce(share, F.col("stories").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(", from "), F.col("people").cast("string"), F.lit(" people")), F.lit("")))
-    return facts.withColumn("nth", order).select(
+    return numbered(facts, ["table", "key"]).select(
         F.concat(F.lit("F"), F.when(F.col("nth") < 100, F.lpad(F.col("nth").cast("string"), 2, "0")).otherwise(F.col("nth").cast("string"))).alias("id"),
         "table", "key", text.alias("text"),
     )

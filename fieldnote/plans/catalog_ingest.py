@@ -303,7 +303,7 @@ def rebuilt_table(spark: S, d: str) -> DataFrame:
     o = st.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     sk.rebuild(o, path, "run-1")
     sk.rebuild(o.filter("o_orderstatus <> 'P'"), path, "run-2")
-    return spark.read.parquet(path)
+    return sk.current(spark, path)
 
 
 @query(
@@ -369,15 +369,26 @@ def stale_tables(spark: S, d: str) -> DataFrame:
     return sk.stale_tables(pinned, now).select("table")
 
 
-@query("served_figures")
+@query(
+    "served_figures",
+    T("stories", """SELECT key, CAST((nth - 1) // 40 AS INT) AS part, '[' || string_agg(row, ',' ORDER BY row) || ']' AS value_json, 'r' AS run_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY key ORDER BY row) AS nth FROM (
+           SELECT 'spans' AS key, '{"n":' || count(*) || ',"min_len":' || min(length(story_id)) || '}' AS row FROM stories
+           UNION ALL SELECT 'buckets', '{"bucket":"' || bucket || '","n":' || count(*) || '}' FROM stories GROUP BY bucket
+           UNION ALL SELECT 'cells', '{"record_id":"' || record_id || '","primary_stage":"' || primary_stage || '","n":' || count(*) || '}' FROM stories GROUP BY record_id, primary_stage))
+       GROUP BY key, (nth - 1) // 40 UNION ALL SELECT 'none', 0, '[]', 'r'"""),
+)
 def served_figures(spark: S, d: str) -> DataFrame:
     s = st.stories(spark, d)
     return sk.served_figures(
         {
             "spans": s.agg(F.count("*").alias("n"), F.min(F.length("story_id")).alias("min_len")),
             "buckets": s.groupBy("bucket").agg(F.count("*").alias("n")),
+            "cells": s.groupBy("record_id", "primary_stage").agg(F.count("*").alias("n")),
+            "none": s.filter("false").select("bucket"),
         },
         "r",
+        rows=40,
     )
 
 

@@ -25,31 +25,27 @@ def new_records(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return first.join(existing.select("record_id"), "record_id", "left_anti").select("r.*")
 
 
-def tally(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+def tally(incoming: DataFrame, existing: DataFrame, written: DataFrame | None = None) -> DataFrame:
     """One row: fetched, written_new, already_present, all_deleted, duplicate_in_batch, deleted_posts.
 
-    The job fails when the four outcomes do not add up to what was fetched.
+    ``existing`` are the ids stored before, ``written`` the rows that were really stored from this batch (as read back
+    from the sink; without it those of ``new_records``). Each outcome is counted on its own side: written rows among what was written, the
+    others among what came in. The job fails when they do not add up to what was fetched.
     """
-    first = _first_arrivals(incoming)
-    stored = existing.select("record_id", F.lit(1).alias("stored"))
-    per = first.join(stored, "record_id", "left").agg(
-        F.count("*").alias("ids"), F.count("stored").alias("already_present"), F.lit(1).alias("one")
+    written = new_records(incoming, existing) if written is None else written
+    per_id = incoming.filter(F.col("record_id").isNotNull()).groupBy("record_id").agg(F.count("*").alias("n"))
+    stored = existing.select("record_id", F.lit(1).alias("stored")).dropDuplicates(["record_id"])
+    per = per_id.join(stored, "record_id", "left").agg(
+        F.count("stored").alias("already_present"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_in_batch"), F.lit(1).alias("one")
     )
+    new = written.agg(F.count("record_id").alias("written_new"), F.lit(1).alias("one"))
     totals = incoming.agg(
         F.count("*").alias("fetched"),
         F.count_if(F.col("record_id").isNull()).alias("all_deleted"),
-        F.count("record_id").alias("with_text"),
         F.coalesce(F.sum("n_deleted"), F.lit(0)).alias("deleted_posts"),
         F.lit(1).alias("one"),
     )
-    out = totals.join(per, "one").select(
-        "fetched",
-        (F.col("ids") - F.col("already_present")).alias("written_new"),
-        "already_present",
-        "all_deleted",
-        (F.col("with_text") - F.col("ids")).alias("duplicate_in_batch"),
-        "deleted_posts",
-    )
+    out = totals.join(per, "one").join(new, "one").select("fetched", "written_new", "already_present", "all_deleted", "duplicate_in_batch", "deleted_posts")
     sum_ = F.col("written_new") + F.col("already_present") + F.col("all_deleted") + F.col("duplicate_in_batch")
     return out.withColumn(
         "fetched",

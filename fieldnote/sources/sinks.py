@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldnote.operators.numbering import numbered
+
+PUBLISHED = "seq bigint, folder string, run_id string"
+ROWS_A_PART = 1000
+"""Rows of a figure in one served value."""
+
+
+def _published(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(PUBLISHED).parquet(f"{path}/published")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PUBLISHED)
+
 
 def rebuild(df: DataFrame, path: str, run_id: str) -> None:
-    """Write a result table whole, stamped with the run that built it."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(path)
+    """Write a result table whole, stamped with the run that built it, and publish it when all of it is there.
+
+    The rows go to a folder of their own; one more row in ``published`` then names that folder as the current one.
+    A job that is lost on the way leaves the table as it was, and readers of an older run keep their files.
+    """
+    spark = df.sparkSession
+    folder = f"runs/{uuid.uuid4().hex}"
+    df.withColumn("run_id", F.lit(run_id)).write.parquet(f"{path}/{folder}")
+    # the number of publications so far: one row each
+    seq = _published(spark, path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    spark.createDataFrame([(seq, folder, run_id)], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the run that was published last."""
+    last = _published(spark, path).agg(F.max(F.struct("seq", "folder")).alias("x")).first()["x"]
+    if last is None:
+        raise FileNotFoundError(f"nothing is published in {path}")
+    return spark.read.parquet(f"{path}/{last['folder']}")
 
 
 def replaced(existing: DataFrame, keys: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -36,16 +70,20 @@ def stale_tables(pinned: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "table", "full_outer").filter(~F.col("pinned").eqNullSafe(F.col("current")))
 
 
-def served_figures(figures: Mapping[str, DataFrame], run_id: str) -> DataFrame:
-    """Small result tables as one JSON value per key: ``key, value_json, run_id``.
+def served_figures(figures: Mapping[str, DataFrame], run_id: str, rows: int = ROWS_A_PART) -> DataFrame:
+    """Result tables as JSON values: ``key, part, value_json, run_id``.
 
-    Each figure is a result table of bounded size; its rows become a sorted JSON list.
+    A figure's rows, sorted as JSON, are numbered over all tasks and become lists of at most ``rows`` rows, part 0, 1, ...
+    of the figure. An empty figure is one empty list.
     """
     out = None
     for key, df in figures.items():
-        row = F.to_json(F.struct(*df.columns))
-        part = df.groupBy().agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(row)), ","), F.lit("]")).alias("value_json"))
-        part = part.select(F.lit(key).alias("key"), "value_json", F.lit(run_id).alias("run_id"))
+        lines = numbered(df.select(F.to_json(F.struct(*df.columns)).alias("row")), ["row"])
+        parts = lines.groupBy(F.floor((F.col("nth") - 1) / rows).cast("int").alias("part")).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        first = df.sparkSession.range(1).select(F.lit(0).alias("part"), F.array().cast("array<string>").alias("rows"))
+        whole = parts.unionByName(first).groupBy("part").agg(F.max_by("rows", F.size("rows")).alias("rows"))
+        value = F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]"))
+        part = whole.select(F.lit(key).alias("key"), "part", value.alias("value_json"), F.lit(run_id).alias("run_id"))
         out = part if out is None else out.unionByName(part)
     return out
 

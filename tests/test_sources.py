@@ -8,13 +8,16 @@ import random
 import re
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldnote import vocab
+from fieldnote.operators.numbering import numbered
 from fieldnote.plans import registry
 from fieldnote.sources import ingest as ig
 from fieldnote.session import checkpointed
 from fieldnote.sources import mapping as mp
+from fieldnote.sources import sinks as sk
 from fieldnote.streaming.ingest import RAW, ingest_stream
 
 
@@ -87,6 +90,39 @@ def test_tally_adds_up(spark):
     assert {r["arrival"] for r in ig.new_records(batch, stored).collect()} == {1, 5}
 
 
+def test_a_row_lost_on_the_way_is_noticed(spark):
+    batch = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (3, "b", 1), (5, "c", 0)], "arrival bigint, record_id string, n_deleted int")
+    stored = spark.createDataFrame([("b",)], "record_id string")
+    written = ig.new_records(batch, stored)
+    assert tuple(ig.tally(batch, stored, written).first()) == (4, 2, 1, 0, 1, 1)
+    with pytest.raises(Exception, match="not all accounted for"):
+        ig.tally(batch, stored, written.filter("record_id <> 'c'")).collect()
+
+
+def test_a_lost_rebuild_leaves_the_table_as_it_was(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "table")
+    rows = spark.range(10)
+    with pytest.raises(FileNotFoundError):
+        sk.current(spark, path)
+    sk.rebuild(rows, path, "one")
+    broken = rows.select(F.when(F.col("id") == 9, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sk.rebuild(broken, path, "two")
+    assert sorted(tuple(r) for r in sk.current(spark, path).collect()) == [(i, "one") for i in range(10)]
+    sk.rebuild(rows.filter("id < 3"), path, "three")
+    assert sorted(tuple(r) for r in sk.current(spark, path).collect()) == [(i, "three") for i in range(3)]
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    df = spark.range(5000).select(F.sha1(F.col("id").cast("string")).alias("k")).repartition(7)
+    out = numbered(df, ["k"])
+    assert [r["k"] for r in out.orderBy("nth").collect()] == sorted(r["k"] for r in df.collect())
+    assert [r["nth"] for r in out.orderBy("nth").collect()] == list(range(1, 5001))
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan.split("count")[0]
+    assert numbered(df.limit(0), ["k"]).count() == 0
+
+
 def test_streamed_ingest_is_idempotent(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     source, out, check = (os.path.join(folder, n) for n in ("in", "out", "chk"))
