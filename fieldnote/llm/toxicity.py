@@ -4,10 +4,12 @@ Terms are runs of letters and digits, A-Z lowered. The vocabulary is chosen by t
 a bounded sample of labelled rows, each family of near copies counted once, however many pass; document frequencies
 come from the whole corpus. Every text then has a sparse vector over these terms, ``(1 + ln tf) * idf`` at unit length.
 
-Examples lie in blocks; per term the index keeps postings by block and the largest weight of each block. A query adds
-up the block maxima of its terms, opens blocks in falling order of that bound, in growing waves, and stops when the ``k``-th best
-similarity is at least the next bound, so the neighbours are exact. Their votes, weighted by similarity, are
-calibrated on the examples themselves, each scored without itself.
+Examples with equal vectors are one entry with its counts. Entries lie in blocks, ordered by their heaviest terms, so
+that entries of a block resemble each other; per term the index keeps postings by block and the largest weight of each
+block. A query adds up the block maxima of its terms, opens blocks in falling order of that bound, in growing waves, and
+stops when the similarity of the ``k``-th nearest example is above the next bound, so the neighbours are exact; all
+examples as similar as the ``k``-th count. Their votes, weighted by similarity, are calibrated on the examples themselves,
+each scored without itself. Texts with the vector of an earlier text of the worker take its result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ FIRST_WAVE = 8
 """Blocks opened at once at first; each further wave opens twice as many."""
 NEIGHBOURS = 25
 PRIOR_WEIGHT = 0.5
+SHOWN = 3
+"""Examples that a score names as its evidence."""
+REMEMBERED = 100_000
+"""Vectors whose result a Python worker keeps."""
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -45,14 +51,16 @@ def term_rows(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Vectors of the examples over ``terms`` (sorted hashes), by term and block."""
+    """Vectors of the examples over ``terms`` (sorted hashes), by term and block. Equal vectors are one entry."""
 
     terms: np.ndarray
     idf: np.ndarray
-    ids: list = field(default_factory=list)
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    shown: list = field(default_factory=list)
+    n: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    entries: list = field(default_factory=list)
     starts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
-    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     most: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     prior: float = 0.0
@@ -75,26 +83,39 @@ class Index:
             yield int(row[a]), term[a:e], v / np.sqrt((v * v).sum())
 
     def fill(self, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        blocks = -(-len(ids) // BLOCK)
-        example = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((example, term))
-        self.ids, self.labels, self.example, self.weight = ids, labels, example[order], weight[order]
-        cell = term[order] * blocks + self.example // BLOCK
+        """``shown`` of an entry are its first examples, toxic ones before others; ids ascend."""
+        equal: dict[bytes, list[int]] = {}
+        for i, (t, w) in enumerate(vectors):
+            equal.setdefault(t.tobytes() + np.round(w, 12).tobytes(), []).append(i)
+        # heaviest terms first: neighbours in this order share them
+        heavy = lambda own: tuple(vectors[own[0]][0][np.argsort(-vectors[own[0]][1], kind="stable")].tolist())
+        groups = sorted(equal.values(), key=heavy)
+        self.entries = [vectors[own[0]] for own in groups]
+        self.n = np.array([len(own) for own in groups], float)
+        self.toxic = np.array([labels[own].sum() for own in groups], float)
+        self.shown = [[(ids[i], int(labels[i])) for i in sorted(own, key=lambda i: (-labels[i], i))[:SHOWN]] for own in groups]
+        blocks = -(-len(groups) // BLOCK)
+        entry = np.repeat(np.arange(len(groups)), [len(t) for t, _ in self.entries])
+        term = np.concatenate([t for t, _ in self.entries]) if groups else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in self.entries]) if groups else np.zeros(0)
+        order = np.lexsort((entry, term))
+        self.entry, self.weight = entry[order], weight[order]
+        cell = term[order] * blocks + self.entry // BLOCK
         self.starts = np.searchsorted(cell, np.arange(len(self.terms) * blocks + 1))
         most = np.zeros(len(self.terms) * blocks)
         np.maximum.at(most, cell, self.weight)
         self.most = most.reshape(len(self.terms), blocks)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and similarities of the ``k`` most similar (above 0), ties to the earlier example."""
+        """Entries and similarities (above 0) that hold the ``k`` most similar examples and all as similar as the last.
+
+        One example of the entry ``without`` is left out of account.
+        """
         bounds = weight @ self.most[term]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         blocks, at, wave = self.most.shape[1], 0, FIRST_WAVE
         found, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        # blocks with an equal bound may still hold an earlier example of the same similarity
         while at < len(order) and bounds[order[at]] >= worst - 1e-12:
             some = order[at : at + wave]
             some = some[bounds[some] >= worst - 1e-12]
@@ -103,21 +124,25 @@ class Index:
             cell = term[:, None] * blocks + some[None]
             s, n = self.starts[cell].ravel(), (self.starts[cell + 1] - self.starts[cell]).ravel()
             posting = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            slot = np.repeat(np.tile(np.arange(len(some)), len(term)), n) * BLOCK + self.example[posting] % BLOCK
+            slot = np.repeat(np.tile(np.arange(len(some)), len(term)), n) * BLOCK + self.entry[posting] % BLOCK
             own = np.bincount(slot, weights=np.repeat(np.repeat(weight, len(some)), n) * self.weight[posting], minlength=len(some) * BLOCK)
             hit = np.flatnonzero(own > 0)
-            example = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            ok = example != without
-            found, scores = np.concatenate([found, example[ok]]), np.concatenate([scores, own[hit][ok]])
-            if len(found) >= k:
-                keep = np.lexsort((found, -np.round(scores, 12)))[:k]
-                found, scores = found[keep], scores[keep]
-                worst = scores.min()
-        keep = np.lexsort((found, -np.round(scores, 12)))
-        return found[keep], scores[keep]
-
-    def vote(self, found: np.ndarray, scores: np.ndarray) -> float:
-        return float(((scores * self.labels[found]).sum() + PRIOR_WEIGHT * self.prior) / (scores.sum() + PRIOR_WEIGHT))
+            entry = some[hit // BLOCK] * BLOCK + hit % BLOCK
+            held = self.n[entry] - (entry == without) > 0
+            found, scores = np.concatenate([found, entry[held]]), np.concatenate([scores, own[hit][held]])
+            best = np.lexsort((found, -np.round(scores, 12)))
+            found, scores = found[best], scores[best]
+            sums = np.cumsum(self.n[found] - (found == without))
+            if len(sums) and sums[-1] >= k:
+                worst = scores[np.searchsorted(sums, k)]
+                near = scores >= worst - 1e-12
+                found, scores = found[near], scores[near]
+        return found, scores
+
+    def vote(self, found: np.ndarray, scores: np.ndarray, without: int = -1, label: int = 0) -> float:
+        gone = found == without
+        n, toxic = self.n[found] - gone, self.toxic[found] - gone * label
+        return float(((scores * toxic).sum() + PRIOR_WEIGHT * self.prior) / ((scores * n).sum() + PRIOR_WEIGHT))
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * vote + self.offset)))
@@ -205,13 +230,20 @@ def fitted_index(docs: DataFrame, labels: DataFrame) -> Index:
         y.append(r["label"])
         vectors.append((np.array(r["terms"], np.int64), np.array(r["weights"])))
     index.fill(ids, np.array(y, float), vectors)
-    votes = [index.vote(*index.nearest(t, w, NEIGHBOURS, without=i)) for i, (t, w) in enumerate(vectors)]
+    votes, labels_of, counts = [], [], []
+    for i, (t, w) in enumerate(index.entries):
+        found, scores = index.nearest(t, w, NEIGHBOURS, without=i)
+        for y, n in ((0, index.n[i] - index.toxic[i]), (1, index.toxic[i])):
+            if n:
+                votes.append(index.vote(found, scores, i, y))
+                labels_of.append(y)
+                counts.append(n)
     # examples without any term are the rest of the sample
-    empty = {0: total - toxic - int((index.labels == 0).sum()), 1: toxic - int((index.labels == 1).sum())}
     none = index.vote(np.zeros(0, np.int64), np.zeros(0))
     vote = np.array([*votes, none, none])
-    label = np.array([*y, 0, 1], float)
-    count = np.array([*[1.0] * len(votes), empty[0], empty[1]], float) / np.where(label > 0, share.get(1, 1.0), share.get(0, 1.0))
+    label = np.array([*labels_of, 0, 1], float)
+    empty = [total - toxic - (index.n - index.toxic).sum(), toxic - index.toxic.sum()]
+    count = np.array([*counts, *empty], float) / np.where(label > 0, share.get(1, 1.0), share.get(0, 1.0))
     index.slope, index.offset = _fit(vote, label, count)
     return index
 
@@ -229,16 +261,26 @@ def _example_vectors(index: Index):
     return run
 
 
+def _result(index: Index, term: np.ndarray, weight: np.ndarray) -> tuple[float, list[dict]]:
+    found, scores = index.nearest(term, weight, NEIGHBOURS)
+    shown = [{"id": i, "similarity": float(s), "label": y} for e, s in zip(found[:SHOWN].tolist(), scores, strict=False) for i, y in index.shown[e]]
+    return index.vote(found, scores), shown[:SHOWN]
+
+
 def _scores(shared, carried: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         none = index.vote(np.zeros(0, np.int64), np.zeros(0))
+        seen: dict[bytes, tuple[float, list[dict]]] = {}
         for b, t in batches(it, "text"):
             vote, evidence = np.full(len(t), none), [[] for _ in range(len(t))]
             for r, term, weight in index.vectors(t):
-                found, scores = index.nearest(term, weight, NEIGHBOURS)
-                vote[r] = index.vote(found, scores)
-                evidence[r] = [{"id": index.ids[i], "similarity": float(s), "label": int(index.labels[i])} for i, s in zip(found[:3], scores[:3], strict=True)]
+                key = term.tobytes() + weight.tobytes()
+                if key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[key] = _result(index, term, weight)
+                vote[r], evidence[r] = seen[key]
             kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
             more = [f"c{i}" for i in range(carried)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.calibrated(vote)), pa.array(evidence, kind), *b.columns[2:]], names=["id", "score", "evidence", *more])

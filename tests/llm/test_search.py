@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldnote.llm.html_main import blocks, main_texts
 from fieldnote.llm.mtree import nearest
-from fieldnote.llm.toxicity import BLOCK, Index, fitted_index, toxicity
+from fieldnote.llm.toxicity import BLOCK, PRIOR_WEIGHT, Index, fitted_index, toxicity
 from tests.conftest import SF
 
 from .helpers import documents, none, odd
@@ -41,17 +41,25 @@ def test_block_index_is_exact():
     rng = np.random.default_rng(4)
     dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
     dense[dense.sum(1) == 0, 0] = 1
-    dense[7] = dense[3]
+    dense[100:200] = dense[rng.integers(0, 12, 100)]
     dense /= np.sqrt((dense**2).sum(1))[:, None]
-    index = Index(np.arange(40, dtype=np.uint64), np.ones(40))
-    index.fill(list(range(500)), np.zeros(500), [(np.flatnonzero(r), r[r > 0]) for r in dense])
-    assert index.most.shape == (40, -(-500 // BLOCK))
+    labels = rng.integers(0, 2, 500).astype(float)
+    vectors = [(np.flatnonzero(r), r[r > 0]) for r in dense]
+    index = Index(np.arange(40, dtype=np.uint64), np.ones(40), prior=0.3)
+    index.fill(list(range(500)), labels, vectors)
+    different = len({r.tobytes() for r in dense})
+    assert len(index.n) == different < 420 and index.most.shape == (40, -(-different // BLOCK)) and index.n.sum() == 500
+    entry = {t.tobytes() + w.tobytes(): g for g, (t, w) in enumerate(index.entries)}
     for i in range(0, 500, 7):
         s = dense @ dense[i]
         s[i] = -1
-        found, scores = index.nearest(np.flatnonzero(dense[i]), dense[i][dense[i] > 0], 25, without=i)
-        want = np.sort(s[s > 0])[::-1][:25]
-        assert np.allclose(np.sort(scores)[::-1], want) and i not in found
+        last = np.sort(s)[::-1][24]
+        near = (s > 0) & (s >= last - 1e-9)  # the 25 nearest of the others, and all as near as the last
+        own = entry[vectors[i][0].tobytes() + vectors[i][1].tobytes()]
+        found, scores = index.nearest(*vectors[i], 25, without=own)
+        assert (index.n[found] - (found == own)).sum() == near.sum()
+        want = ((s * labels)[near].sum() + PRIOR_WEIGHT * 0.3) / (s[near].sum() + PRIOR_WEIGHT)
+        assert np.isclose(index.vote(found, scores, own, int(labels[i])), want)
 
 
 def test_toxicity_on_held_out_rows(spark):
