@@ -620,13 +620,14 @@ def pending_stories(spark: S, d: str) -> DataFrame:
 
 @query(
     "pending_records",
-    T("stories records marks", """SELECT record_id FROM records WHERE record_id NOT IN (SELECT record_id FROM marks) AND record_id NOT IN (SELECT record_id FROM stories)"""),
+    T("stories records marks", """SELECT record_id FROM records WHERE record_id NOT IN (SELECT record_id FROM marks) AND record_id NOT IN (SELECT record_id FROM stories WHERE day_no % 9 = 0)"""),
 )
 def pending_records(spark: S, d: str) -> DataFrame:
+    """Records without a mark that none of the stories of every ninth day was found in."""
     from fieldnote.operators.clean import short_marks
 
     r = st.records(spark, d)
-    return wl.pending_records(r, st.stories(spark, d), short_marks(r, "x")).select("record_id")
+    return wl.pending_records(r, st.stories(spark, d).filter("day_no % 9 = 0"), short_marks(r, "x")).select("record_id")
 
 
 @query(
@@ -688,9 +689,10 @@ def repeated_keys(spark: S, d: str) -> DataFrame:
     return ck.repeated_keys(st.read(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("orphan_labels", "SELECT DISTINCT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("orphan_labels", "SELECT DISTINCT CAST(c_custkey AS BIGINT) AS c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def orphan_labels(spark: S, d: str) -> DataFrame:
-    return ck.orphans(st.read(spark, d, "customer"), st.read(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Customers that no order in progress belongs to."""
+    return ck.orphans(st.read(spark, d, "customer"), st.read(spark, d, "orders").filter("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("altered_stories", T("posts", "SELECT story_id FROM sto WHERE CAST(cs AS INT) % 7 = 0", _STORY))
