@@ -131,7 +131,26 @@ def stored_facts(spark: S, d: str) -> DataFrame:
     return checkpointed(rt.fact_tables(result_tables(spark, d)))
 
 
-@query("fulfilled_plans")
+_values = lambda pairs: "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ")"
+_PLANS = {
+    "kinds": f"SELECT * FROM {_values((q, k) for q, ks in rt.KINDS.items() for k in ks)} t(query, kind)",
+    "defaults": f"SELECT * FROM {_values(rb.DEFAULT_QUERY.items())} t(kind, query)",
+    "given": "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'memory' ELSE 'question_values' END AS query FROM customer",
+    "asks": f"""SELECT c_custkey AS k, c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') AS named,
+                  [{st._sql_list(rb.EVIDENCE_KINDS)}[1 + c_custkey % 18], {st._sql_list(rb.EVIDENCE_KINDS)}[1 + (c_custkey * 7 + 3) % 18]] AS asked FROM customer""",
+    "needs": """SELECT k, unnest(kinds) AS kind, unnest(range(len(kinds))) AS i FROM (
+                  SELECT k, CASE WHEN named AND NOT list_contains(asked, 'segment_split') THEN list_append(asked, 'segment_split') ELSE asked END AS kinds FROM asks)""",
+    "open_": """SELECT n.k, d.query, min(i) AS i FROM needs n JOIN given g USING (k) JOIN defaults d ON d.kind = n.kind
+                WHERE NOT EXISTS (SELECT 1 FROM kinds x WHERE x.query = g.query AND x.kind = n.kind) GROUP BY n.k, d.query""",
+    "used": """SELECT o.k, o.query FROM open_ o JOIN needs n ON n.k = o.k AND n.i = o.i
+               WHERE NOT EXISTS (SELECT 1 FROM open_ e JOIN kinds x ON x.query = e.query WHERE e.k = o.k AND x.kind = n.kind AND e.i < o.i)""",
+}
+
+
+@query(
+    "fulfilled_plans",
+    T("records", """SELECT query, 'core' AS population, count(*) AS requests FROM (SELECT k, query FROM given UNION ALL SELECT k, query FROM used) GROUP BY query""", _PLANS),
+)
 def fulfilled_plans(spark: S, d: str) -> DataFrame:
     rows = rt.fulfil(rt.tag_questions(plans(spark, d)))
     return rows.groupBy("query", "population").agg(F.count("*").alias("requests"))
@@ -243,12 +262,12 @@ _VALS = "(SELECT list_distinct(flatten([[v, round_even(v, 1), round_even(v, 2)]
 _FREE = "(x IN (0, 1, 2, 3, 4, 5, 30, 80, 60, 300, 0.6, 1000) OR (x BETWEEN 1900 AND 2100))"
 
 
-@query(
-    "number_audit",
-    T("records", f"""SELECT answer_id, detail FROM (SELECT answer_id, x.v AS x, x.p AS p, {_VALS} AS vals, CASE WHEN x.p THEN x.v || '%' ELSE CAST(x.v AS VARCHAR) END AS detail FROM (
+_NUMBERS = f"""SELECT answer_id, detail FROM (SELECT answer_id, x.v AS x, x.p AS p, {_VALS} AS vals, CASE WHEN x.p THEN x.v || '%' ELSE CAST(x.v AS VARCHAR) END AS detail FROM (
         SELECT *, unnest([{{'v': pct::BIGINT, 'p': true}}, {{'v': n, 'p': false}}, {{'v': d, 'p': false}}, {{'v': said, 'p': false}}]) AS x FROM a))
-        WHERE NOT (NOT p AND {_FREE}) AND len(list_filter(vals, lambda c: abs(c - x) <= 0.011)) = 0""", _ANS),
-)
+        WHERE NOT (NOT p AND {_FREE}) AND len(list_filter(vals, lambda c: abs(c - x) <= 0.011)) = 0"""
+
+
+@query("number_audit", T("records", _NUMBERS, _ANS))
 def number_audit(spark: S, d: str) -> DataFrame:
     a, rows, _ = answers(spark, d)
     return au.check_numbers(a, rows).select("answer_id", "detail")
@@ -276,25 +295,42 @@ def label_audit(spark: S, d: str) -> DataFrame:
     return au.check_labels(answers(spark, d, 200)[0]).select("answer_id", "detail")
 
 
-@query("answer_audit")
+# Every kind of problem that these answers can have, by the rule that put it there.
+_PROBLEMS = {
+    **_ANS,
+    "problems": f"""SELECT answer_id, 'citations' AS problem FROM a WHERE cited <> id
+      UNION ALL SELECT answer_id, 'arithmetic' FROM a WHERE abs(100 * n / d - pct) > 1.0
+      UNION ALL SELECT answer_id, 'numbers' FROM ({_NUMBERS})
+      UNION ALL SELECT answer_id, 'quotes' FROM a WHERE id % 4 = 0
+      UNION ALL SELECT answer_id, 'directional' FROM a WHERE d BETWEEN 30 AND 79
+      UNION ALL SELECT answer_id, 'refusal' FROM (SELECT answer_id, unnest([1, 2, 3]) FROM a WHERE id % 11 = 0)""",
+}
+
+
+@query("answer_audit", T("records", "SELECT problem, count(*) AS n, count(DISTINCT answer_id) AS answers FROM problems GROUP BY problem", _PROBLEMS))
 def answer_audit(spark: S, d: str) -> DataFrame:
     """All checks over all answers, summed by kind of problem."""
     return au.sweep_summary(au.audit(*[checkpointed(t) for t in answers(spark, d)]))
 
 
-@query("answer_reports")
+@query(
+    "answer_reports",
+    T("records", """SELECT a.answer_id, CASE WHEN id % 11 = 0 THEN 'NONE' ELSE 'FULL' END AS route, count(problem) AS problems,
+                      coalesce(string_agg(DISTINCT problem, ',' ORDER BY problem), '') AS kinds, count(problem) = 0 AS passes
+                    FROM a LEFT JOIN problems USING (answer_id) GROUP BY a.answer_id, id""", _PROBLEMS),
+)
 def answer_reports(spark: S, d: str) -> DataFrame:
     a, rows, stories = [checkpointed(t) for t in answers(spark, d)]
     return au.report(a, au.audit(a, rows, stories)).withColumn("kinds", F.array_join("kinds", ","))
 
 
-@query(
-    "numbered_facts",
-    T("stories", """SELECT CASE WHEN k < 100 THEN 'F' || lpad(CAST(k AS VARCHAR), 2, '0') ELSE 'F' || k END AS id, key,
-         label || ': ' || n || ' of ' || d || CASE WHEN d >= 30 THEN ' (' || CAST(round_even(100 * n / d, 0) AS INT) || '%)' ELSE '' END || ', from ' || p || ' people' AS text FROM (
-         SELECT source || '/' || primary_stage AS key, 'core at ' || primary_stage AS label, count(*) FILTER (population = 'core') AS n, count(*) AS d, count(DISTINCT author_key) AS p,
-           row_number() OVER (ORDER BY source || '/' || primary_stage) AS k FROM stories GROUP BY source, primary_stage)"""),
-)
+_FACTS = """SELECT CASE WHEN k < 100 THEN 'F' || lpad(CAST(k AS VARCHAR), 2, '0') ELSE 'F' || k END AS id, key, n, d, p, stage,
+         'core at ' || stage || ': ' || n || ' of ' || d || CASE WHEN d >= 30 THEN ' (' || CAST(round_even(100 * n / d, 0) AS INT) || '%)' ELSE '' END || ', from ' || p || ' people' AS text FROM (
+         SELECT source || '/' || primary_stage AS key, primary_stage AS stage, count(*) FILTER (population = 'core') AS n, count(*) AS d, count(DISTINCT author_key) AS p,
+           row_number() OVER (ORDER BY source || '/' || primary_stage) AS k FROM stories GROUP BY source, primary_stage)"""
+
+
+@query("numbered_facts", T("stories", f"SELECT id, key, text FROM ({_FACTS})"))
 def numbered_facts(spark: S, d: str) -> DataFrame:
     return au.facts_pack(_facts(spark, d)).select("id", "key", "text")
 
@@ -312,7 +348,19 @@ def lost_facts(spark: S, d: str) -> DataFrame:
     return au.lost_facts(au.facts_pack(f), f.filter(~F.col("key").endswith("/0"))).select("key")
 
 
-@query("statement_audit")
+@query(
+    "statement_audit",
+    T("stories", """SELECT problem, count(*) AS n FROM (
+        SELECT 'cites no fact' AS problem FROM said WHERE cite = ''
+        UNION ALL SELECT 'cites unknown fact' FROM said WHERE cite <> '' AND cite NOT IN (SELECT id FROM facts)
+        UNION ALL SELECT unnest(['share of users or searches', 'percentage without n of N']) FROM said WHERE shares
+        UNION ALL SELECT 'number not in cited facts' FROM (SELECT unnest([27, k + 100000]) AS x, f.* FROM said LEFT JOIN facts f ON f.id = cite WHERE shares)
+          WHERE id IS NULL OR NOT list_contains([n, d, p, CAST(stage AS BIGINT), CASE WHEN d >= 30 THEN CAST(round_even(100 * n / d, 0) AS BIGINT) END], x)
+        UNION ALL SELECT 'required fact not cited' FROM facts WHERE id NOT IN (SELECT cite FROM said)) GROUP BY problem""",
+      {"facts": _FACTS,
+       "said": """SELECT CAST(c_custkey AS BIGINT) AS k, c_custkey % 5 = 0 AS shares, CASE WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN 'F00'
+                    ELSE 'F' || lpad(CAST(1 + c_custkey % 90 AS VARCHAR), 2, '0') END AS cite FROM customer"""}),
+)
 def statement_audit(spark: S, d: str) -> DataFrame:
     """A statement per customer that cites a numbered fact; some cite none, an unknown one, or a wrong figure."""
     facts = au.facts_pack(_facts(spark, d)).select("id", "text")
