@@ -41,7 +41,7 @@ from fieldnote.llm.wordhash import Q, Texts, batches, distinct, mix, powers, run
 SKETCH_BITS = 1024
 AT_ONCE = 1_000_000
 """Text bytes that are shingled together."""
-BYTES_A_PART = 32_000_000
+BYTES_A_PART = 8_000_000
 """Text bytes whose shingles one range task counts."""
 
 
