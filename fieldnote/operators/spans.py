@@ -326,6 +326,11 @@ def confirm_tags(
     return kept, counts
 
 
+def theme_counts(themes: DataFrame) -> DataFrame:
+    """Stories of each confirmed theme, most first: ``theme, stories``. ``themes``: a row per story and theme."""
+    return themes.groupBy("theme").agg(F.count("*").alias("stories")).orderBy(F.desc("stories"), "theme")
+
+
 def record_bucket(records: DataFrame, stories: DataFrame) -> DataFrame:
     """The most relevant bucket among a record's stories; ``irrelevant`` when it has none."""
     rank = F.array_position(F.array(*[F.lit(b) for b in vocab.BUCKETS]), F.col("bucket"))

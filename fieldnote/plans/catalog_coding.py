@@ -396,6 +396,24 @@ def confirmed_tags(spark: S, d: str) -> DataFrame:
     return kept.select("story_id", "theme", F.regexp_replace("span", "\\s+", " ").alias("span"))
 
 
+@query(
+    "theme_counts",
+    """SELECT theme, count(*) AS stories FROM (
+         SELECT x.theme AS theme, trim(trim(regexp_replace(x.quote, '\\s+', ' ', 'g')), ' .…"''“”') AS span, x.keep AS keep, text FROM (
+           SELECT text, unnest([{'theme': 'of ' || lang, 'quote': substr(text, 41, 40), 'keep': n_chars % 2 = 0}, {'theme': 'openings', 'quote': substr(text, 1, 30), 'keep': true}]) AS x FROM documents))
+       WHERE keep AND theme IS NOT NULL AND length(span) >= 15 AND instr(regexp_replace(text, '\\s+', ' ', 'g'), span) > 0 GROUP BY theme""",
+)
+def theme_counts(spark: S, d: str) -> DataFrame:
+    """Stories per confirmed theme: one theme of each language, judged by a second reader, and one of openings that all stand."""
+    docs = st.read(spark, d, "documents").withColumn("story_id", F.col("doc_id").cast("string"))
+    tag = lambda t, q, k: F.struct(t.alias("theme"), q.alias("quote"), F.lit(0).alias("ordinal"), k.alias("keep"))
+    both = F.array(tag(F.concat(F.lit("of "), "lang"), F.substring("text", 41, 40), F.col("n_chars") % 2 == 0), tag(F.lit("openings"), F.substring("text", 1, 30), F.lit(True)))
+    tags = docs.select("story_id", F.explode(both).alias("x")).select("story_id", "x.*")
+    stories = docs.select("story_id", F.col("story_id").alias("record_id"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.lit(None).cast("string").alias("author_key"))
+    kept, _ = sp.confirm_tags(tags.drop("keep"), stories, st.records(spark, d), tags.select("story_id", "theme", "keep"))
+    return sp.theme_counts(kept)
+
+
 @query(
     "record_buckets",
     T("stories", """SELECT CAST(c_custkey AS VARCHAR) AS record_id, CASE min(CASE bucket WHEN 'core' THEN 1 WHEN 'adjacent' THEN 2 WHEN 'irrelevant' THEN 3 END) WHEN 1 THEN 'core' WHEN 2 THEN 'adjacent' ELSE 'irrelevant' END AS bucket

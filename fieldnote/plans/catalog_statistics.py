@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from fieldnote import vocab
 from fieldnote.functions import shares as sh
 from fieldnote.operators import agreement as ag
+from fieldnote.operators import coding as cd
 from fieldnote.operators import crosstab as ct
 from fieldnote.operators import opportunity as op
 from fieldnote.operators import sample as sm
 from fieldnote.plans import standins as st
+from fieldnote.plans.catalog_coding import _FLAGS, _NODE, _maps
 from fieldnote.plans.catalog_counts import LIVE, crosstab_rows, spine
 from fieldnote.plans.registry import query
 
@@ -364,6 +366,36 @@ def failure_modes(spark: S, d: str) -> DataFrame:
     return op.failure_modes(spine(spark, d), st.codes(spark, d))
 
 
+_COUNTED = " UNION ALL ".join(
+    f"SELECT primary_stage, '{name}' AS counter, {value} AS value, count(*) AS n FROM core GROUP BY ALL"
+    for name, value in (("source", "source"), ("photo_class", "photo_class"), ("metric_node", _NODE))
+)
+
+
+@query(
+    "stage_counters",
+    T("stories codes", f"""SELECT primary_stage, counter, value, n, r FROM (
+          SELECT *, row_number() OVER (PARTITION BY primary_stage, counter ORDER BY n DESC, value NULLS FIRST) AS r FROM ({_COUNTED}
+          UNION ALL SELECT primary_stage, 'failure_mode', question || ' ' || value, count(*) FROM codes JOIN core USING (story_id) WHERE value <> 'not_stated' AND ({_MODES}) GROUP BY ALL))
+        WHERE counter <> 'failure_mode' OR r <= 3""", {**_FLAGS, "core": "SELECT * FROM sx WHERE day_no <> 31 AND population = 'core'"}),
+)
+def stage_counters(spark: S, d: str) -> DataFrame:
+    """Sources, classes, nodes and the three commonest failure modes of each stage (a stand-in stage states at most four)."""
+    coded = cd.derive_spine(spine(spark, d), _maps(spark, d))
+    return op.stage_counters(coded, st.codes(spark, d), most_modes=3)
+
+
+@query(
+    "stage_totals",
+    T("stories", """SELECT primary_stage, n_core, sum(n_core) OVER () AS denom, n_authors, n_adjacent, workaround_stories, round(conf / n_core, 3) AS mean_coding_conf FROM (
+          SELECT primary_stage, count(*) FILTER (population = 'core') AS n_core, count(DISTINCT author_key) FILTER (population = 'core') AS n_authors, count(*) FILTER (population = 'adjacent') AS n_adjacent,
+                 count(*) FILTER (population = 'core' AND workaround) AS workaround_stories, CAST(sum(CAST(coding_conf AS DECIMAL(18, 6))) FILTER (population = 'core') AS DOUBLE) AS conf
+          FROM live GROUP BY primary_stage) WHERE n_core > 0""", LIVE),
+)
+def stage_totals(spark: S, d: str) -> DataFrame:
+    return op.stage_totals(spine(spark, d))
+
+
 @query(
     "spread_quotes",
     T("stories", """SELECT primary_stage, source, story_id, 'words of ' || story_id AS span, r FROM (SELECT *, row_number() OVER (PARTITION BY primary_stage ORDER BY coding_conf DESC, story_id) AS r FROM (
