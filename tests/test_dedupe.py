@@ -172,3 +172,17 @@ def test_an_earlier_winner_is_found_after_a_text_has_lost(spark, monkeypatch):
         rows.append((f"q{i:02d}", "s", "a", None, " ".join(own)))
     got = {(r[0], r[1]) for r in dd.near_duplicates_same_author(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == expected_near(rows)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words(spark, rows):
+    """Pairs are told apart by sketches before their words move: no similar pair is lost, and most others are left out."""
+    sets = [sorted(words(r[4])) for r in rows if len(words(r[4])) > 20][:40]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(sets)], "id long, words array<string>").select("id", dd.sketch(F.col("words")).alias("s"))
+    lanes = {r.id: r.s for r in df.collect()}
+    left_out = 0
+    for a, b in combinations(range(len(sets)), 2):
+        bits = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(lanes[a], lanes[b], strict=True))
+        apart = len(set(sets[a]) ^ set(sets[b]))
+        assert bits <= apart and (apart - bits) % 2 == 0
+        left_out += bits >= 0.15 / 1.85 * (len(sets[a]) + len(sets[b]))
+    assert left_out > 500
