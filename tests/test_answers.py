@@ -119,3 +119,13 @@ def test_plans_read_stories_with_evidence_first(spark):
     assert all(r["shown"].startswith("photo of a cake") for r in rows)
     text = spark.createDataFrame([("b a b c a b",)], "t string").select(rt._counted(F.split("t", " ")).alias("x")).first()["x"]
     assert [(x["term"], x["tf"]) for x in text] == [("a", 2), ("b", 3), ("c", 1)]
+
+
+def test_equal_plans_are_worked_out_once(spark):
+    """1,500 customers ask in far fewer ways; every plan is still counted."""
+    from fieldnote.operators import retrieval as rt
+    from fieldnote.plans import catalog_answers as ca
+
+    tagged = rt.tag_questions(ca.plans(spark, "/root/testdata/sf0.01"))
+    kinds = rt.plan_kinds(tagged).select("plan_id", "plans").collect()
+    assert sum(k.plans for k in kinds) == tagged.count() and len(kinds) < 400 and len({k.plan_id for k in kinds}) == len(kinds)
