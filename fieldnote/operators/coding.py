@@ -19,8 +19,19 @@ SPINE_QUESTIONS = ["1.4", "3.2", "5.4", "7.2"]
 def code_maps(codes: DataFrame) -> DataFrame:
     """One map of question to values per story, values in the order stated. A story has a bounded number of questions.
 
-    The order is ``position`` where the rows carry it, else ``seq``; values without either are ordered by name.
+    The order is ``position`` where the rows carry it, else ``seq``; values without either are ordered by name. ``codes``
+    has a row per code, or one per story with its ``codes`` as an array, which then stay in their row.
     """
+    if "codes" in codes.columns:
+        inside = codes.schema["codes"].dataType.elementType.names
+
+        def values(q: Column) -> Column:
+            seq = lambda c: F.coalesce(*[c[n] for n in ("position", "seq") if n in inside], F.lit(0))
+            said = F.transform(F.filter("codes", lambda c: c["question"] == q), lambda c: F.struct(seq(c).alias("seq"), c["value"].alias("value")))
+            return F.struct(q.alias("question"), F.transform(F.array_sort(F.array_distinct(said)), lambda x: x["value"]).alias("values"))
+
+        asked = F.array_distinct(F.transform("codes", lambda c: c["question"]))
+        return codes.filter(F.size("codes") > 0).select("story_id", F.map_from_entries(F.transform(asked, values)).alias("codes"))
     place = F.coalesce(*[F.col(c) for c in ("position", "seq") if c in codes.columns], F.lit(0))
     per = codes.groupBy("story_id", "question").agg(
         F.transform(F.array_sort(F.collect_set(F.struct(place.alias("seq"), "value"))), lambda x: x["value"]).alias("values")
@@ -109,19 +120,21 @@ def code_rows(codes: DataFrame, cues: DataFrame, stories: DataFrame, dim_questio
     ``stories``: story_id, source, coding_conf.
     """
     none = F.lit(None)
-    kind = stories.select(
+    kind = stories.filter("story_id is not null").select(
         "story_id", F.lit("10.3").alias("question"), ru.source_kind(F.col("source")).alias("value"),
-        none.cast("string").alias("accuracy"), none.cast("int").alias("seq"),
+        none.cast("string").alias("accuracy"), none.cast("int").alias("seq"), F.col("coding_conf").alias("confidence"),
     )
+    # Stories are the short side: hashed, so that codes pass through the join unsorted, and before the union, which would
+    # take them from the tasks of their stories.
+    known = stories.select("story_id", F.col("coding_conf").alias("confidence")).hint("shuffle_hash")
     rows = (
-        codes.select("story_id", "question", "value", none.cast("string").alias("accuracy"), F.col("seq").cast("int"))
-        .unionByName(cues.select("story_id", "question", "value", "accuracy", none.cast("int").alias("seq")))
+        codes.select("story_id", "question", "value", none.cast("string").alias("accuracy"), F.col("seq").cast("int")).join(known, "story_id")
+        .unionByName(cues.select("story_id", "question", "value", "accuracy", none.cast("int").alias("seq")).join(known, "story_id"))
         .unionByName(kind)
     )
-    flags = dim_question.select("question", "inferred")
+    flags = F.broadcast(dim_question.select("question", "inferred"))
     return (
-        rows.join(stories.select("story_id", F.col("coding_conf").alias("confidence")), "story_id")
-        .join(flags, "question", "left")
+        rows.join(flags, "question", "left")
         .select(
             "story_id", "question", "value", "accuracy", "seq",
             F.coalesce("inferred", F.lit(False)).alias("inferred"), "confidence", F.lit(run_id).alias("run_id"),
