@@ -413,9 +413,11 @@ def records_from_posts(rows: DataFrame, source: str, salt: str, run_id: str, met
         lambda p: p["clean"] != "",
     )
     first_at = F.get(kept, 0)["at"]
+    # Parts come out of a generator: a later filter on the record would otherwise be worked out below it, scrub and all, once more.
+    rows = rows.select("*", F.explode(F.array(F.struct(parts.alias("parts")))).alias("held"))
     df = rows.withColumns(
         {
-            "parts": parts,
+            "parts": F.col("held.parts"),
             "n_given": F.size("posts"),
             "created_at": tx.to_iso(F.coalesce("created_at", first_at)),
         }
