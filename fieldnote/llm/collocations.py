@@ -1,18 +1,19 @@
 """Phrase collocations from a weighted de Bruijn graph of words, per language.
 
 Edges are the longest phrases, of ``LONGEST`` words; an edge leads from the node of its first words to the node of
-its last, and its weight is the number of its occurrences. Each place of a piece of text sends one window: an edge, or
-near the end of the piece a shorter tail. Only windows are counted and shuffled. The count of a shorter phrase is the
+its last, and its weight is the number of its occurrences. Each place of a piece of text has one window: an edge, or
+near the end of the piece a shorter tail. Windows go to Spark one by one, which adds them up before and after its
+shuffle, so their number follows the text and no task holds a table of its own in Python. The count of a shorter phrase is the
 flow out of its node plus its tails: ``f(g) = sum of f(g x) over words x + tails ending with g``, one small grouping
 per length. A node whose whole flow passes along one edge, in or out, is unary: it is compacted into that edge,
 which is the rule that a phrase goes if a longer one holds it with the same count (if any longer one does, one with a
 single word more does). As no phrase is longer than an edge, paths need not be walked further.
 
-Windows end early where the next phrase is surely rare, so that most places of a text send nothing. A first pass
+Windows end early where the next phrase is surely rare, so that few of them differ. A first pass
 counts phrases of one to three words in tables of ``SLOTS`` hashed counters, which never count too little; a window is
 only as long as all such phrases within it may reach ``least``. A phrase that reaches it is never cut, so counts of
 candidates and of their parts are exact. The tables have a fixed size, of which one bit per slot is broadcast. With more
-text than they can tell apart they cut less: then more windows are shuffled, at most one per word.
+text than they can tell apart they cut less: then more different windows are shuffled, at most one per word.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldnote.llm.periodic_runs import word_codes
 from fieldnote.llm.store import stored
 from fieldnote.llm.wordhash import LOWER, Texts, Words, batches, mix, runs, window_hashes, word_hashes, words
 
@@ -35,8 +36,8 @@ COUNTED = 3
 PAGE = 1 << 16
 TOGETHER = 1 << 20
 """Hashes that are gathered before they are counted."""
-HELD = 200_000
-"""Different windows of a partition that a task adds up before it sends them (about 40 MB)."""
+ROWS = 1 << 16
+"""Windows that are handed to Spark together."""
 
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -118,70 +119,51 @@ def _reached(least: int):
     return run
 
 
-def _chunk_windows(b: pa.RecordBatch, t: Texts, frequent: np.ndarray) -> Iterator[tuple[tuple[str, bytes, int], int]]:
-    """((lang, phrase, k), n) of the different windows of some texts; k = 0 is the number of words of a language."""
-    coded = b.column(1).dictionary_encode()
-    langs = coded.dictionary.to_pylist()
-    w, piece, hashed = _places(t, _lang_hashes(b.column(1)))
-    lang = coded.indices.to_numpy().astype(np.int64)[w.row_of()]
-    h = word_hashes(t, w, lower=True)
+def _window_sizes(h: np.ndarray, piece: np.ndarray, lang: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Words of the window that each place sends; 0 if its own word is surely rare."""
     n = len(h)
-    low = Texts(t.first, LOWER[t.data], t.offsets)
-    code = word_codes(low, w)
     size = np.zeros(n, np.int64)
     for k in range(1, LONGEST + 1):
         # a window of k words: within a piece, both windows of k - 1 words are there, and its hash is frequent
         m = max(0, n - k + 1)
         if k <= COUNTED:
-            slot, whole = _slots(h, piece, hashed, k, 8 * frequent.shape[1])
+            slot, whole = _slots(h, piece, lang, k, 8 * frequent.shape[1])
             whole &= (frequent[k - 1][slot >> 3] << (slot & 7).astype(np.uint8)) & 128 > 0
         else:
             whole = piece[k - 1 :] == piece[:m]
-        at = np.flatnonzero(whole & (size[:m] == k - 1) & (size[min(1, k - 1) :][:m] >= k - 1))
-        size[at] = k
-    at = np.flatnonzero(size)
-    name = lang[at] * (LONGEST + 1) + size[at]
-    for j in range(LONGEST):
-        more = np.where(size[at] > j, code[np.minimum(at + j, n - 1)] + 1, 0)
-        key = name * (int(more.max(initial=0)) + 1) + more
-        name = np.unique(key, return_inverse=True)[1] if len(key) else key
-    order = np.argsort(name, kind="stable")
-    first, end = runs(name[order])
-    at = at[order[first]]
-    raw = low.data.tobytes()
-    starts, ends = w.starts.tolist(), w.ends.tolist()
-    for i, k, x, c in zip(at.tolist(), size[at].tolist(), lang[at].tolist(), (end - first).tolist(), strict=True):
-        yield (langs[x], b" ".join([raw[starts[j] : ends[j]] for j in range(i, i + k)]), k), c
-    for x, c in zip(langs, np.bincount(lang, minlength=len(langs)).tolist(), strict=True):
-        yield (x, b"", 0), c
-
-
-def _sent(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
-    langs, phrases, sizes = zip(*held, strict=True)
-    columns = [pa.array(langs, pa.string()), pa.array([p.decode("utf-8") for p in phrases], pa.string()), pa.array(sizes, pa.int32()), pa.array(list(held.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "n"])
+        size[np.flatnonzero(whole & (size[:m] == k - 1) & (size[min(1, k - 1) :][:m] >= k - 1))] = k
+    return size
 
 
 def _windows(shared):
-    """(lang, phrase, k, n): windows of a partition with their number, added up before they are sent."""
+    """(lang, phrase, k, n): the window of each place, one row a place; k = 0 is the number of words of a language."""
+
+    def batch(langs: pa.Array, phrases: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(n), k, np.int32)), pa.array(n)], names=["lang", "phrase", "k", "n"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        held: dict[tuple[str, bytes, int], int] = {}
         for b, t in batches(it, "text"):
-            for key, c in _chunk_windows(b, t, frequent):
-                held[key] = held.get(key, 0) + c
-            if len(held) >= HELD:
-                yield _sent(held)
-                held.clear()
-        if held:
-            yield _sent(held)
+            coded = b.column(1).dictionary_encode()
+            langs, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            w, piece, hashed = _places(t, _lang_hashes(b.column(1)))
+            size = _window_sizes(word_hashes(t, w, lower=True), piece, hashed, shared.value)
+            lang = codes[w.row_of()]
+            # every second stretch of the text is a word, the others lie between words
+            edges = np.append(np.stack([w.starts, w.ends], axis=1).ravel(), len(t.data))
+            stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(LOWER[t.data])])
+            for k in range(1, LONGEST + 1):
+                at = np.flatnonzero(size == k)
+                for own in np.array_split(at, -(-len(at) // ROWS)) if len(at) else ():
+                    parts = [stretches.take(pa.array(2 * (own + j))) for j in range(k)]
+                    phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+                    yield batch(langs.take(pa.array(lang[own])), phrases, k, np.ones(len(own), np.int64))
+            yield batch(langs, pa.array([""] * len(langs), pa.string()), 0, np.bincount(lang, minlength=len(langs)))
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = 100, slots: int = SLOTS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of 1 to ``LONGEST`` words that occur ``least`` times, and (lang, n) of all words."""
+def windows_of_places(docs: DataFrame, least: int = 100, slots: int = SLOTS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, phrase, k, n): a window for each place whose word may occur ``least`` times, and with k = 0 numbers of all words."""
     spark = docs.sparkSession
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     pages = d.mapInArrow(_counters(least, slots), "length int, page int, data binary").repartition("length", "page")
@@ -190,8 +172,12 @@ def phrase_counts(docs: DataFrame, least: int = 100, slots: int = SLOTS, text_co
     for r in pages.mapInArrow(_reached(least), "length int, page int, bits binary").collect():
         own = np.frombuffer(r["bits"], np.uint8)
         bits[r["length"], r["page"] * len(own) : (r["page"] + 1) * len(own)] = own
-    shared = spark.sparkContext.broadcast(bits)
-    sent = d.mapInArrow(_windows(shared), "lang string, phrase string, k int, n long")
+    return d.mapInArrow(_windows(spark.sparkContext.broadcast(bits)), "lang string, phrase string, k int, n long")
+
+
+def phrase_counts(docs: DataFrame, least: int = 100, slots: int = SLOTS, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, k, f) of all phrases of 1 to ``LONGEST`` words that occur ``least`` times, and (lang, n) of all words."""
+    sent = windows_of_places(docs, least, slots, text_col, lang_col)
     windows = stored(sent.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")), "windows")
     words_of = windows.filter("k = 0 and n > 0").select("lang", "n")
     flow = windows.filter(F.col("k") == LONGEST).select("lang", "phrase", F.col("n").alias("f"))
