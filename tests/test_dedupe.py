@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from fieldnote.functions import wordsets as ws
 from fieldnote.operators import dedupe as dd
 from fieldnote.operators import skew
 
@@ -186,3 +187,44 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_words(spark, rows):
         assert bits <= apart and (apart - bits) % 2 == 0
         left_out += bits >= 0.15 / 1.85 * (len(sets[a]) + len(sets[b]))
     assert left_out > 500
+
+
+def test_similar_texts_do_not_multiply_in_the_blocks(spark, monkeypatch):
+    """Near copies share most of their blocks. A block that holds them is not split: that gave a row for any two signatures."""
+    monkeypatch.setattr(dd, "SPLIT", 64)
+    base = " ".join(f"token{i}" for i in range(60))
+    sets = spark.createDataFrame([("s", str(i), sorted([*base.split(), f"unique{i}"])) for i in range(150)], "source string, set_key string, words array<string>")
+    rows = dd.signature_blocks(sets, ["source"], "set_key", 0.85).count()
+    assert rows <= 150 * 61
+
+
+def test_large_blocks_show_their_texts_in_turns(spark, rows, monkeypatch):
+    """Blocks above ``SPLIT`` show ``SPLIT`` texts at a time; texts that were shown only lost ones ask again."""
+    monkeypatch.setattr(dd, "SPLIT", 4)
+    monkeypatch.setattr(dd, "HEADS", 1)
+    base = " ".join(f"token{i}" for i in range(30))
+    copies = [(f"n{i:03d}", "s1", "a", f"2024-02-01T00:00:{i:02d}", f"{base} one{i % 5} two{i % 3} three{i % 4}") for i in range(25)]
+    some = rows[:30] + copies
+    got = {(r[0], r[1]) for r in dd.near_duplicates_same_author(spark.createDataFrame(some, COLUMNS)).collect()}
+    assert got == expected_near(some)
+
+
+def test_words_read_in_batches_are_those_of_the_pattern():
+    import pyarrow as pa
+
+    texts = ["", None, "A b'c  D1-é İstanbul Kelvin ok", "x" * 300 + " " + "X" * 300 + " " + "x" * 299, "é", "end", "start a", "  ", "Straße'S\n\nß 9"]
+    chunks = list(ws.text_words(pa.array(["skipped", *texts], pa.string()).slice(1)))
+    hashes, sizes = [h for c in chunks for h in c[0].tolist()], [k for c in chunks for k in c[1].tolist()]
+    want = [re.findall(r"[a-z0-9']+", (t or "").lower()) for t in texts]
+    assert sizes == [len(w) for w in want]
+    flat = [w for t in want for w in t]
+    assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+
+
+def test_texts_are_read_once_by_the_whole_pass(spark, rows, monkeypatch):
+    """Exact copies and near copies look at the same words; no text is read a second time."""
+    plans = []
+    monkeypatch.setattr(dd, "stored", lambda df, f=dd.stored: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    marks = dd.dedupe_marks(spark.createDataFrame(rows[:20], COLUMNS), spark.createDataFrame([], "record_id string, story_id string, source string, stage string, reason string, detail string, run_id string"), "r")
+    plans.append(marks._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("read_words(" in p or "regexp_extract_all(" in p for p in plans) == 1
