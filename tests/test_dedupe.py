@@ -228,3 +228,12 @@ def test_texts_are_read_once_by_the_whole_pass(spark, rows, monkeypatch):
     marks = dd.dedupe_marks(spark.createDataFrame(rows[:20], COLUMNS), spark.createDataFrame([], "record_id string, story_id string, source string, stage string, reason string, detail string, run_id string"), "r")
     plans.append(marks._jdf.queryExecution().optimizedPlan().toString())
     assert sum("read_words(" in p or "regexp_extract_all(" in p for p in plans) == 1
+
+
+@pytest.mark.parametrize("job", ["near_duplicates_same_author"])
+def test_texts_are_read_once(spark, rows, monkeypatch, job):
+    plans = []
+    monkeypatch.setattr(dd, "stored", lambda df, f=dd.stored: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    out = getattr(dd, job)(spark.createDataFrame(rows[:12], COLUMNS))
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("read_words(" in p or "regexp_extract_all(" in p for p in plans) == 1
