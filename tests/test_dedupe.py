@@ -230,7 +230,7 @@ def test_texts_are_read_once_by_the_whole_pass(spark, rows, monkeypatch):
     assert sum("read_words(" in p or "regexp_extract_all(" in p for p in plans) == 1
 
 
-@pytest.mark.parametrize("job", ["near_duplicates_same_author"])
+@pytest.mark.parametrize("job", ["near_duplicates_same_author", "cross_author_echoes"])
 def test_texts_are_read_once(spark, rows, monkeypatch, job):
     plans = []
     monkeypatch.setattr(dd, "stored", lambda df, f=dd.stored: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
